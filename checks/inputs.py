@@ -1,10 +1,13 @@
 """Telemetry inputs derived from the given tables: orders and line items stand for job
 runs and tasks, events for metric samples, documents for log files, suppliers for nodes.
+
+The cached values are lazy plans, so that a session analyses each only once.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,7 +61,7 @@ def _task_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     loads = items.groupBy("l_orderkey").agg(
         F.count("*").alias("n_tasks"), F.sum("quantity").alias("total")
     )
-    heavy = F.broadcast(heaviest_keys(loads, "n_tasks", above=HEAVY_RUN))
+    heavy = F.broadcast(heaviest_keys(loads, "l_orderkey", "n_tasks", above=HEAVY_RUN))
 
     whole = Window.partitionBy("l_orderkey")
     light = (
@@ -76,13 +79,9 @@ def _task_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         ["l_partkey", "l_suppkey", "quantity"],
         "i",
     )
-    task = F.struct(
-        "i",
-        (F.col("l_orderkey") * 1000 + F.col("i")).alias("run_id"),
-        F.col("quantity").alias("quantity"),
-        F.when(
-            F.col("l_suppkey") % 3 != 0, F.concat(F.lit("c-"), F.col("l_suppkey") % 10)
-        ).alias("cluster_id"),
+    task = F.expr(
+        """struct(i, l_orderkey * 1000 + i AS run_id, quantity,
+            if(l_suppkey % 3 <> 0, 'c-' || (l_suppkey % 10), NULL) AS cluster_id)"""
     )
     chunk = F.floor((F.col("i") - 1) / TASKS_LISTED).alias("chunk")
 
@@ -96,100 +95,88 @@ def _task_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return lists, heavy.select("l_orderkey")
 
 
-def _run_columns() -> list[Column]:
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    start = F.unix_millis(utc("o_orderdate"))
-    spent = F.coalesce("total", F.lit(1)) * 60_000
-    end = F.when(status == "P", 0).when(key % 97 != 0, start + spent)
-    result = F.when(status == "O", "SUCCESS").when(
-        status == "F",
-        F.when(priority == "5-LOW", "CANCELED")
-        .when(priority == "4-NOT SPECIFIED", "TIMEDOUT")
-        .otherwise("FAILED"),
-    )
-    state = F.when(status == "P", "RUNNING").otherwise("TERMINATED")
-    periodic = customer % 2 == 0
-    cluster = F.struct(F.concat(F.lit("c-"), customer % 10).alias("cluster_id"))
-    tasks = F.transform(
-        "listed",
-        lambda t: F.struct(
-            t["run_id"].alias("run_id"),
-            start.alias("start_time"),
-            (start + t["quantity"] * 60_000).alias("end_time"),
-            F.lit(0).cast("bigint").alias("setup_duration"),
-            (t["quantity"] * 60_000).alias("execution_duration"),
-            F.lit(0).cast("bigint").alias("cleanup_duration"),
-            F.lit(0).cast("bigint").alias("queue_duration"),
-            F.when(
-                t["cluster_id"].isNotNull(), F.struct(t["cluster_id"].alias("cluster_id"))
-            ).alias("cluster_instance"),
-        ),
-    )
-    return [
-        customer.alias("job_id"),
-        key.alias("job_run_id"),
-        key.alias("run_id"),
-        key.alias("original_attempt_run_id"),
-        (key % 1000).alias("run_number"),
-        (key % 1000).alias("number_in_job"),
-        F.concat(F.lit("job_"), customer % 20).alias("run_name"),
-        F.concat(F.lit("https://x/#job/"), customer, F.lit("/run/"), key).alias("run_page_url"),
-        F.lit("JOB_RUN").alias("run_type"),
-        (key % 7 * 1000).alias("run_duration"),
-        start.alias("start_time"),
-        end.alias("end_time"),
-        (customer % 5 * 1000).alias("setup_duration"),
-        F.coalesce(spent, F.lit(0)).alias("execution_duration"),
-        F.lit(0).cast("bigint").alias("cleanup_duration"),
-        (key % 3 * 100).alias("queue_duration"),
-        F.when(
-            customer % 17 != 0, F.concat(F.lit("user"), customer % 50, F.lit("@example.com"))
-        ).alias("creator_user_name"),
-        F.when(periodic, "PERIODIC").otherwise("ONE_TIME").alias("trigger"),
-        F.struct(
-            state.alias("life_cycle_state"),
-            result.alias("result_state"),
-            F.concat(F.lit("run "), F.lower(state)).alias("state_message"),
-            F.coalesce(result.isin("CANCELED", "TIMEDOUT"), F.lit(False)).alias(
-                "user_cancelled_or_timedout"
-            ),
-        ).alias("state"),
-        F.struct(
-            state.alias("state"),
-            F.struct(
-                result.alias("code"),
-                F.when(result == "SUCCESS", "SUCCESS")
-                .when(result.isNotNull(), "CLIENT_ERROR")
-                .alias("type"),
-            ).alias("termination_details"),
-        ).alias("status"),
-        F.when(
-            periodic,
-            F.struct(
-                F.lit("0 0 * * * ?").alias("quartz_cron_expression"),
-                F.lit("UTC").alias("timezone_id"),
-                F.lit("UNPAUSED").alias("pause_status"),
-            ),
-        ).alias("schedule"),
-        F.when(customer % 3 == 0, cluster).alias("cluster_instance"),
-        tasks.alias("tasks"),
-        F.coalesce("chunk", F.lit(0).cast("bigint")).alias("chunk"),
-    ]
+_RESULT = """CASE WHEN o_orderstatus = 'O' THEN 'SUCCESS'
+    WHEN o_orderstatus <> 'F' THEN NULL
+    WHEN o_orderpriority = '5-LOW' THEN 'CANCELED'
+    WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'TIMEDOUT'
+    ELSE 'FAILED' END"""
+
+# From an order with ``started``, ``spent`` (ms), ``result``, ``chunk`` and ``listed``.
+_RUN = """
+    o_custkey AS job_id,
+    o_orderkey AS job_run_id,
+    o_orderkey AS run_id,
+    o_orderkey AS original_attempt_run_id,
+    o_orderkey % 1000 AS run_number,
+    o_orderkey % 1000 AS number_in_job,
+    'job_' || (o_custkey % 20) AS run_name,
+    'https://x/#job/' || o_custkey || '/run/' || o_orderkey AS run_page_url,
+    'JOB_RUN' AS run_type,
+    o_orderkey % 7 * 1000 AS run_duration,
+    started AS start_time,
+    CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_orderkey % 97 <> 0 THEN started + spent END
+        AS end_time,
+    o_custkey % 5 * 1000 AS setup_duration,
+    spent AS execution_duration,
+    0L AS cleanup_duration,
+    o_orderkey % 3 * 100 AS queue_duration,
+    CASE WHEN o_custkey % 17 <> 0 THEN 'user' || (o_custkey % 50) || '@example.com' END
+        AS creator_user_name,
+    if(o_custkey % 2 = 0, 'PERIODIC', 'ONE_TIME') AS `trigger`,
+    named_struct(
+        'life_cycle_state', if(o_orderstatus = 'P', 'RUNNING', 'TERMINATED'),
+        'result_state', result,
+        'state_message', 'run ' || if(o_orderstatus = 'P', 'running', 'terminated'),
+        'user_cancelled_or_timedout', coalesce(result IN ('CANCELED', 'TIMEDOUT'), false)
+    ) AS state,
+    named_struct(
+        'state', if(o_orderstatus = 'P', 'RUNNING', 'TERMINATED'),
+        'termination_details', named_struct(
+            'code', result,
+            'type', CASE WHEN result = 'SUCCESS' THEN 'SUCCESS'
+                WHEN result IS NOT NULL THEN 'CLIENT_ERROR' END)
+    ) AS status,
+    CASE WHEN o_custkey % 2 = 0 THEN named_struct(
+        'quartz_cron_expression', '0 0 * * * ?', 'timezone_id', 'UTC',
+        'pause_status', 'UNPAUSED') END AS schedule,
+    CASE WHEN o_custkey % 3 = 0 THEN named_struct('cluster_id', 'c-' || (o_custkey % 10)) END
+        AS cluster_instance,
+    transform(listed, t -> named_struct(
+        'run_id', t.run_id,
+        'start_time', started,
+        'end_time', started + t.quantity * 60000,
+        'setup_duration', 0L,
+        'execution_duration', t.quantity * 60000,
+        'cleanup_duration', 0L,
+        'queue_duration', 0L,
+        'cluster_instance',
+            if(t.cluster_id IS NULL, NULL, named_struct('cluster_id', t.cluster_id))
+    )) AS tasks,
+    coalesce(chunk, 0L) AS chunk
+"""
 
 
+@cache
 def listed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs as pages list them, with ``chunk`` counting repeats of runs with many tasks."""
     (light, sliced), heavy = _task_lists(spark, sf_dir)
     orders = table(spark, sf_dir, "orders")
     is_key = F.col("o_orderkey") == F.col("l_orderkey")
-    plain = orders.join(heavy, is_key, "left_anti").join(light, is_key, "left")
+    # Lists are partitioned by order already, so a merge join shuffles the orders alone.
+    plain = orders.join(heavy, is_key, "left_anti").join(light.hint("merge"), is_key, "left")
     # Heavy orders: one row each here, so the many lists are the only large side.
     large = sliced.join(orders.join(heavy, is_key, "left_semi"), is_key)
     rows = plain.unionByName(large.select(*plain.columns))
-    return rows.select(*_run_columns())
+    timed = rows.select(
+        "*",
+        F.unix_millis(utc("o_orderdate")).alias("started"),
+        F.expr("coalesce(total, 1) * 60000L").alias("spent"),
+        F.expr(_RESULT).alias("result"),
+    )
+    return spark.sql(f"SELECT {_RUN} FROM {{timed}}", timed=timed)
 
 
+@cache
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed_runs(spark, sf_dir).drop("chunk")
 
@@ -207,6 +194,7 @@ def workspace_host(job_id: str | Column = "job_id") -> Column:
     return column
 
 
+@cache
 def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of up to 100 runs, each with the token of the next; the last has none."""
     listed = listed_runs(spark, sf_dir)
@@ -233,6 +221,7 @@ def polled(df: DataFrame, key: str = "job_run_id") -> DataFrame:
     return df.select("*", F.explode(polls).alias("poll"))
 
 
+@cache
 def polled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of both polls; the second lists every fifth run again."""
     pages = run_pages(spark, sf_dir)
@@ -240,6 +229,7 @@ def polled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("poll", F.lit(1)).unionByName(again.withColumn("poll", F.lit(2)))
 
 
+@cache
 def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run/task rows with the run in ``job``."""
     return as_job(split_tasks(runs(spark, sf_dir)))
@@ -277,6 +267,7 @@ def _sample(name: Column, kind: str, attribute: str, value: Column, status: Colu
     ]
 
 
+@cache
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JMX samples of the events; counters are running sums that start over each day.
 
@@ -349,6 +340,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gauges.unionByName(counters)
 
 
+@cache
 def repeated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gauge and counter readings as they arrive, every tenth a second time and one higher."""
     events = _events(spark, sf_dir)
@@ -364,6 +356,7 @@ def repeated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again).drop("event_id")
 
 
+@cache
 def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(name) for name in METRIC_SETS))
     return table(spark, sf_dir, "events").select(
@@ -379,6 +372,7 @@ def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_PER_BLOCK = 64
 
 
+@cache
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents, every fourth with a time in front; a document is a file."""
     lines = table(spark, sf_dir, "documents").select(
@@ -403,6 +397,7 @@ def log_path() -> Column:
     ).otherwise(F.concat(F.lit("/logs/spark/work/app-0/1/stderr-"), "file"))
 
 
+@cache
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     flag = (

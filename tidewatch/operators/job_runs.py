@@ -89,8 +89,9 @@ def decode_json(
             for f in fields
         )
     )
-    unread = F.col("_raw._unread").isNotNull()
-    value = F.when(F.col(col).isNotNull() & ~unread, decoded)
+    failed = F.col("_raw").isNull() | F.col("_raw._unread").isNotNull()
+    unread = F.col(col).isNotNull() & failed
+    value = F.when(F.col(col).isNotNull() & ~failed, decoded)
     if target in df.columns:
         value = F.coalesce(F.col(target), value)
     return (

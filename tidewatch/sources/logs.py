@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ _FILES = {"driver": DRIVER_LOG_FILES, "executor": EXECUTOR_LOG_FILES}
 _FOLDERS = {"driver": "driver/logs", "executor": "spark/work/*/*"}
 
 
-def _name_filter(kind: str) -> str:
-    return "{" + ",".join(_FILES[kind]) + "}"
+def _name_filter(files: Sequence[str]) -> str:
+    return "{" + ",".join(files) + "}"
 
 
 def exclude_gz(df: DataFrame, path: str | Column = "_metadata.file_path") -> DataFrame:
@@ -34,16 +36,23 @@ def _as_lines(text: DataFrame) -> DataFrame:
     )
 
 
-def read_logs(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """Log lines of ``kind`` (``driver`` or ``executor``) below ``root``."""
-    text = spark.read.option("pathGlobFilter", _name_filter(kind)).text(
+def read_logs(
+    spark: SparkSession, root: str, kind: str, files: Sequence[str] | None = None
+) -> DataFrame:
+    """Log lines of ``kind`` (``driver`` or ``executor``) below ``root``.
+
+    ``files`` replaces the usual names, for logs landed under other ones.
+    """
+    text = spark.read.option("pathGlobFilter", _name_filter(files or _FILES[kind])).text(
         f"{root.rstrip('/')}/{_FOLDERS[kind]}"
     )
     return _as_lines(text)
 
 
-def stream_logs(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    text = spark.readStream.option("pathGlobFilter", _name_filter(kind)).text(
+def stream_logs(
+    spark: SparkSession, root: str, kind: str, files: Sequence[str] | None = None
+) -> DataFrame:
+    text = spark.readStream.option("pathGlobFilter", _name_filter(files or _FILES[kind])).text(
         f"{root.rstrip('/')}/{_FOLDERS[kind]}"
     )
     return _as_lines(text)
