@@ -476,7 +476,7 @@ def log_multiline_stream(spark, sf_dir):
     for part in parts:
         part.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(part.schema).parquet(landing)
-        run_available(multiline_stream(stream, timeout="24h"), out, checkpoint)
+        run_available(multiline_stream(stream, timeout=None), out, checkpoint)
     return spark.read.parquet(out).select("file", "pos", "message", "n_lines", "truncated")
 
 

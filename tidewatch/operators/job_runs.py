@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.durations import cutoff_ms, positive_ms_to_timestamp
-from tidewatch.functions.nesting import field_or_null, nest
+from tidewatch.functions.nesting import field_or_null, leaf_paths, nest
 from tidewatch.schema.fixed_values import (
     CLOUD_HOSTS,
     ECS_VERSION,
@@ -321,18 +321,17 @@ _ADDED = {
     "related.user": "related_user",
 }
 
-_TASK_TIMES = ("job.tasks.start_time", "job.tasks.end_time")
-
-
 def enforce_job_schema(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The declared leaves with their declared types; a value that does not fit is null.
 
-    ``keep`` names further columns to carry along.
+    Times still in epoch ms, as tasks have them, become timestamps.  ``keep`` names
+    further columns to carry along.
     """
     leaves = {}
+    present = leaf_paths(df.schema)
     for leaf in JOB_LEAVES:
         source = _ADDED.get(leaf.path, leaf.path)
-        if leaf.path in _TASK_TIMES:
+        if leaf.type == "timestamp" and isinstance(present.get(source), T.IntegralType):
             column = positive_ms_to_timestamp(field_or_null(df, source, "bigint"))
         else:
             column = field_or_null(df, source, leaf.type)

@@ -78,7 +78,7 @@ def _joined(event: tuple, fragment, max_lines: int) -> tuple:
 
 def multiline_stream(
     lines: DataFrame,
-    timeout: str = LINE_TIMEOUT,
+    timeout: str | None = LINE_TIMEOUT,
     pattern: str = LOG_EVENT_START,
     negate: bool = True,
     max_lines: int = MAX_LINES,
@@ -88,8 +88,12 @@ def multiline_stream(
     An event is emitted when the next one opens, when its file's end mark (a null value)
     arrives, or after ``timeout`` without a new line of the file.  ``block`` and ``pos``
     tell where it begins.
+
+    Timeouts run on the clock and keep a query going, so give none (``None``) for a run
+    over landed data, which is to stop by itself.
     """
-    wait_ms = parse_duration(timeout)
+    wait_ms = parse_duration(timeout) if timeout else None
+    clock = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
 
     def shown(file: str, event: tuple) -> tuple:
         block, pos, n_lines, message = event
@@ -121,7 +125,8 @@ def multiline_stream(
                 event = None
         if event is not None:
             state.update(event)
-            state.setTimeoutDuration(wait_ms)
+            if wait_ms:
+                state.setTimeoutDuration(wait_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(done, columns=_EVENT_COLUMNS)
@@ -131,6 +136,6 @@ def multiline_stream(
     )
     edges = _fragments(lines, pattern, negate, max_lines, whole=False)
     carried = edges.groupBy("file").applyInPandasWithState(
-        advance, _EVENT, _OPEN_EVENT, "append", GroupStateTimeout.ProcessingTimeTimeout
+        advance, _EVENT, _OPEN_EVENT, "append", clock
     )
     return whole.unionByName(carried)
