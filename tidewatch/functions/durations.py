@@ -56,6 +56,10 @@ def iso_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSX")
 
 
+# The largest epoch ms a date can hold in the source's own scripts.
+_LAST_MS = 8_640_000_000_000_000
+
+
 def positive_ms_to_timestamp(ms: Column) -> Column:
-    """Epoch ms as a timestamp; null, zero and negative values give null."""
-    return F.when(ms > 0, F.timestamp_millis(ms))
+    """Epoch ms as a timestamp; null, zero, negative and impossible values give null."""
+    return F.when((ms > 0) & (ms <= _LAST_MS), F.timestamp_millis(ms))

@@ -70,7 +70,7 @@ def decode_json(
     An object or array one level down may also come as JSON text.  A ``target`` that is
     already there wins.  ``decode_error`` tells why a text could not be read.
     """
-    fields = T.StructType.fromDDL(schema)
+    fields = T.StructType.fromDDL(schema).fields
     nested = {f.name for f in fields if isinstance(f.dataType, (T.StructType, T.ArrayType))}
     # Nested fields are first read as text: the content of a JSON string, or the raw
     # JSON of an object.  Either way the second read gives the typed value.

@@ -2,40 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+_CLUSTER = "struct<cluster_id: string>"
 
-TASK = (
-    "run_id bigint, start_time bigint, end_time bigint, setup_duration bigint, "
-    "execution_duration bigint, cleanup_duration bigint, queue_duration bigint, "
-    "cluster_instance struct<cluster_id: string>"
-)
+_TASK = {
+    "run_id": "bigint",
+    "start_time": "bigint",
+    "end_time": "bigint",
+    "setup_duration": "bigint",
+    "execution_duration": "bigint",
+    "cleanup_duration": "bigint",
+    "queue_duration": "bigint",
+    "cluster_instance": _CLUSTER,
+}
 
-RUN = (
-    "job_id bigint, job_run_id bigint, run_id bigint, original_attempt_run_id bigint, "
-    "run_number bigint, number_in_job bigint, run_name string, run_page_url string, "
-    "run_type string, run_duration bigint, start_time bigint, end_time bigint, "
-    "setup_duration bigint, execution_duration bigint, cleanup_duration bigint, "
-    "queue_duration bigint, creator_user_name string, `trigger` string, "
-    "state struct<life_cycle_state: string, result_state: string, state_message: string, "
-    "user_cancelled_or_timedout: boolean>, "
-    "status struct<state: string, termination_details: struct<code: string, type: string>>, "
-    "schedule struct<quartz_cron_expression: string, timezone_id: string, pause_status: string>, "
-    "cluster_instance struct<cluster_id: string>"
-)
+_RUN = {
+    "job_id": "bigint",
+    "job_run_id": "bigint",
+    "run_id": "bigint",
+    "original_attempt_run_id": "bigint",
+    "run_number": "bigint",
+    "number_in_job": "bigint",
+    "run_name": "string",
+    "run_page_url": "string",
+    "run_type": "string",
+    "run_duration": "bigint",
+    "start_time": "bigint",
+    "end_time": "bigint",
+    "setup_duration": "bigint",
+    "execution_duration": "bigint",
+    "cleanup_duration": "bigint",
+    "queue_duration": "bigint",
+    "creator_user_name": "string",
+    "trigger": "string",
+    "state": "struct<life_cycle_state: string, result_state: string, state_message: string, "
+    "user_cancelled_or_timedout: boolean>",
+    "status": "struct<state: string, "
+    "termination_details: struct<code: string, type: string>>",
+    "schedule": "struct<quartz_cron_expression: string, timezone_id: string, "
+    "pause_status: string>",
+    "cluster_instance": _CLUSTER,
+}
 
+RUN_FIELDS = (*_RUN, "tasks")
 
-def as_struct(columns: str) -> str:
-    """``"a int, b string"`` as ``struct<a: int, b: string>``."""
-    return T.StructType.fromDDL(columns).simpleString()
 
+def struct_of(columns: dict[str, str]) -> str:
+    """``{"a": "int"}`` as ``struct<`a`: int>``."""
+    return "struct<" + ", ".join(f"`{name}`: {type_}" for name, type_ in columns.items()) + ">"
 
-RUN_FIELDS = tuple(f.name for f in T.StructType.fromDDL(RUN)) + ("tasks",)
 
 # One run as the API lists it (many tasks), and one run/task row after the split (one task).
-LISTED_RUN = f"{RUN}, tasks array<{as_struct(TASK)}>"
-RUN_TASK = f"{RUN}, tasks {as_struct(TASK)}"
+LISTED_RUN = struct_of({**_RUN, "tasks": f"array<{struct_of(_TASK)}>"})
+RUN_TASK = struct_of({**_RUN, "tasks": struct_of(_TASK)})
 
-RUN_PAGE = f"page_token string, next_page_token string, runs array<{as_struct(LISTED_RUN)}>"
+RUN_PAGE = f"page_token string, next_page_token string, runs array<{LISTED_RUN}>"
 
 JMX_SAMPLE = (
     "ts timestamp, arrival int, host string, mbean string, attribute string, "

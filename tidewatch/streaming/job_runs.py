@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.durations import spark_interval
+from tidewatch.functions.durations import positive_ms_to_timestamp, spark_interval
 from tidewatch.operators.job_runs import split_runs
 from tidewatch.plans.job_events import current_rows, run_task_rows, shape_events
 from tidewatch.schema.fixed_values import LOOKBACK, REQUEST_INTERVAL, TERMINATED
@@ -30,7 +30,7 @@ def stream_job_events(
     ended = F.coalesce(F.col("job.status.state") == TERMINATED, F.lit(False))
     once = (
         rows.filter(ended)
-        .withColumn("_started", F.timestamp_millis("job.start_time"))
+        .withColumn("_started", positive_ms_to_timestamp(F.col("job.start_time")))
         .withColumn("_run", F.col("job.job_run_id"))
         .withColumn("_task", F.col("job.tasks.run_id"))
         .withWatermark("_started", spark_interval(lookback))
@@ -50,7 +50,7 @@ def stream_status_counts(
     runs = split_runs(pages).select(
         "job_run_id",
         F.col("state.result_state").alias("result_state"),
-        F.timestamp_millis("start_time").alias("started"),
+        positive_ms_to_timestamp(F.col("start_time")).alias("started"),
     )
     return (
         runs.withWatermark("started", spark_interval(late))
