@@ -109,8 +109,8 @@ def multiline_stream(
             yield pd.DataFrame([shown(file, event)], columns=_EVENT_COLUMNS)
             return
         done = []
-        arrived = pd.concat(list(batches)).sort_values(["block", "pos"])
-        for fragment in arrived.itertuples(index=False):
+        arrived = [row for batch in batches for row in batch.itertuples(index=False)]
+        for fragment in sorted(arrived, key=lambda row: (row.block, row.pos)):
             if event is not None and (fragment.opens or fragment.ends):
                 done.append(shown(file, event))
                 event = None
@@ -129,7 +129,8 @@ def multiline_stream(
                 state.setTimeoutDuration(wait_ms)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(done, columns=_EVENT_COLUMNS)
+        if done:
+            yield pd.DataFrame(done, columns=_EVENT_COLUMNS)
 
     whole = _fragments(lines, pattern, negate, max_lines, whole=True).selectExpr(
         "file", "block", "pos", "message", "n_lines", f"n_lines > {max_lines} AS truncated"
