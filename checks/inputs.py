@@ -85,14 +85,12 @@ def _task_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     )
     chunk = F.floor((F.col("i") - 1) / TASKS_LISTED).alias("chunk")
 
-    def listed(numbered: DataFrame, *parts: str) -> DataFrame:
-        # Grouping by the slice as well keeps the partitioning of the numbering.
-        return numbered.groupBy("l_orderkey", *parts, chunk).agg(
+    def listed(numbered: DataFrame) -> DataFrame:
+        return numbered.groupBy("l_orderkey", chunk).agg(
             F.first("total").alias("total"), F.array_sort(F.collect_list(task)).alias("listed")
-        ).drop(*parts)
+        )
 
-    lists = listed(light), listed(sliced, "l_linenumber", "part_range")
-    return lists, heavy.select("l_orderkey")
+    return (listed(light), listed(sliced)), heavy.select("l_orderkey")
 
 
 _RESULT = """CASE WHEN o_orderstatus = 'O' THEN 'SUCCESS'

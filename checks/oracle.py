@@ -55,13 +55,23 @@ tasks AS (
         CASE WHEN i IS NOT NULL THEN coalesce(end_time, 0) >= {INTERVAL_MS} END AS in_interval
     FROM runs r LEFT JOIN items ON l_orderkey = r.job_run_id)"""
 
-PAGES = f"""{RUNS},
+# Runs as pages list them: again for every further 100 tasks.
+LISTED = f"""{RUNS},
+repeats AS (
+    SELECT *, unnest(generate_series(0, greatest((n_tasks - 1) // 100, 0))) AS chunk FROM runs),
+listed AS (
+    SELECT * REPLACE (greatest(least(n_tasks - chunk * 100, 100), 0) AS n_tasks),
+        job_run_id // 100 AS page,
+        'p' || (job_run_id // 100) || CASE WHEN chunk > 0 THEN '.' || chunk ELSE '' END
+            AS page_token
+    FROM repeats)"""
+
+PAGES = f"""{LISTED},
 pages AS (
-    SELECT job_run_id // 100 AS page, count(*) AS n_runs, CAST(sum(n_tasks) AS BIGINT) AS n_tasks,
-        'p' || (job_run_id // 100) AS page_token,
-        CASE WHEN job_run_id // 100 < (SELECT max(o_orderkey) // 100 FROM orders)
-            THEN 'p' || (job_run_id // 100 + 1) ELSE '' END AS next_page_token
-    FROM runs GROUP BY job_run_id // 100)"""
+    SELECT page, page_token, count(*) AS n_runs, CAST(sum(n_tasks) AS BIGINT) AS n_tasks,
+        CASE WHEN chunk = 0 AND page < (SELECT max(o_orderkey) // 100 FROM orders)
+            THEN 'p' || (page + 1) ELSE '' END AS next_page_token
+    FROM listed GROUP BY page, page_token, chunk)"""
 
 SAMPLES = """
 readings AS (
@@ -360,7 +370,7 @@ _IDS = "SELECT job_run_id, task_run_id"
 def oracle_sql() -> dict[str, str]:
     sql = {
         "run_pages_scan": f"WITH {PAGES} SELECT page_token, next_page_token, n_runs, n_tasks FROM pages",
-        "lookback_filter": f"WITH {RUNS} SELECT job_run_id, start_time FROM runs "
+        "lookback_filter": f"WITH {LISTED} SELECT job_run_id, start_time FROM listed "
         f"WHERE start_time >= {LOOKBACK_MS}",
         "page_chain_audit": f"""WITH {PAGES}
 SELECT p.next_page_token AS missing_token, CAST(1 AS BIGINT) AS n_pages,
@@ -376,8 +386,8 @@ FROM pages p WHERE p.page % 7 <> 3 AND p.next_page_token <> ''
         "status FROM samples",
         "system_metrics_scan": f"WITH {SYSTEM} SELECT dataset, epoch_us(ts) AS ts, host, value "
         "FROM system_metrics",
-        "split_runs": f"WITH {RUNS} SELECT 'p' || (job_run_id // 100) AS page_token, job_run_id, "
-        "job_id, run_name, n_tasks FROM runs",
+        "split_runs": f"WITH {LISTED} SELECT page_token, job_run_id, job_id, run_name, "
+        "n_tasks FROM listed",
         "split_tasks_keep_parent": f"WITH {TASKS} SELECT job_run_id, job_id, run_name, "
         "task_run_id, task_duration, task_cluster AS task_cluster_id FROM tasks",
         "decode_json_fields": f"""WITH {TASKS}

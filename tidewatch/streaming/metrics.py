@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewatch.functions.durations import spark_interval
 from tidewatch.operators.metrics import match_catalogue
@@ -19,10 +20,15 @@ def stream_gauge_rollup(
     dims: Sequence[str] = SERIES,
     streams: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Gauge rollup of deduplicated samples, a bucket at a time once it is ``late`` behind."""
+    """Gauge rollup of deduplicated samples, a bucket at a time once it is ``late`` behind.
+
+    Copies of a sample are folded by an aggregation, which begins before the shuffle, so
+    many copies of one sample do not meet in one task; the first to arrive counts.
+    """
     once = (
         samples.withWatermark("ts", spark_interval(late))
-        .dropDuplicatesWithinWatermark(["host", "mbean", "attribute", "ts"])
+        .groupBy("ts", "host", "mbean", "attribute")
+        .agg(F.min_by("value", "arrival").alias("value"))
     )
     gauges = of_kind(match_catalogue(once, streams), "gauge")
     return gauge_rollup(gauges, dims, every)
