@@ -350,7 +350,8 @@ FULL_EVENT_COLUMNS = f"""{JOB_EVENT_COLUMNS},
     {ms_to_us('start_time')} AS event_start, {ms_to_us('end_time')} AS event_end,
     CASE WHEN run_duration > 0 THEN run_duration * 1000000 END AS event_duration,
     {_outcome('result_state')} AS event_outcome, creator AS user_name,
-    cloud AS cloud_provider, creator AS related_user, 'prod' AS tags,
+    cloud AS cloud_provider, creator AS related_user, '8.11.0' AS ecs_version,
+    'prod' AS tags,
     CAST(NULL AS VARCHAR) AS error_message"""
 
 # Terminated rows once, rows of open runs as often as they were polled.

@@ -26,6 +26,7 @@ from tidewatch.schema.fixed_values import (
     METRIC_KIND,
     MODULE,
     OLD_DATASET_PREFIX,
+    SHARED_DIMENSIONS,
 )
 from tidewatch.schema.metric_leaves import leaves_of, mapped_leaves
 
@@ -193,19 +194,29 @@ def wide_columns(stream: str) -> list[str]:
 
 
 def wide_metrics(df: DataFrame, stream: str, keep: Sequence[str] = ()) -> DataFrame:
-    """One typed column per declared leaf, named after its path, besides ``keep``."""
-    return df.select(
-        *keep,
-        *(
-            field_or_null(df, f"databricks.{leaf.field}", leaf.type).alias(name)
-            for leaf, name in zip(leaves_of(stream), wide_columns(stream))
-        ),
-    )
+    """One typed column per declared leaf, named after its path, besides ``keep``.
+
+    The metric kind, or that it is a dimension, is in the column's metadata.
+    """
+    columns = []
+    for leaf, name in zip(leaves_of(stream), wide_columns(stream)):
+        column = field_or_null(df, f"databricks.{leaf.field}", leaf.type)
+        about = {"dimension": True} if leaf.kind == "dimension" else {"metric_type": leaf.kind or ""}
+        columns.append(column.alias(name, metadata=about))
+    return df.select(*keep, *columns)
+
+
+def dimensions_of(df: DataFrame) -> list[str]:
+    """Columns of ``df`` that tell series apart: shared dimensions, metric name and owner."""
+    shared = [name.replace(".", "_") for name in SHARED_DIMENSIONS]
+    own = ["host", "mbean", "application_name", "id", "name"]
+    own += [f"{s}_{n}" for s in ("application", "driver", "executor") for n in own[1:]]
+    return [c for c in df.columns if c in (*shared, *own)]
 
 
 def tsds_dedup(
     df: DataFrame,
-    dimensions: Sequence[str] = ("host", "mbean"),
+    dimensions: Sequence[str] | None = None,
     at: str = "ts",
     arrival: str = "arrival",
 ) -> DataFrame:
@@ -213,6 +224,8 @@ def tsds_dedup(
 
     As in ``dedup_terminated``, copies are thinned out before the shuffle.
     """
+    if dimensions is None:
+        dimensions = dimensions_of(df)
     first = Window.partitionBy(*dimensions, at).orderBy(arrival)
     return df.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
 

@@ -95,10 +95,14 @@ def with_pretty_duration(detail: DataFrame, ms: str = "run_duration") -> DataFra
 
 
 def control_filter(events: DataFrame, choices: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Events matching every control that has choices; a control without any filters nothing."""
+    """Events matching every control that has choices; a control without any filters nothing.
+
+    Besides the controls, any event field may be named by its path, as a click on a
+    chart or table cell does.
+    """
     for control, values in choices.items():
         if values:
-            events = events.filter(F.col(CONTROLS[control]).isin(list(values)))
+            events = events.filter(F.col(CONTROLS.get(control, control)).isin(list(values)))
     return events
 
 

@@ -58,7 +58,7 @@ def shape_events(
         .transform(steps.documented_ids)
         .transform(steps.drop_transient)
     )
-    keep = ["tags", "error_message"]
+    keep = ["ecs_version", "tags", "error_message"]
     if "event_original" in events.columns:
         events = steps.retain_original(events)
         keep.append("event_original")
