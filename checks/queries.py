@@ -540,7 +540,7 @@ def dataset_normalise(spark, sf_dir):
 
 
 def event_table(spark, sf_dir) -> DataFrame:
-    return shape_events(inputs.task_rows(spark, sf_dir), NOW, HOST("job.job_id"))
+    return shape_events(inputs.task_rows(spark, sf_dir), NOW, HOST("job.job_id"), nested=False)
 
 
 @query

@@ -128,6 +128,13 @@ def _update_job(df: DataFrame, **fields: Column) -> DataFrame:
     return df.withColumn("job", job)
 
 
+def duration_ms() -> Column:
+    """Duration in ms from the epoch-ms start and end; the API's value for an open run."""
+    start, end = F.col("job.start_time"), F.col("job.end_time")
+    spent = F.coalesce(F.try_subtract(end, start), "job.run_duration")
+    return F.when(start.isNotNull() & (end > 0), spent).otherwise(F.col("job.run_duration"))
+
+
 def ms_to_time(df: DataFrame) -> DataFrame:
     """Start and end of the run from epoch ms to timestamps; zero and null give null."""
     return _update_job(
@@ -138,18 +145,21 @@ def ms_to_time(df: DataFrame) -> DataFrame:
 
 
 def run_duration(df: DataFrame) -> DataFrame:
-    """Duration in ms from the epoch-ms start and end; the API's value for an open run.
+    """Set the run's duration; comes before ``ms_to_time``, since it works on the numbers."""
+    return _update_job(df, run_duration=duration_ms())
 
-    Comes before ``ms_to_time``, since it works on the numbers.
+
+def with_run_times(df: DataFrame) -> DataFrame:
+    """``run_duration`` and ``ms_to_time`` at once, beside ``job`` instead of in it.
+
+    Spark does not prune the fields of a rewritten struct, but drops columns nobody reads.
     """
-    start, end = F.col("job.start_time"), F.col("job.end_time")
-    known = start.isNotNull() & (end > 0)
-    spent = F.try_subtract(end, start)
-    return _update_job(
-        df,
-        run_duration=F.when(known, F.coalesce(spent, "job.run_duration")).otherwise(
-            F.col("job.run_duration")
-        ),
+    return df.withColumns(
+        {
+            "run_ms": duration_ms(),
+            "run_start": positive_ms_to_timestamp(F.col("job.start_time")),
+            "run_end": positive_ms_to_timestamp(F.col("job.end_time")),
+        }
     )
 
 
@@ -201,24 +211,24 @@ def ecs_constants(df: DataFrame) -> DataFrame:
     )
 
 
-def event_times(df: DataFrame) -> DataFrame:
+def event_times(
+    df: DataFrame, start: str = "job.start_time", end: str = "job.end_time"
+) -> DataFrame:
     """Event start and end from the run's times (timestamps or ISO text); bad text gives null."""
 
     def parsed(name: str) -> Column:
-        column = F.col(f"job.{name}")
+        column = F.col(name)
         type_ = df.select(column).schema[0].dataType
         if isinstance(type_, T.TimestampType):
             return column
         return F.try_to_timestamp(column.cast("string"))
 
-    return df.withColumn("event_start", parsed("start_time")).withColumn(
-        "event_end", parsed("end_time")
-    )
+    return df.withColumn("event_start", parsed(start)).withColumn("event_end", parsed(end))
 
 
-def event_duration(df: DataFrame) -> DataFrame:
+def event_duration(df: DataFrame, duration: str = "job.run_duration") -> DataFrame:
     """Duration in ns for a positive duration in ms, else absent (also on overflow)."""
-    ms = F.col("job.run_duration")
+    ms = F.col(duration)
     return df.withColumn(
         "event_duration", F.when(ms > 0, F.try_multiply(ms, F.lit(1_000_000).cast("bigint")))
     )
@@ -305,6 +315,9 @@ def dedup_terminated(
 
 # Columns the steps above add, under the path they have in the event table.
 _ADDED = {
+    "job.run_duration": "run_ms",
+    "job.start_time": "run_start",
+    "job.end_time": "run_end",
     "databricks.cluster_id": "cluster_id",
     "event.id": "event_id",
     "event.kind": "event_kind",
@@ -321,21 +334,28 @@ _ADDED = {
     "related.user": "related_user",
 }
 
-def enforce_job_schema(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def enforce_job_schema(
+    df: DataFrame, keep: Sequence[str] = (), nested: bool = True
+) -> DataFrame:
     """The declared leaves with their declared types; a value that does not fit is null.
 
     Times still in epoch ms, as tasks have them, become timestamps.  ``keep`` names
-    further columns to carry along.
+    further columns to carry along.  Without ``nested`` the leaves are plain columns, the
+    dots of their paths turned to underscores.
     """
     leaves = {}
     present = leaf_paths(df.schema)
     for leaf in JOB_LEAVES:
         source = _ADDED.get(leaf.path, leaf.path)
+        source = source if source in present else leaf.path
         if leaf.type == "timestamp" and isinstance(present.get(source), T.IntegralType):
             column = positive_ms_to_timestamp(field_or_null(df, source, "bigint"))
         else:
             column = field_or_null(df, source, leaf.type)
         leaves[leaf.path] = column
+    if not nested:
+        flat = (c.alias(path.replace(".", "_")) for path, c in leaves.items())
+        return df.select(*flat, *keep)
     units = {leaf.path: leaf.unit for leaf in JOB_LEAVES if leaf.unit}
     typed = df.select(*nest(leaves), *keep)
     for top in {path.split(".")[0] for path in units}:

@@ -1,6 +1,7 @@
 """Questions the job-run dashboard asks of the event table.
 
 Events have one row per run and task, so counts of runs are counts of distinct run ids.
+The event table may be nested, as stored, or have its leaves as plain columns.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ CONTROLS = {
 }
 
 
+def field(events: DataFrame, path: str) -> Column:
+    """The event field at ``path``, wherever the table keeps it."""
+    plain = path.replace(".", "_")
+    return F.col(plain) if plain in events.columns else F.col(path)
+
+
 def run_totals(events: DataFrame) -> DataFrame:
     """Total, successful, failed and canceled runs, in one row.
 
@@ -33,11 +40,11 @@ def run_totals(events: DataFrame) -> DataFrame:
     """
     shown = {"success": "SUCCESS", "failed": "FAILED", "canceled": "CANCELED"}
     runs = (
-        events.filter(F.col(RUN_ID).isNotNull())
-        .groupBy(F.col(RUN_ID).alias("run"))
+        events.filter(field(events, RUN_ID).isNotNull())
+        .groupBy(field(events, RUN_ID).alias("run"))
         .agg(
             *(
-                F.max(F.coalesce(F.col(STATE) == state, F.lit(False))).alias(name)
+                F.max(F.coalesce(field(events, STATE) == state, F.lit(False))).alias(name)
                 for name, state in shown.items()
             )
         )
@@ -52,10 +59,10 @@ def runs_timeline(events: DataFrame, every: str = "24h") -> DataFrame:
     """Runs per time bucket of their start and result state (null: still going)."""
     return (
         events.groupBy(
-            F.window(START, spark_interval(every)).alias("_bucket"),
-            F.col(STATE).alias("result_state"),
+            F.window(field(events, START), spark_interval(every)).alias("_bucket"),
+            field(events, STATE).alias("result_state"),
         )
-        .agg(F.count_distinct(RUN_ID).alias("n_runs"))
+        .agg(F.count_distinct(field(events, RUN_ID)).alias("n_runs"))
         .select(F.col("_bucket.start").alias("bucket"), "result_state", "n_runs")
     )
 
@@ -63,17 +70,17 @@ def runs_timeline(events: DataFrame, every: str = "24h") -> DataFrame:
 def run_detail(events: DataFrame) -> DataFrame:
     """Columns of the detail table."""
     return events.select(
-        F.col(RUN_ID).alias("job_run_id"),
-        F.col("job.tasks.run_id").alias("task_run_id"),
-        F.col("job.run_name").alias("run_name"),
-        F.col("job.job_id").alias("job_id"),
-        F.col(STATE).alias("result_state"),
-        F.col(START).alias("start_time"),
-        F.col("job.end_time").alias("end_time"),
-        F.col("job.run_duration").alias("run_duration"),
-        F.col("job.creator_user_name").alias("creator_user_name"),
-        F.col("databricks.cluster_id").alias("cluster_id"),
-        F.col("job.status.termination_details.code").alias("termination_code"),
+        field(events, RUN_ID).alias("job_run_id"),
+        field(events, "job.tasks.run_id").alias("task_run_id"),
+        field(events, "job.run_name").alias("run_name"),
+        field(events, "job.job_id").alias("job_id"),
+        field(events, STATE).alias("result_state"),
+        field(events, START).alias("start_time"),
+        field(events, "job.end_time").alias("end_time"),
+        field(events, "job.run_duration").alias("run_duration"),
+        field(events, "job.creator_user_name").alias("creator_user_name"),
+        field(events, "databricks.cluster_id").alias("cluster_id"),
+        field(events, "job.status.termination_details.code").alias("termination_code"),
     )
 
 
@@ -102,7 +109,7 @@ def control_filter(events: DataFrame, choices: Mapping[str, Sequence[str]]) -> D
     """
     for control, values in choices.items():
         if values:
-            events = events.filter(F.col(CONTROLS.get(control, control)).isin(list(values)))
+            events = events.filter(field(events, CONTROLS.get(control, control)).isin(list(values)))
     return events
 
 
@@ -112,14 +119,16 @@ def control_options(events: DataFrame) -> DataFrame:
     One pass: each row yields its four options, and repeated (option, run) pairs are
     folded before the shuffle.
     """
+    # Plain columns first: below a generator Spark would keep the whole job struct.
+    shown = events.select(
+        field(events, RUN_ID).alias("_run"),
+        *(field(events, path).cast("string").alias(name) for name, path in CONTROLS.items()),
+    )
     options = F.array(
-        *(
-            F.struct(F.lit(name).alias("control"), F.col(path).cast("string").alias("value"))
-            for name, path in CONTROLS.items()
-        )
+        *(F.struct(F.lit(name).alias("control"), F.col(name).alias("value")) for name in CONTROLS)
     )
     return (
-        events.select(F.col(RUN_ID).alias("_run"), F.inline(options))
+        shown.select("_run", F.inline(options))
         .filter(F.col("value").isNotNull())
         .groupBy("control", "value")
         .agg(F.count_distinct("_run").alias("n_runs"))
@@ -132,7 +141,7 @@ def _utc(moment: datetime) -> Column:
 
 def time_range(events: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Events of runs that started in ``[start, end)``."""
-    return events.filter((F.col(START) >= _utc(start)) & (F.col(START) < _utc(end)))
+    return events.filter((field(events, START) >= _utc(start)) & (field(events, START) < _utc(end)))
 
 
 def run_trend(events: DataFrame, days: int = 7) -> DataFrame:
@@ -141,9 +150,9 @@ def run_trend(events: DataFrame, days: int = 7) -> DataFrame:
     The window without keys runs over one row per calendar day, not over the events.
     """
     daily = (
-        events.filter(F.col(START).isNotNull())
-        .groupBy(F.to_date(START).alias("day"))
-        .agg(F.count_distinct(RUN_ID).alias("n_runs"))
+        events.filter(field(events, START).isNotNull())
+        .groupBy(F.to_date(field(events, START)).alias("day"))
+        .agg(F.count_distinct(field(events, RUN_ID)).alias("n_runs"))
     )
     recent = Window.orderBy("day").rowsBetween(1 - days, Window.currentRow)
     mean = F.sum("n_runs").over(recent) / F.count("n_runs").over(recent)
@@ -155,12 +164,12 @@ def failed_job_alert(
 ) -> DataFrame:
     """Jobs with at least so many failed runs in a time bucket."""
     return (
-        events.filter(F.col(STATE) == "FAILED")
+        events.filter(field(events, STATE) == "FAILED")
         .groupBy(
-            F.col("job.job_id").alias("job_id"),
-            F.window(START, spark_interval(every)).alias("_bucket"),
+            field(events, "job.job_id").alias("job_id"),
+            F.window(field(events, START), spark_interval(every)).alias("_bucket"),
         )
-        .agg(F.count_distinct(RUN_ID).alias("failed_runs"))
+        .agg(F.count_distinct(field(events, RUN_ID)).alias("failed_runs"))
         .filter(F.col("failed_runs") >= at_least)
         .select("job_id", F.col("_bucket.start").alias("bucket"), "failed_runs")
     )

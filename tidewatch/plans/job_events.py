@@ -33,8 +33,13 @@ def shape_events(
     tags: Sequence[str] = (),
     preserve_original: bool = False,
     namespace: str = "default",
+    nested: bool = True,
 ) -> DataFrame:
-    """Event columns and declared types for run/task rows; narrow throughout."""
+    """Event columns and declared types for run/task rows; narrow throughout.
+
+    Without ``nested`` the leaves are plain columns (``job_run_name``), which lets a query
+    on events that are not stored read only the source columns it needs.
+    """
     if now.tzinfo is None:
         now = now.replace(tzinfo=timezone.utc)
     if "error_message" not in rows.columns:
@@ -45,14 +50,13 @@ def shape_events(
         rows.withColumn("@timestamp", F.lit(now))
         .transform(steps.drop_message)
         .transform(steps.cloud_provider, host)
-        .transform(steps.run_duration)
-        .transform(steps.ms_to_time)
+        .transform(steps.with_run_times)
         .transform(steps.stamp_stream, namespace=namespace)
         .transform(steps.apply_tags, tags, preserve_original)
         .transform(steps.cluster_id)
         .transform(steps.ecs_constants)
-        .transform(steps.event_times)
-        .transform(steps.event_duration)
+        .transform(steps.event_times, "run_start", "run_end")
+        .transform(steps.event_duration, "run_ms")
         .transform(steps.outcome)
         .transform(steps.related_user)
         .transform(steps.documented_ids)
@@ -62,7 +66,7 @@ def shape_events(
     if "event_original" in events.columns:
         events = steps.retain_original(events)
         keep.append("event_original")
-    return steps.enforce_job_schema(events, keep)
+    return steps.enforce_job_schema(events, keep, nested)
 
 
 def job_events(
