@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from checks import inputs
+from tidewatch.operators.job_runs import as_job, split_tasks
 from tidewatch.plans import dashboards
 from tidewatch.plans.job_events import shape_events
 
@@ -41,7 +42,11 @@ def test_nested_and_plain_agree(tables, question):
     assert sorted(map(str, plain)) == sorted(map(str, nested))
 
 
-def test_only_needed_columns_are_read(tables):
-    plain, _ = tables
-    plan = dashboards.control_options(plain)._jdf.queryExecution().optimizedPlan().toString()
-    assert "user_cancelled_or_timedout" not in plan and "execution_duration" not in plan
+def test_only_needed_columns_are_read(spark, tmp_path):
+    inputs.runs(spark, SF).write.parquet(str(tmp_path / "runs"))
+    rows = as_job(split_tasks(spark.read.parquet(str(tmp_path / "runs"))))
+    plain = shape_events(rows, inputs.NOW, HOST, nested=False)
+    plan = dashboards.control_options(plain)._jdf.queryExecution().executedPlan().toString()
+    read = plan.split("ReadSchema: ")[1].split("\n")[0]
+    assert "run_name" in read and "cluster_instance" in read
+    assert not any(name in read for name in ("run_page_url", "schedule", "execution_duration"))
