@@ -5,10 +5,13 @@ from __future__ import annotations
 import gzip
 import random
 import re
+import subprocess
+import sys
 import time
 
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidewatch.operators import nodes
@@ -130,6 +133,15 @@ def test_open_event_is_flushed_after_the_timeout(spark, tmp_path):
     assert [(r.message, r.n_lines) for r in found] == [(f"{START} a\nx", 2)]
 
 
+def test_executors_need_not_have_the_package(tmp_path):
+    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps(fold_lines))
+    load = "import pickle, pyspark.cloudpickle; print(pickle.load(open('f.bin', 'rb')).__name__)"
+    done = subprocess.run(
+        [sys.executable, "-c", load], cwd=tmp_path, env={}, capture_output=True, text=True
+    )
+    assert done.stdout.strip() == "fold_lines", done.stderr
+
+
 def test_read_logs(spark, tmp_path):
     driver = tmp_path / "driver" / "logs"
     work = tmp_path / "spark" / "work" / "app-1" / "0"

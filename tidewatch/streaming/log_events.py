@@ -8,15 +8,20 @@ holding most of the lines costs its group little.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.functions.durations import parse_duration
 from tidewatch.schema.fixed_values import LINE_TIMEOUT, LOG_EVENT_START, MAX_LINES
 
+# The functions below run on executors, which may not have this package: ship their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _FRAGMENT = (
     "file string, block bigint, pos bigint, opens boolean, closed boolean, ends boolean, "
     "n_lines bigint, message string"
