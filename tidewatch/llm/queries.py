@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, language_id, pieces, toxicity
+from tidewatch.llm import chat, language_id, near_dedup, pieces, substring_dedup, toxicity
 from tidewatch.llm.common import id_remainder, read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -37,6 +37,21 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.decode_documents(pieces.encode_documents(docs, path), path))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, near_dedup.Similarity(words=2, percent=80))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     words = "</s>[INST] ok [/INST]"
@@ -62,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_near_dedup": op4_near_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
         "op8_chat": op8_chat,
         "op10_language_id": op10_language_id,
     }
