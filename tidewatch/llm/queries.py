@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, language_id, near_dedup, pieces, substring_dedup, toxicity
+from tidewatch.llm import (
+    chat,
+    decontamination,
+    embedding_dedup,
+    language_id,
+    near_dedup,
+    pieces,
+    substring_dedup,
+    toxicity,
+)
 from tidewatch.llm.common import id_remainder, read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -18,6 +27,11 @@ def piece_model_path() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = toxicity.training_rows(read_table(spark, sf_dir, "labels"))
@@ -52,6 +66,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embedding_dedup.near_duplicate_vectors(vectors)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     words = "</s>[INST] ok [/INST]"
@@ -75,10 +94,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_toxicity": op2_toxicity,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_near_dedup": op4_near_dedup,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op8_chat": op8_chat,
         "op10_language_id": op10_language_id,
     }
