@@ -141,8 +141,12 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     )
 
 
-@F.arrow_udf("struct<n_words:bigint,n_removed:bigint,spans:array<struct<start:bigint,length:bigint>>,kept:string>")
-def _without(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+_CUT = (
+    "struct<n_words:bigint,n_removed:bigint,spans:array<struct<start:bigint,length:bigint>>,kept:string>"
+)
+
+
+def cut_out(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     for texts, all_starts in parts:
         counts, removed, spans, kept = [], [], [], []
@@ -179,9 +183,10 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     texts = keyed.select(F.col(mine).alias("doc"), F.col(text).alias("text"))
     starts = repeated_starts(texts).withColumnRenamed("doc", mine)
     done, found = "_without", "_starts"
+    without = F.arrow_udf(cut_out, _CUT)
     return (
         keyed.join(starts.withColumnRenamed("starts", found), mine, "left")
-        .withColumn(done, _without(F.col(text), F.col(found)))
+        .withColumn(done, without(F.col(text), F.col(found)))
         .withColumn("n_words", F.col(done)["n_words"])
         .withColumn("n_removed", F.col(done)["n_removed"])
         .withColumn("removed_spans", F.col(done)["spans"])
