@@ -68,10 +68,11 @@ class ChunkTable(dict):
         if not text:
             return []
         chunks = chunks_of(text)
-        missing = set(chunks).difference(self)
+        distinct = set(chunks)
+        missing = {chunk for chunk in distinct if chunk not in self}
         if missing:
             if len(self) + len(missing) > TABLE_LIMIT:
-                missing = set(chunks)
+                missing = distinct
             self.add(missing)
         return list(chain.from_iterable(map(self.__getitem__, chunks)))
 
@@ -98,7 +99,8 @@ def decode_column(model_path: str):
     def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         processor = load_processor(model_path)
         for part in ids:
-            yield pa.array([processor.decode(row.as_py() or []) for row in part], pa.string())
+            rows = (row.values.to_numpy().tolist() if row.is_valid else [] for row in part)
+            yield pa.array([processor.decode(row) for row in rows], pa.string())
 
     return decode
 
