@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import (
     chat,
+    context_tree,
     decontamination,
     embedding_dedup,
     language_id,
     near_dedup,
     pieces,
     substring_dedup,
+    token_rollups,
     toxicity,
 )
 from tidewatch.llm.common import id_remainder, read_table
+from tidewatch.session import scratch_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -71,6 +74,21 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(vectors)
 
 
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = context_tree.score_texts(docs, id_remainder(F.col("doc_id"), 10) != 0)
+    return scored.select(
+        "doc_id",
+        (id_remainder(F.col("doc_id"), 10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     words = "</s>[INST] ok [/INST]"
@@ -81,6 +99,43 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in, those of low quality are counted anew without digits, toxic ones
+    are taken out; the last batch arrives twice."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    labels = read_table(spark, sf_dir, "labels")
+    store = token_rollups.RollupStore(spark, scratch_path(spark, "token-rollups"))
+    tokenizers = {"words-1": token_rollups.words, "pieces-2": token_rollups.word_pieces}
+    poor = docs.join(labels.filter("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    toxic = docs.join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    cleaned = poor.withColumn("text", F.regexp_replace("text", "[0-9]+", ""))
+    store.commit("1-all", token_rollups.counted(docs, tokenizers, token_rollups.INSERT))
+    store.commit("2-poor", token_rollups.counted(cleaned, tokenizers, token_rollups.REVISE))
+    for _ in range(2):
+        store.commit("3-toxic", token_rollups.counted(toxic, tokenizers, token_rollups.DELETE))
+    return store.totals()
+
+
+OP9_SQL = """
+with counted as (
+  select d.source, d.lang,
+    case when exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 0)
+      then regexp_replace(d.text, '[0-9]+', '', 'g') else d.text end as body
+  from documents d
+  where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1)
+), versions as (
+  select source, lang, 'words-1' as tokenizer,
+    len(regexp_extract_all(coalesce(body, ''), '[^\\x20\\x09-\\x0D]+')) as n from counted
+  union all
+  select source, lang, 'pieces-2',
+    len(regexp_extract_all(coalesce(body, ''), '\\p{L}+|\\p{N}+|[^\\x20\\x09-\\x0D\\p{L}\\p{N}]'))
+  from counted
+)
+select source, lang, tokenizer, count(*) as n_docs, cast(sum(n) as bigint) as n_tokens
+from versions group by source, lang, tokenizer
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit_language_model(language_id.training_rows(docs), piece_model_path())
@@ -100,10 +155,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_dedup": op4_near_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_context_tree": op7_context_tree,
         "op8_chat": op8_chat,
+        "op9_token_rollups": op9_token_rollups,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_token_rollups": OP9_SQL}

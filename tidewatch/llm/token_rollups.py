@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,14 +76,13 @@ class RollupStore:
 
     def _marks(self) -> list[str]:
         """Ids of committed batches, in order; as many as there are batches."""
-        path = f"{self.root}/commits"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(hadoop):
-            return []
-        return sorted(
-            row["batch"] for row in self.spark.read.schema(MARKS).json(path).distinct().collect()
-        )
+        try:
+            marks = self.spark.read.schema(MARKS).json(f"{self.root}/commits")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        return sorted(row["batch"] for row in marks.distinct().collect())
 
     def ledger(self) -> DataFrame:
         return self._read("ledger", LEDGER)
