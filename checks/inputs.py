@@ -6,14 +6,13 @@ The cached values are lazy plans, so that a session analyses each only once.
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.sequences import (
-    heaviest_keys,
     with_row_number_sliced,
     with_running_total,
 )
@@ -27,8 +26,8 @@ LOOKBACK = "43800h"
 
 # Tasks listed with a run at once; a run with more is listed again with the next ones.
 TASKS_LISTED = 100
-# Runs with more tasks than this are numbered in slices, if among the heaviest.
-HEAVY_RUN = 10_000
+# The second poll comes so much later.
+POLL_GAP = timedelta(hours=720)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +43,10 @@ def utc(column: str | Column) -> Column:
 # --- job runs ---------------------------------------------------------------------
 
 
-def _task_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Tasks per order in lists of up to TASKS_LISTED, and the heavy orders among them.
+def _task_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks per order in lists of up to TASKS_LISTED.
 
-    Line items are numbered per order.  The heaviest orders (at most 1024, found by a
-    count) are numbered in slices and listed apart, so that no order has to fit a task.
+    Line items are numbered per order in slices, so that no order has to fit a task.
     """
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
@@ -56,24 +54,10 @@ def _task_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         "l_partkey",
         "l_suppkey",
         F.col("l_quantity").cast("bigint").alias("quantity"),
+        F.floor(F.col("l_partkey") / 256).alias("part_range"),
     )
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "quantity"]
-    loads = items.groupBy("l_orderkey").agg(
-        F.count("*").alias("n_tasks"), F.sum("quantity").alias("total")
-    )
-    heavy = F.broadcast(heaviest_keys(loads, "l_orderkey", "n_tasks", above=HEAVY_RUN))
-
-    whole = Window.partitionBy("l_orderkey")
-    light = (
-        items.join(heavy.select("l_orderkey"), "l_orderkey", "left_anti")
-        .withColumn("i", F.row_number().over(whole.orderBy(*order)))
-        .withColumn("total", F.sum("quantity").over(whole))
-    )
-    sliced = items.join(heavy.select("l_orderkey", "total"), "l_orderkey").withColumn(
-        "part_range", F.floor(F.col("l_partkey") / 256)
-    )
-    sliced = with_row_number_sliced(
-        sliced,
+    numbered = with_row_number_sliced(
+        items,
         ["l_orderkey"],
         ["l_linenumber", "part_range"],
         ["l_partkey", "l_suppkey", "quantity"],
@@ -84,13 +68,12 @@ def _task_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
             if(l_suppkey % 3 <> 0, 'c-' || (l_suppkey % 10), NULL) AS cluster_id)"""
     )
     chunk = F.floor((F.col("i") - 1) / TASKS_LISTED).alias("chunk")
-
-    def listed(numbered: DataFrame) -> DataFrame:
-        return numbered.groupBy("l_orderkey", chunk).agg(
-            F.first("total").alias("total"), F.array_sort(F.collect_list(task)).alias("listed")
-        )
-
-    return (listed(light), listed(sliced)), heavy.select("l_orderkey")
+    lists = numbered.groupBy("l_orderkey", chunk).agg(
+        F.sum("quantity").alias("quantity"), F.array_sort(F.collect_list(task)).alias("listed")
+    )
+    # One row per list: an order's total is a window over its few lists.
+    whole = Window.partitionBy("l_orderkey")
+    return lists.withColumn("total", F.sum("quantity").over(whole)).drop("quantity")
 
 
 _RESULT = """CASE WHEN o_orderstatus = 'O' THEN 'SUCCESS'
@@ -157,14 +140,9 @@ _RUN = """
 @cache
 def listed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs as pages list them, with ``chunk`` counting repeats of runs with many tasks."""
-    (light, sliced), heavy = _task_lists(spark, sf_dir)
     orders = table(spark, sf_dir, "orders")
-    is_key = F.col("o_orderkey") == F.col("l_orderkey")
-    # Lists are partitioned by order already, so a merge join shuffles the orders alone.
-    plain = orders.join(heavy, is_key, "left_anti").join(light.hint("merge"), is_key, "left")
-    # Heavy orders: one row each here, so the many lists are the only large side.
-    large = sliced.join(orders.join(heavy, is_key, "left_semi"), is_key)
-    rows = plain.unionByName(large.select(*plain.columns))
+    lists = _task_lists(spark, sf_dir)
+    rows = orders.join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     timed = rows.select(
         "*",
         F.unix_millis(utc("o_orderdate")).alias("started"),
@@ -194,7 +172,10 @@ def workspace_host(job_id: str | Column = "job_id") -> Column:
 
 @cache
 def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of up to 100 runs, each with the token of the next; the last has none."""
+    """Pages of up to 100 runs, each with the token of the next; the last has none.
+
+    A page that holds runs with more tasks is followed by pages with their further tasks.
+    """
     listed = listed_runs(spark, sf_dir)
     last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("last_key"))
     page = F.floor(F.col("job_run_id") / 100)
@@ -203,12 +184,16 @@ def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     last_page = last.select(F.floor(F.col("last_key") / 100)).scalar()
     number = F.concat(F.lit("p"), F.col("page"))
-    more = (F.col("page") < last_page) & (F.col("chunk") == 0)
-    return pages.select(
-        F.when(F.col("chunk") == 0, number)
-        .otherwise(F.concat(number, F.lit("."), F.col("chunk")))
-        .alias("page_token"),
-        F.when(more, F.concat(F.lit("p"), F.col("page") + 1)).otherwise("").alias("next_page_token"),
+    of_page = Window.partitionBy("page").orderBy("chunk")
+    token = F.when(F.col("chunk") == 0, number).otherwise(
+        F.concat(number, F.lit("."), F.col("chunk"))
+    )
+    following = F.when(F.col("page") < last_page, F.concat(F.lit("p"), F.col("page") + 1))
+    return pages.withColumn("page_token", token).select(
+        "page_token",
+        F.coalesce(F.lead("page_token").over(of_page), following, F.lit("")).alias(
+            "next_page_token"
+        ),
         "runs",
     )
 
@@ -221,11 +206,17 @@ def polled(df: DataFrame, key: str = "job_run_id") -> DataFrame:
 
 @cache
 def polled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of both polls; the second lists every fifth run again."""
+    """Pages of both polls with the time of each; the second lists every fifth run again."""
     pages = run_pages(spark, sf_dir)
     twice = pages.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("poll"))
     again = F.expr("filter(runs, r -> r.job_run_id % 5 = 0)")
-    return twice.withColumn("runs", F.when(F.col("poll") == 1, F.col("runs")).otherwise(again))
+    fetched = F.when(F.col("poll") == 1, F.lit(NOW)).otherwise(F.lit(NOW + POLL_GAP))
+    return twice.withColumns(
+        {
+            "runs": F.when(F.col("poll") == 1, F.col("runs")).otherwise(again),
+            "fetched_at": fetched,
+        }
+    )
 
 
 @cache

@@ -5,8 +5,10 @@ from __future__ import annotations
 from tidewatch.schema.fixed_values import METRIC_SETS
 from tidewatch.schema.metric_leaves import leaves_of, mapped_leaves
 
+NO_LIMIT = 10**12
 NOW_US = 996_710_400_000_000  # 2001-08-02T00:00:00Z
 HOUR_MS = 3_600_000
+POLL_GAP_MS = 720 * HOUR_MS
 INTERVAL_MS = NOW_US // 1000 - 8760 * HOUR_MS
 LOOKBACK_MS = NOW_US // 1000 - 43800 * HOUR_MS
 
@@ -69,8 +71,9 @@ listed AS (
 PAGES = f"""{LISTED},
 pages AS (
     SELECT page, page_token, count(*) AS n_runs, CAST(sum(n_tasks) AS BIGINT) AS n_tasks,
-        CASE WHEN chunk = 0 AND page < (SELECT max(o_orderkey) // 100 FROM orders)
-            THEN 'p' || (page + 1) ELSE '' END AS next_page_token
+        coalesce(lead(page_token) OVER (PARTITION BY page ORDER BY chunk),
+            CASE WHEN page < (SELECT max(o_orderkey) // 100 FROM orders)
+            THEN 'p' || (page + 1) END, '') AS next_page_token
     FROM listed GROUP BY page, page_token, chunk)"""
 
 SAMPLES = """
@@ -357,12 +360,12 @@ FULL_EVENT_COLUMNS = f"""{JOB_EVENT_COLUMNS},
 # Terminated rows once, rows of open runs as often as they were polled.
 JOB_EVENTS = f"""WITH {TASKS},
 polled AS (
-    SELECT *, 1 AS poll FROM tasks
+    SELECT *, 1 AS poll, 0 AS later_ms FROM tasks
     UNION ALL
-    SELECT *, 2 AS poll FROM tasks WHERE job_run_id % 5 = 0)
-SELECT {FULL_EVENT_COLUMNS}
+    SELECT *, 2 AS poll, {POLL_GAP_MS} AS later_ms FROM tasks WHERE job_run_id % 5 = 0)
+SELECT {FULL_EVENT_COLUMNS.replace(f"CAST({NOW_US} AS BIGINT)", f"{NOW_US} + later_ms * 1000")}
 FROM polled
-WHERE start_time >= {LOOKBACK_MS} AND (poll = 1 OR state <> 'TERMINATED')
+WHERE start_time >= {LOOKBACK_MS} + later_ms AND (poll = 1 OR state <> 'TERMINATED')
     AND NOT coalesce(state = 'TERMINATED' AND NOT in_interval, false)"""
 
 _IDS = "SELECT job_run_id, task_run_id"
@@ -370,8 +373,10 @@ _IDS = "SELECT job_run_id, task_run_id"
 
 def oracle_sql() -> dict[str, str]:
     sql = {
-        "run_pages_scan": f"WITH {PAGES} SELECT page_token, next_page_token, n_runs, n_tasks FROM pages",
-        "lookback_filter": f"WITH {LISTED} SELECT job_run_id, start_time FROM listed "
+        "run_pages_scan": f"WITH {PAGES} SELECT page_token, next_page_token, n_runs, n_tasks, "
+        "false AS failed FROM pages UNION ALL SELECT NULL, NULL, NULL, NULL, true FROM pages "
+        "WHERE page % 5 = 2",
+        "lookback_filter": f"WITH {RUNS} SELECT job_run_id, start_time FROM runs "
         f"WHERE start_time >= {LOOKBACK_MS}",
         "page_chain_audit": f"""WITH {PAGES}
 SELECT p.next_page_token AS missing_token, CAST(1 AS BIGINT) AS n_pages,
@@ -395,9 +400,9 @@ FROM pages p WHERE p.page % 7 <> 3 AND p.next_page_token <> ''
 SELECT CASE WHEN job_run_id % 11 <> 0 THEN job_run_id END AS job_run_id,
     CASE WHEN job_run_id % 11 <> 0 THEN task_run_id END AS task_run_id, job_run_id AS key,
     CASE WHEN job_run_id % 11 <> 0 THEN run_name END AS run_name,
-    CASE WHEN job_run_id % 11 <> 0 THEN result_state END AS result_state,
+    CASE WHEN job_run_id % 11 <> 0 AND job_run_id % 13 <> 0 THEN result_state END AS result_state,
     CASE WHEN job_run_id % 11 <> 0 THEN task_duration END AS task_duration,
-    job_run_id % 11 = 0 AS failed
+    job_run_id % 11 = 0 OR job_run_id % 13 = 0 AS failed
 FROM tasks""",
         "interval_flag": f"WITH {TASKS} {_IDS}, in_interval AS is_within_interval_range FROM tasks",
         "drop_stale_terminated": f"WITH {TASKS} {_IDS}, state FROM tasks "
@@ -423,7 +428,8 @@ FROM tasks""",
         "THEN 'run ' || job_run_id END AS event_original FROM tasks",
         "job_error_capture": f"""WITH {TASKS}
 SELECT job_run_id AS key, CASE WHEN job_run_id % 5 = 0 THEN 'earlier' WHEN job_run_id % 11 = 0
-    THEN 'Pipeline processing failed: message is not a JSON object' END AS error_message
+    THEN 'Pipeline processing failed: message is not a JSON object' WHEN job_run_id % 13 = 0
+    THEN 'Pipeline processing failed: state of message cannot be read' END AS error_message
 FROM tasks""",
         "job_schema_cast": f"""WITH {TASKS}
 SELECT * EXCLUDE (data_stream_type, data_stream_dataset, data_stream_namespace, timestamp)
@@ -431,9 +437,10 @@ SELECT * EXCLUDE (data_stream_type, data_stream_dataset, data_stream_namespace,
         AS job_run_number)
 FROM (SELECT {JOB_EVENT_COLUMNS} FROM (SELECT * REPLACE (api_duration AS run_duration) FROM tasks))""",
         "dedup_terminated": f"""WITH {TASKS}
-{_IDS}, 1 AS poll, state FROM tasks
-UNION ALL
-{_IDS}, 2 AS poll, state FROM tasks WHERE job_run_id % 5 = 0 AND state <> 'TERMINATED'""",
+SELECT CASE WHEN job_run_id % 3 <> 0 THEN job_run_id END AS job_run_id, task_run_id,
+    job_run_id AS key, poll, state
+FROM tasks, (VALUES (1), (2)) polls(poll)
+WHERE poll = 1 OR job_run_id % 5 = 0 AND (state <> 'TERMINATED' OR job_run_id % 15 = 0)""",
         "event_identity": f"WITH {TASKS} {_IDS}, CAST(job_run_id AS VARCHAR) AS event_id, "
         "creator AS user_name FROM tasks",
         "job_events": JOB_EVENTS,
@@ -486,7 +493,15 @@ FROM matched WHERE stream = 'executor'
         "driver_metrics": _wide("driver"),
         "executor_metrics": _wide("executor"),
         "application_metrics": _wide("application"),
-        "tsds_dedup": f"WITH {REPEATED} SELECT epoch_us(ts) AS ts, host, mbean, value, arrival FROM once",
+        "tsds_dedup": f"""WITH {REPEATED}
+SELECT epoch_us(ts) AS ts, host, mbean, NULL AS stream, 'Value' AS attribute, value, arrival FROM once
+UNION ALL
+SELECT epoch_us(ts), host, mbean, NULL, 'Count', value * 2, arrival FROM once
+UNION ALL
+SELECT epoch_us(ts), host, mbean, 'executor', 'Value', value, arrival FROM once
+UNION ALL
+SELECT epoch_us(ts), host, mbean, 'driver', 'Value', value, arrival FROM once
+WHERE contains(mbean, '.driver.')""",
         "counter_rate": f"""WITH {RATED}
 SELECT epoch_us(ts) AS ts, host, mbean, stream, field, value, delta, delta / passed AS rate
 FROM rated WHERE kind = 'counter'""",
@@ -499,18 +514,18 @@ FROM matched WHERE kind = 'gauge' GROUP BY ALL""",
 SELECT host, mbean, stream, field, epoch_us(before_ts) AS gap_start, epoch_us(ts) AS gap_end,
     passed AS gap_seconds
 FROM rated WHERE passed > 21600""",
-        "log_multiline": f"WITH {log_event_ctes(1000)} SELECT file, event_seq, message, n_lines, "
+        "log_multiline": f"WITH {log_event_ctes(NO_LIMIT)} SELECT file, event_seq, message, n_lines, "
         "truncated FROM log_events",
         "log_max_lines": f"WITH {log_event_ctes(3)} SELECT file, event_seq, message, n_lines, "
         "truncated FROM log_events",
-        "log_multiline_stream": f"WITH {log_event_ctes(1000)} SELECT file, pos, message, n_lines, "
+        "log_multiline_stream": f"WITH {log_event_ctes(NO_LIMIT)} SELECT file, pos, message, n_lines, "
         "truncated FROM log_events",
         "node_role": f"WITH {NODES} SELECT host, node_role FROM nodes",
         "node_facts_join": f"""WITH {SAMPLES}, {NODES}
 SELECT host, epoch_us(ts) AS ts, mbean, coalesce(node_role, 'Executor') AS node_role, cluster_id,
     container_ip, instance_type, cluster_name, is_job_cluster
 FROM samples LEFT JOIN nodes USING (host)""",
-        "stream_table_counts": f"""WITH {MATCHED}, {log_event_ctes(1000).strip()}, {SYSTEM.strip()}
+        "stream_table_counts": f"""WITH {MATCHED}, {log_event_ctes(NO_LIMIT).strip()}, {SYSTEM.strip()}
 SELECT 'logs-' || CASE WHEN CAST(file AS BIGINT) % 2 = 1 THEN 'spark.driver' ELSE 'spark.executor' END
     || '-databricks' AS stream_name, count(*) AS n_rows FROM log_events GROUP BY 1
 UNION ALL
@@ -533,8 +548,7 @@ SELECT CAST(job_run_id AS VARCHAR) AS job_run_id, CAST(task_run_id AS VARCHAR) A
     creator AS creator_user_name, cluster_id, result_state AS termination_code
 FROM tasks
 ORDER BY tasks.start_time DESC NULLS LAST, CAST(tasks.job_run_id AS VARCHAR),
-    CAST(tasks.task_run_id AS VARCHAR) NULLS FIRST
-LIMIT 100""",
+    CAST(tasks.task_run_id AS VARCHAR) NULLS FIRST""",
         "duration_pretty": f"""WITH {TASKS}
 SELECT CAST(job_run_id AS VARCHAR) AS job_run_id, CAST(task_run_id AS VARCHAR) AS task_run_id,
     run_duration,

@@ -62,11 +62,21 @@ def number(column: str = "job.job_run_id") -> Column:
 # --- sources ----------------------------------------------------------------------
 
 
+def page_number() -> Column:
+    return F.expr("bigint(substring_index(substr(page_token, 2), '.', 1))").alias("page")
+
+
 @query
 def run_pages_scan(spark, sf_dir):
+    """Pages as JSON, those whose number leaves 2 when divided by 5 once more, cut off."""
     path = scratch_path(spark, "run-pages")
-    inputs.run_pages(spark, sf_dir).write.json(path)
-    return run_pages.read_run_pages(spark, path).select(
+    pages = inputs.run_pages(spark, sf_dir)
+    text = pages.select(page_number(), F.to_json(F.struct(*pages.columns)).alias("value"))
+    cut = text.filter("page % 5 = 2").withColumn("value", F.substring("value", 1, 8))
+    text.unionByName(cut).select("value").write.text(path)
+    read = run_pages.read_run_pages(spark, path)
+    return read.withColumn("failed", F.col("_corrupt_record").isNotNull()).select(
+        "failed",
         "page_token",
         "next_page_token",
         F.size("runs").cast("bigint").alias("n_runs"),
@@ -76,7 +86,7 @@ def run_pages_scan(spark, sf_dir):
 
 @query
 def lookback_filter(spark, sf_dir):
-    runs = inputs.runs(spark, sf_dir)
+    runs = inputs.listed_runs(spark, sf_dir).filter("chunk = 0")
     return run_pages.lookback_filter(runs, NOW, LOOKBACK).select("job_run_id", "start_time")
 
 
@@ -84,8 +94,7 @@ def lookback_filter(spark, sf_dir):
 def page_chain_audit(spark, sf_dir):
     """Chain with the pages lost whose number leaves 3 when divided by 7."""
     pages = inputs.run_pages(spark, sf_dir)
-    landed = pages.filter(F.expr("bigint(substring_index(substr(page_token, 2), '.', 1)) % 7 <> 3"))
-    return run_pages.page_chain_audit(landed)
+    return run_pages.page_chain_audit(pages.filter(page_number() % 7 != 3))
 
 
 @query
@@ -164,11 +173,17 @@ def split_tasks_keep_parent(spark, sf_dir):
 
 
 def shipped_messages(spark, sf_dir) -> DataFrame:
-    """Records as JSON text: every 11th cut short, every 7th with ``state`` as text."""
+    """Records as JSON text: every 11th cut short, every 7th with ``state`` as text, every
+    13th with a ``state`` that is no JSON."""
     rows = jobs.split_tasks(inputs.runs(spark, sf_dir)).withColumn("key", F.col("job_run_id"))
     typed = F.to_json(F.struct(*jobs.RUN_FIELDS))
     texts = [F.to_json("state").alias(n) if n == "state" else n for n in jobs.RUN_FIELDS]
-    message = F.when(F.col("key") % 7 == 0, F.to_json(F.struct(*texts))).otherwise(typed)
+    odd = [F.lit("not json").alias(n) if n == "state" else n for n in jobs.RUN_FIELDS]
+    message = (
+        F.when(F.col("key") % 13 == 0, F.to_json(F.struct(*odd)))
+        .when(F.col("key") % 7 == 0, F.to_json(F.struct(*texts)))
+        .otherwise(typed)
+    )
     cut = F.substring("message", F.lit(1), F.length("message") - 5)
     return rows.select("key", message.alias("message")).withColumn(
         "message", F.when(F.col("key") % 11 == 0, cut).otherwise(F.col("message"))
@@ -299,9 +314,16 @@ def job_schema_cast(spark, sf_dir):
 
 @query
 def dedup_terminated(spark, sf_dir):
-    rows = inputs.polled(inputs.runs(spark, sf_dir))
+    """Every third run has no job-run id, and every 15th no id at all."""
+    rows = inputs.polled(inputs.runs(spark, sf_dir)).withColumn("key", F.col("job_run_id"))
+    rows = rows.withColumns(
+        {
+            "job_run_id": F.when(F.col("key") % 3 != 0, F.col("key")),
+            "run_id": F.when(F.col("key") % 15 != 0, F.col("key")),
+        }
+    )
     once = jobs.dedup_terminated(jobs.as_job(jobs.split_tasks(rows)))
-    return with_ids(once, "poll", F.col("job.status.state").alias("state"))
+    return with_ids(once, "key", "poll", F.col("job.status.state").alias("state"))
 
 
 @query
@@ -317,7 +339,7 @@ HOST = inputs.workspace_host
 def job_events_(spark, sf_dir):
     return job_events(
         inputs.polled_pages(spark, sf_dir),
-        NOW,
+        F.col("fetched_at"),
         HOST("job.job_id"),
         REQUEST_INTERVAL,
         LOOKBACK,
@@ -422,9 +444,13 @@ def application_metrics(spark, sf_dir):
 
 @query
 def tsds_dedup(spark, sf_dir):
-    return metrics.tsds_dedup(inputs.repeated_samples(spark, sf_dir)).select(
-        "ts", "host", "mbean", "value", "arrival"
-    )
+    """Readings under two attributes, and matched, where a driver's fit two streams."""
+    read = inputs.repeated_samples(spark, sf_dir)
+    other = read.withColumn("attribute", F.lit("Count")).withColumn("value", F.col("value") * 2)
+    columns = ("ts", "host", "mbean", "stream", "attribute", "value", "arrival")
+    matched = metrics.match_catalogue(read).select(*columns)
+    raw = read.unionByName(other).withColumn("stream", F.lit(None).cast("string"))
+    return metrics.tsds_dedup(matched.unionByName(raw.select(*columns)))
 
 
 @query
@@ -555,7 +581,7 @@ def runs_timeline(spark, sf_dir):
 
 @query
 def run_detail_table(spark, sf_dir):
-    return dashboards.run_detail_table(event_table(spark, sf_dir), limit=100)
+    return dashboards.run_detail_table(event_table(spark, sf_dir))
 
 
 @query
@@ -652,7 +678,7 @@ def stream_job_events_(spark, sf_dir):
         spark,
         inputs.polled_pages(spark, sf_dir),
         lambda pages: stream_job_events(
-            pages, NOW, HOST("job.job_id"), REQUEST_INTERVAL, LOOKBACK, tags=["prod"]
+            pages, F.col("fetched_at"), HOST("job.job_id"), REQUEST_INTERVAL, LOOKBACK, tags=["prod"]
         ),
     )
 

@@ -27,8 +27,18 @@ def spark_interval(text: str) -> str:
     return f"{parse_duration(text)} milliseconds"
 
 
-def cutoff_ms(now: datetime, duration: str) -> int:
+def as_time(now: datetime | Column) -> Column:
+    """A fixed time (UTC unless it names a zone) or a time column, as a column."""
+    if isinstance(now, Column):
+        return now
+    return F.lit(now if now.tzinfo else now.replace(tzinfo=timezone.utc))
+
+
+def cutoff_ms(now: datetime | Column, duration: str) -> int | Column:
     """``now - duration`` in epoch ms, cut to the whole second."""
+    if isinstance(now, Column):
+        micros = F.unix_micros(now) - parse_duration(duration) * 1000
+        return F.floor(micros / 1_000_000) * 1000
     if now.tzinfo is None:
         now = now.replace(tzinfo=timezone.utc)
     since_epoch = now - datetime(1970, 1, 1, tzinfo=timezone.utc)

@@ -33,14 +33,28 @@ from tidewatch.schema.fixed_values import (
     TERMINATED,
 )
 from tidewatch.schema.job_leaves import JOB_LEAVES
-from tidewatch.schema.source_types import RUN_FIELDS, RUN_TASK
+from tidewatch.schema.source_types import CORRUPT, RUN_FIELDS, RUN_TASK
 
 FLAG = "is_within_interval_range"
 
 
 def split_runs(pages: DataFrame) -> DataFrame:
-    """One row per run of each page; other page columns stay."""
-    return pages.select(*(c for c in pages.columns if c != "runs"), F.inline("runs"))
+    """One row per run of each page; other page columns stay.
+
+    Runs of a page that could not be read in full carry ``decode_error``; if none could be
+    read, the page stays as one row without a run.
+    """
+    if CORRUPT not in pages.columns:
+        return pages.select(*(c for c in pages.columns if c != "runs"), F.inline("runs"))
+    unread = F.col(CORRUPT).isNotNull()
+    no_run = F.array(F.lit(None).cast(pages.schema["runs"].dataType.elementType))
+    listed = F.when(unread & (F.coalesce(F.size("runs"), F.lit(0)) < 1), no_run)
+    others = [c for c in pages.columns if c not in ("runs", CORRUPT, "decode_error")]
+    return pages.select(
+        *others,
+        F.when(unread, "page is not readable as declared").alias("decode_error"),
+        F.inline(F.coalesce(listed, "runs")),
+    )
 
 
 def split_tasks(runs: DataFrame) -> DataFrame:
@@ -68,7 +82,8 @@ def decode_json(
     """Parse JSON text into ``target``, two levels deep.
 
     An object or array one level down may also come as JSON text.  A ``target`` that is
-    already there wins.  ``decode_error`` tells why a text could not be read.
+    already there wins.  ``decode_error`` tells why a text, or which field of it, could
+    not be read; fields that could be read are kept.
     """
     fields = T.StructType.fromDDL(schema).fields
     nested = {f.name for f in fields if isinstance(f.dataType, (T.StructType, T.ArrayType))}
@@ -81,9 +96,10 @@ def decode_json(
     raw = F.from_json(
         F.col(col), outer, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"}
     )
+    inner = [_nested_value(f) for f in fields if f.name in nested]
     decoded = F.struct(
         *(
-            F.from_json(F.col(f"_raw.{f.name}"), f.dataType).alias(f.name)
+            F.col(f"_nested.{f.name}.value").alias(f.name)
             if f.name in nested
             else F.col(f"_raw.{f.name}").alias(f.name)
             for f in fields
@@ -91,21 +107,53 @@ def decode_json(
     )
     failed = F.col("_raw").isNull() | F.col("_raw._unread").isNotNull()
     unread = F.col(col).isNotNull() & failed
+    wrong = F.array_compact(
+        F.array(*(F.when(F.col(f"_nested.{n}.wrong"), n) for n in sorted(nested)))
+    )
+    fields_unread = F.when(
+        F.size(wrong) > 0, F.concat(F.array_join(wrong, ", "), F.lit(f" of {col} cannot be read"))
+    )
     value = F.when(F.col(col).isNotNull() & ~failed, decoded)
     if target in df.columns:
         value = F.coalesce(F.col(target), value)
     return (
         df.withColumn("_raw", raw)
+        .withColumn("_nested", F.struct(*inner) if inner else F.lit(None))
         .withColumn(target, value)
-        .withColumn("decode_error", F.when(unread, F.lit(f"{col} is not a JSON object")))
-        .drop("_raw")
+        .withColumn(
+            "decode_error",
+            F.when(unread, F.lit(f"{col} is not a JSON object")).otherwise(fields_unread),
+        )
+        .drop("_raw", "_nested")
     )
 
 
+def _nested_value(field: T.StructField) -> Column:
+    """``value`` of a nested field's text and whether it is ``wrong``: there, but not as declared."""
+    text = F.col(f"_raw.{field.name}")
+    if not isinstance(field.dataType, T.StructType):
+        value = F.from_json(text, field.dataType)
+        return F.struct(
+            value.alias("value"), (text.isNotNull() & value.isNull()).alias("wrong")
+        ).alias(field.name)
+    marked = T.StructType([*field.dataType.fields, T.StructField(CORRUPT, T.StringType())])
+    read = F.from_json(text, marked, {"columnNameOfCorruptRecord": CORRUPT})
+    own = F.struct(*(read[f.name].alias(f.name) for f in field.dataType.fields))
+    unread = read[CORRUPT].isNotNull()
+    blank = F.coalesce(*(read[f.name].cast("string") for f in field.dataType.fields)).isNull()
+    return F.struct(
+        F.when(read.isNotNull() & ~(unread & blank), own).alias("value"),
+        (text.isNotNull() & (read.isNull() | unread)).alias("wrong"),
+    ).alias(field.name)
+
+
 def flag_in_interval(
-    df: DataFrame, now: datetime, request_interval: str = REQUEST_INTERVAL
+    df: DataFrame, now: datetime | Column, request_interval: str = REQUEST_INTERVAL
 ) -> DataFrame:
-    """Whether the run ended within the last interval; unset for a run without tasks."""
+    """Whether the run ended within the last interval; unset for a run without tasks.
+
+    ``now`` may be a column, such as the time a page was fetched.
+    """
     ended = F.coalesce("job.end_time", F.lit(0))
     recent = ended >= F.lit(cutoff_ms(now, request_interval))
     return df.withColumn(FLAG, F.when(F.col("job.tasks").isNotNull(), recent))
@@ -298,19 +346,22 @@ def dedup_terminated(
 ) -> DataFrame:
     """One row per terminated run and task, from the first poll that saw it.
 
-    Rows of runs that are still going are left untouched and never shuffled.  The
-    ``= 1`` filter lets Spark keep one row per key before the shuffle, so a run repeated
-    by many polls does not pile up in one task.
+    A run is told by its job-run id, else by its run id.  Rows of runs that are still going
+    or have no id all pass: each has a number of its own in the key.  The input is read
+    once, and the ``= 1`` filter lets Spark keep one row per key before the shuffle, so a
+    run repeated by many polls does not pile up in one task.
     """
-    ended = F.coalesce(F.col("job.status.state") == TERMINATED, F.lit(False))
-    first = Window.partitionBy(*(F.col(k) for k in keys)).orderBy(poll)
-    once = (
-        df.filter(ended)
+    run, *rest = keys
+    run = F.coalesce(F.col(run), F.col("job.run_id")) if run == "job.job_run_id" else F.col(run)
+    ended = F.coalesce(F.col("job.status.state") == TERMINATED, F.lit(False)) & run.isNotNull()
+    alone = F.when(~ended, F.monotonically_increasing_id())
+    first = Window.partitionBy("_run", *(F.col(k) for k in rest), "_alone").orderBy(poll)
+    return (
+        df.withColumns({"_run": run, "_alone": alone})
         .withColumn("_nth", F.row_number().over(first))
         .filter("_nth = 1")
-        .drop("_nth")
+        .drop("_nth", "_run", "_alone")
     )
-    return df.filter(~ended).unionByName(once)
 
 
 # Columns the steps above add, under the path they have in the event table.

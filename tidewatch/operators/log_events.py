@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.schema.fixed_values import LOG_EVENT_START, MAX_LINES
+from tidewatch.schema.fixed_values import LOG_EVENT_START
 
 
 def number_lines(
@@ -76,16 +76,16 @@ def multiline(
     lines: DataFrame,
     pattern: str = LOG_EVENT_START,
     negate: bool = True,
-    max_lines: int = MAX_LINES,
+    max_lines: int | None = None,
 ) -> DataFrame:
     """Log events (file, event_seq, message, n_lines, truncated) from lines.
 
-    An event keeps its first ``max_lines`` lines; ``n_lines`` counts all it had.  Lines
-    beyond the limit are counted but not collected, map-side already.
+    With ``max_lines`` an event keeps its first lines only; ``n_lines`` counts all it had.
+    Lines beyond the limit are counted but not collected, map-side already.
     """
-    kept = F.when(
-        F.col("line_in_event") <= max_lines, F.struct("line_in_event", "value")
-    )
+    line = F.struct("line_in_event", "value")
+    kept = line if max_lines is None else F.when(F.col("line_in_event") <= max_lines, line)
+    cut = F.lit(False) if max_lines is None else F.col("n_lines") > max_lines
     return (
         number_lines(lines, pattern, negate)
         .groupBy("file", "event_seq")
@@ -97,6 +97,6 @@ def multiline(
                 F.transform(F.array_sort("_kept"), lambda line: line["value"]), "\n"
             ).alias("message"),
             "n_lines",
-            (F.col("n_lines") > max_lines).alias("truncated"),
+            cut.alias("truncated"),
         )
     )

@@ -207,10 +207,11 @@ def wide_metrics(df: DataFrame, stream: str, keep: Sequence[str] = ()) -> DataFr
 
 
 def dimensions_of(df: DataFrame) -> list[str]:
-    """Columns of ``df`` that tell series apart: shared dimensions, metric name and owner."""
+    """Columns of ``df`` that tell series apart: shared dimensions, stream, metric and owner."""
     shared = [name.replace(".", "_") for name in SHARED_DIMENSIONS]
-    own = ["host", "mbean", "application_name", "id", "name"]
-    own += [f"{s}_{n}" for s in ("application", "driver", "executor") for n in own[1:]]
+    owner = ["mbean", "application_name", "id", "name"]
+    own = ["host", "stream", "field", "attribute", *owner]
+    own += [f"{s}_{n}" for s in ("application", "driver", "executor") for n in owner]
     return [c for c in df.columns if c in (*shared, *own)]
 
 

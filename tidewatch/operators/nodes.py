@@ -24,12 +24,22 @@ def node_role(df: DataFrame, flag: str = "is_driver") -> DataFrame:
 def add_node_facts(df: DataFrame, nodes: DataFrame, host: str = "host") -> DataFrame:
     """Stamp role and facts of the row's node; rows of unknown nodes stay, facts null.
 
+    A host listed several times counts once: with the newest ``seen_at`` if the inventory
+    has that column, else with the largest facts in column order.
+
     The inventory grows with the fleet, so it is not forced into a broadcast: Spark
     broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` (by estimate, or by
     measured size at run time), and otherwise sorts and merges, splitting a host with
     many rows through AQE's skew join.
     """
-    inventory = node_role(nodes).select("host", "node_role", *NODE_FACTS)
+    facts = ("node_role", *NODE_FACTS)
+    order = ["seen_at"] if "seen_at" in nodes.columns else []
+    inventory = (
+        node_role(nodes)
+        .groupBy("host")
+        .agg(F.max(F.struct(*order, *facts)).alias("_facts"))
+        .select("host", *(F.col("_facts")[name].alias(name) for name in facts))
+    )
     if host != "host":
         inventory = inventory.withColumnRenamed("host", host)
     return df.join(inventory, host, "left").withColumn(

@@ -102,18 +102,6 @@ def with_running_total(
     )
 
 
-def heaviest_keys(
-    loads: DataFrame, key: str, count: str, above: int, at_most: int = 1024
-) -> DataFrame:
-    """The up to ``at_most`` rows of a per-key count table with the highest counts.
-
-    A key left out holds at most a 1/``at_most`` share of all rows, and the result is
-    small enough to broadcast whatever the data size.  Ties go by key, so the choice is
-    the same wherever the plan repeats it.
-    """
-    return loads.filter(F.col(count) > above).orderBy(F.col(count).desc(), key).limit(at_most)
-
-
 def with_row_number_sliced(
     df: DataFrame, keys: Sequence[str], slices: Sequence[str], order: Sequence[str], out: str
 ) -> DataFrame:

@@ -84,17 +84,17 @@ def run_detail(events: DataFrame) -> DataFrame:
     )
 
 
-def run_detail_table(events: DataFrame, limit: int = 100) -> DataFrame:
-    """Latest rows of the detail table."""
-    return (
+def run_detail_table(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """The detail table, latest rows first; with ``limit`` only so many."""
+    latest = (
         run_detail(events)
         .orderBy(
             F.col("start_time").desc_nulls_last(),
             F.col("job_run_id").asc(),
             F.col("task_run_id").asc_nulls_first(),
         )
-        .limit(limit)
     )
+    return latest if limit is None else latest.limit(limit)
 
 
 def with_pretty_duration(detail: DataFrame, ms: str = "run_duration") -> DataFrame:

@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.durations import as_time
 from tidewatch.operators import job_runs as steps
 from tidewatch.schema.fixed_values import LOOKBACK, REQUEST_INTERVAL
 from tidewatch.sources.run_pages import lookback_filter
 
 
-def run_task_rows(pages: DataFrame, now: datetime, lookback: str = LOOKBACK) -> DataFrame:
+def run_task_rows(pages: DataFrame, now: datetime | Column, lookback: str = LOOKBACK) -> DataFrame:
     """Run/task rows of the pages within the lookback, the run in ``job``."""
     runs = lookback_filter(steps.split_runs(pages), now, lookback)
     return steps.as_job(steps.split_tasks(runs))
 
 
 def current_rows(
-    rows: DataFrame, now: datetime, request_interval: str = REQUEST_INTERVAL
+    rows: DataFrame, now: datetime | Column, request_interval: str = REQUEST_INTERVAL
 ) -> DataFrame:
     """Rows still worth an event at this poll."""
     return steps.drop_stale(steps.flag_in_interval(rows, now, request_interval))
@@ -28,7 +29,7 @@ def current_rows(
 
 def shape_events(
     rows: DataFrame,
-    now: datetime,
+    now: datetime | Column,
     host: str | Column,
     tags: Sequence[str] = (),
     preserve_original: bool = False,
@@ -40,14 +41,12 @@ def shape_events(
     Without ``nested`` the leaves are plain columns (``job_run_name``), which lets a query
     on events that are not stored read only the source columns it needs.
     """
-    if now.tzinfo is None:
-        now = now.replace(tzinfo=timezone.utc)
     if "error_message" not in rows.columns:
         rows = rows.withColumn("error_message", F.lit(None).cast("string"))
     if "decode_error" in rows.columns:
         rows = steps.capture_error(rows, "decode_error")
     events = (
-        rows.withColumn("@timestamp", F.lit(now))
+        rows.withColumn("@timestamp", as_time(now))
         .transform(steps.drop_message)
         .transform(steps.cloud_provider, host)
         .transform(steps.with_run_times)
@@ -71,7 +70,7 @@ def shape_events(
 
 def job_events(
     pages: DataFrame,
-    now: datetime,
+    now: datetime | Column,
     host: str | Column,
     request_interval: str = REQUEST_INTERVAL,
     lookback: str = LOOKBACK,
@@ -82,7 +81,8 @@ def job_events(
 
     Duplicates go before the event columns are added, so only the run itself is
     shuffled.  ``poll`` names the column ordering repeated polls; ``None`` when the
-    pages come from a single one.
+    pages come from a single one.  ``now`` is a time, or the column that says when a page
+    was fetched, so that pages of several polls are each judged by their own.
     """
     rows = current_rows(run_task_rows(pages, now, lookback), now, request_interval)
     if poll is not None:
@@ -92,7 +92,7 @@ def job_events(
 
 def job_events_from_text(
     messages: DataFrame,
-    now: datetime,
+    now: datetime | Column,
     host: str | Column,
     request_interval: str = REQUEST_INTERVAL,
     poll: str | None = "poll",

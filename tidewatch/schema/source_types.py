@@ -57,6 +57,9 @@ RUN_TASK = struct_of({**_RUN, "tasks": struct_of(_TASK)})
 
 RUN_PAGE = f"page_token string, next_page_token string, runs array<{LISTED_RUN}>"
 
+# Text of a record that could not be read as declared.
+CORRUPT = "_corrupt_record"
+
 JMX_SAMPLE = (
     "ts timestamp, arrival int, host string, mbean string, attribute string, "
     "value double, status string"

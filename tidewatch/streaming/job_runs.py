@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.durations import positive_ms_to_timestamp, spark_interval
+from tidewatch.functions.durations import as_time, positive_ms_to_timestamp, spark_interval
 from tidewatch.operators.job_runs import split_runs
 from tidewatch.plans.job_events import current_rows, run_task_rows, shape_events
 from tidewatch.schema.fixed_values import LOOKBACK, REQUEST_INTERVAL, TERMINATED
@@ -15,7 +15,7 @@ from tidewatch.schema.fixed_values import LOOKBACK, REQUEST_INTERVAL, TERMINATED
 
 def stream_job_events(
     pages: DataFrame,
-    now: datetime,
+    now: datetime | Column,
     host: str | Column,
     request_interval: str = REQUEST_INTERVAL,
     lookback: str = LOOKBACK,
@@ -24,14 +24,18 @@ def stream_job_events(
     """Events of pages as they land, each terminated run and task once.
 
     Run ids are remembered for one lookback behind the newest start; runs older than
-    that are not requested again.  Only terminated rows pass through state.
+    that are not requested again.  Starts in the future count as of ``now``, so a wrong date
+    does not make other runs late.  Only terminated rows with an id pass through state.
+    A query that runs on takes ``now`` from a column of the pages.
     """
     rows = current_rows(run_task_rows(pages, now, lookback), now, request_interval)
-    ended = F.coalesce(F.col("job.status.state") == TERMINATED, F.lit(False))
+    run = F.coalesce("job.job_run_id", "job.run_id")
+    ended = F.coalesce(F.col("job.status.state") == TERMINATED, F.lit(False)) & run.isNotNull()
+    started = positive_ms_to_timestamp(F.col("job.start_time"))
     once = (
         rows.filter(ended)
-        .withColumn("_started", positive_ms_to_timestamp(F.col("job.start_time")))
-        .withColumn("_run", F.col("job.job_run_id"))
+        .withColumn("_started", F.least(started, as_time(now)))
+        .withColumn("_run", run)
         .withColumn("_task", F.col("job.tasks.run_id"))
         .withWatermark("_started", spark_interval(lookback))
         .dropDuplicatesWithinWatermark(["_run", "_task"])

@@ -8,6 +8,7 @@ holding most of the lines costs its group little.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.functions.durations import parse_duration
-from tidewatch.schema.fixed_values import LINE_TIMEOUT, LOG_EVENT_START, MAX_LINES
+from tidewatch.schema.fixed_values import LINE_TIMEOUT, LOG_EVENT_START
 
 # The functions below run on executors, which may not have this package: ship their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,7 +42,7 @@ def fold_lines(lines: pd.DataFrame, pattern: str, negate: bool, max_lines: int)
     """
     lines = lines.sort_values(["file", "block", "pos"], ignore_index=True)
     ends = lines["value"].isna()
-    opens = lines["value"].fillna("").str.match(pattern)
+    opens = lines["value"].fillna("").str.match(pattern, flags=re.ASCII)
     opens = (opens if negate else ~opens) & ~ends
     same = (lines["file"] == lines["file"].shift()) & (lines["block"] == lines["block"].shift())
     joins = same & (lines["pos"] == lines["pos"].shift() + 1) & ~ends & ~ends.shift(fill_value=False)
@@ -86,18 +87,20 @@ def multiline_stream(
     timeout: str | None = LINE_TIMEOUT,
     pattern: str = LOG_EVENT_START,
     negate: bool = True,
-    max_lines: int = MAX_LINES,
+    max_lines: int | None = None,
 ) -> DataFrame:
     """Log events of a stream of lines (file, block, pos, value).
 
     An event is emitted when the next one opens, when its file's end mark (a null value)
     arrives, or after ``timeout`` without a new line of the file.  ``block`` and ``pos``
-    tell where it begins.
+    tell where it begins.  With ``max_lines`` an event keeps its first lines only.  Logs
+    land as closed pieces: the file source reads a file once, and lines added later are lost.
 
     Timeouts run on the clock and keep a query going, so give none (``None``) for a run
     over landed data, which is to stop by itself.
     """
     wait_ms = parse_duration(timeout) if timeout else None
+    max_lines = sys.maxsize if max_lines is None else max_lines
     clock = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
 
     def shown(file: str, event: tuple) -> tuple:
