@@ -520,6 +520,14 @@ FROM rated WHERE passed > 21600""",
         "truncated FROM log_events",
         "log_multiline_stream": f"WITH {log_event_ctes(NO_LIMIT)} SELECT file, pos, message, n_lines, "
         "truncated FROM log_events",
+        "log_event_table": f"""WITH {log_event_ctes(1000)}, {NODES.strip()}
+SELECT 'h-' || (CAST(file AS BIGINT) % 100) AS host, file, event_seq, message, n_lines, truncated,
+    {LOG_PATH.replace("doc_id", "CAST(file AS BIGINT)")} AS path,
+    coalesce(node_role, 'Executor') AS node_role, cluster_id,
+    container_ip, instance_type, cluster_name, is_job_cluster, 'logs' AS data_stream_type,
+    {LOG_DATASET.replace("doc_id", "CAST(file AS BIGINT)")} AS data_stream_dataset,
+    'databricks' AS data_stream_namespace
+FROM log_events LEFT JOIN nodes ON nodes.host = 'h-' || (CAST(file AS BIGINT) % 100)""",
         "node_role": f"WITH {NODES} SELECT host, node_role FROM nodes",
         "node_facts_join": f"""WITH {SAMPLES}, {NODES}
 SELECT host, epoch_us(ts) AS ts, mbean, coalesce(node_role, 'Executor') AS node_role, cluster_id,
@@ -639,6 +647,11 @@ SELECT host, ts, databricks_node_main_workers_alive AS workers_alive,
         databricks_node_worker_memory_used + databricks_node_worker_memory_free, 0) AS DOUBLE)
         AS memory_used_share
 FROM rows_per_day"""
+    sql["stored_driver_metrics"] = f"""WITH wide AS ({sql["driver_metrics"]}), {NODES.strip()}
+SELECT wide.*, coalesce(node_role, 'Executor') AS node_role, cluster_id, container_ip,
+    instance_type, cluster_name, is_job_cluster, 'metrics' AS data_stream_type,
+    'databricks.spark_driver' AS data_stream_dataset, 'default' AS data_stream_namespace
+FROM wide LEFT JOIN nodes USING (host)"""
     sql["stream_job_events"] = JOB_EVENTS
     sql["stream_status_counts"] = f"""WITH {RUNS},
 counts AS (

@@ -19,7 +19,7 @@ from tidewatch.functions.mbeans import (
 from tidewatch.functions.nesting import flatten
 from tidewatch.operators import job_runs as jobs
 from tidewatch.operators import log_events, metrics, nodes, series
-from tidewatch.plans import dashboards, metric_events, panels
+from tidewatch.plans import dashboards, log_events as log_plans, metric_events, panels
 from tidewatch.plans.job_events import job_events, shape_events
 from tidewatch.session import scratch_path
 from tidewatch.sinks import stream_tables
@@ -442,6 +442,16 @@ def application_metrics(spark, sf_dir):
     return metric_events.wide_table(inputs.samples(spark, sf_dir), "application")
 
 
+@query
+def stored_driver_metrics(spark, sf_dir):
+    """Every sample arrives twice, the second time one higher."""
+    read = inputs.samples(spark, sf_dir)
+    again = read.withColumn("arrival", F.lit(2)).withColumn("value", F.col("value") + 1)
+    return metric_events.stored_metrics(
+        read.unionByName(again), "driver", inputs.nodes(spark, sf_dir)
+    )
+
+
 @query
 def tsds_dedup(spark, sf_dir):
     """Readings under two attributes, and matched, where a driver's fit two streams."""
@@ -486,6 +496,20 @@ def log_max_lines(spark, sf_dir):
     return log_events.multiline(inputs.log_lines(spark, sf_dir), max_lines=3)
 
 
+@query
+def log_event_table(spark, sf_dir):
+    """Logs of hosts 0 to 99, by file; every supplier is listed twice, earlier in another cluster."""
+    known = inputs.nodes(spark, sf_dir).withColumn("seen_at", F.lit(2))
+    earlier = known.withColumn("cluster_id", F.lit("c-old")).withColumn("seen_at", F.lit(1))
+    return log_plans.log_event_table(
+        inputs.log_lines(spark, sf_dir),
+        known.unionByName(earlier),
+        host=F.concat(F.lit("h-"), F.col("file").cast("bigint") % 100),
+        path=inputs.log_path(),
+        max_lines=1000,
+    )
+
+
 @query
 def log_multiline_stream(spark, sf_dir):
     """Lines land in two goes, the first 5 of each file and the rest; then the file ends."""

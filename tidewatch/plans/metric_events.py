@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics as steps
+from tidewatch.operators.nodes import add_node_facts
+from tidewatch.schema.fixed_values import DATASET_PREFIX, NODE_FACTS
+from tidewatch.sinks.stream_tables import to_stream
 
 _PARSERS = {
     "driver": steps.parse_driver_name,
@@ -43,3 +46,16 @@ def wide_table(samples: DataFrame, stream: str) -> DataFrame:
     return steps.wide_metrics(
         metric_events(samples, stream), stream, keep=("ts", "host", "error_message")
     )
+
+
+def stored_metrics(samples: DataFrame, stream: str, nodes: DataFrame) -> DataFrame:
+    """The stream's table as stored: one row per series and time, node facts, data stream.
+
+    Samples that arrive several times are folded first, by their full dimensions, so the
+    wide rows need no other shuffle for it.
+    """
+    once = steps.tsds_dedup(samples)
+    facts = ("node_role", *NODE_FACTS)
+    rows = add_node_facts(wide_table(once, stream), nodes)
+    others = [c for c in rows.columns if c not in facts]
+    return to_stream(rows.select(*others, *facts), "metrics", f"{DATASET_PREFIX}{stream}")
