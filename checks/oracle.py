@@ -657,8 +657,7 @@ FROM wide LEFT JOIN nodes USING (host)"""
 counts AS (
     SELECT {ms_bucket_us('start_time', 24)} AS bucket, result_state, count(*) AS n_runs
     FROM runs GROUP BY 1, 2)
-SELECT * FROM counts
-WHERE bucket + 86400000000 <= (SELECT max(start_time) FROM runs) * 1000 - 720 * 3600000000"""
+SELECT * FROM counts"""
     minute = "epoch_us(ts) // 60000000 * 60000000"
     sql["stream_gauge_rollup"] = f"""WITH {REPEATED},
 rolled AS (
@@ -667,6 +666,5 @@ rolled AS (
         sum(value) / count(value) AS avg_value, arg_max(value, ts) AS last_value,
         count(value) AS n_samples
     FROM once GROUP BY ALL)
-SELECT * FROM rolled
-WHERE bucket + 60000000 <= (SELECT max(epoch_us(ts)) FROM once) - 300000000"""
+SELECT * FROM rolled"""
     return sql

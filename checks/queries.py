@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +24,10 @@ from tidewatch.plans.job_events import job_events, shape_events
 from tidewatch.session import scratch_path
 from tidewatch.sinks import stream_tables
 from tidewatch.sources import logs, run_pages, samples
-from tidewatch.streaming.job_runs import stream_job_events, stream_status_counts
+from tidewatch.streaming.job_runs import status_counts, stream_job_events, stream_status_counts
 from tidewatch.streaming.log_events import multiline_stream
-from tidewatch.streaming.metrics import stream_gauge_rollup
-from tidewatch.streaming.runs import run_available
+from tidewatch.streaming.metrics import rollup_once, stream_gauge_rollup
+from tidewatch.streaming.runs import run_available, with_open_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -710,10 +710,23 @@ def stream_job_events_(spark, sf_dir):
 
 @query
 def stream_status_counts_(spark, sf_dir):
-    return _landed_polls(
-        spark,
-        inputs.polled_pages(spark, sf_dir),
-        lambda pages: stream_status_counts(pages, every="24h", late="720h"),
+    """The second poll sees runs end that began within 600 hours and the first saw open."""
+    recent = int((NOW - timedelta(hours=600)).timestamp() * 1000)
+    pages = inputs.polled_pages(spark, sf_dir)
+    open_first = F.expr(
+        f"""transform(runs, r -> if(poll = 1 AND r.job_run_id % 5 = 0 AND r.start_time > {recent},
+            named_struct('state', 'RUNNING', 'termination_details', NULL), r.status))"""
+    )
+    runs = F.transform(
+        F.arrays_zip("runs", open_first.alias("status")),
+        lambda r: r["runs"].withField("status", r["status"]),
+    )
+    pages = pages.withColumn("runs", runs)
+    emitted = _landed_polls(
+        spark, pages, lambda landed: stream_status_counts(landed, every="24h", late="720h")
+    )
+    return with_open_groups(
+        emitted, status_counts(pages, every="24h"), ["bucket", "result_state"]
     )
 
 
@@ -726,5 +739,7 @@ def stream_gauge_rollup_(spark, sf_dir):
         arriving.filter(F.col("arrival") == arrival).write.mode("append").parquet(landing)
         stream = samples.stream_jmx_samples(spark, landing)
         run_available(stream_gauge_rollup(stream), out, checkpoint)
-    return spark.read.parquet(out)
+    whole = rollup_once(samples.read_jmx_samples(spark, landing))
+    keys = ["bucket", "host", "mbean", "stream", "field"]
+    return with_open_groups(spark.read.parquet(out), whole, keys)
 

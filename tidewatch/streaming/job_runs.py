@@ -44,22 +44,46 @@ def stream_job_events(
     return shape_events(rows.filter(~ended).unionByName(once), now, host, **shape)
 
 
-def stream_status_counts(
-    pages: DataFrame, every: str = "24h", late: str = LOOKBACK
-) -> DataFrame:
-    """Runs per start bucket and result state, emitted once a bucket is ``late`` behind.
-
-    A run counts once per state it is seen in, however many polls repeat it.
-    """
-    runs = split_runs(pages).select(
-        "job_run_id",
+def _started_runs(pages: DataFrame, *columns: str) -> DataFrame:
+    return split_runs(pages).select(
+        F.coalesce("job_run_id", "run_id").alias("run"),
         F.col("state.result_state").alias("result_state"),
+        (F.col("status.state") == TERMINATED).alias("ended"),
         positive_ms_to_timestamp(F.col("start_time")).alias("started"),
+        *columns,
     )
+
+
+def _counted(runs: DataFrame, every: str) -> DataFrame:
     return (
-        runs.withWatermark("started", spark_interval(late))
-        .dropDuplicatesWithinWatermark(["job_run_id", "result_state"])
-        .groupBy(F.window("started", spark_interval(every)).alias("_bucket"), "result_state")
+        runs.groupBy(F.window("started", spark_interval(every)).alias("_bucket"), "result_state")
         .agg(F.count("*").alias("n_runs"))
         .select(F.col("_bucket.start").alias("bucket"), "result_state", "n_runs")
     )
+
+
+def status_counts(pages: DataFrame, every: str = "24h", order: str = "poll") -> DataFrame:
+    """Runs per start bucket and latest result state, of landed pages; ``order`` tells polls apart."""
+    runs = _started_runs(pages, order).filter("run IS NOT NULL")
+    latest = runs.groupBy("run").agg(
+        F.max_by(F.struct("result_state", "started"), F.struct(order, "ended")).alias("latest")
+    )
+    return _counted(latest.select("latest.*"), every)
+
+
+def stream_status_counts(
+    pages: DataFrame, every: str = "24h", late: str = LOOKBACK
+) -> DataFrame:
+    """Ended runs per start bucket and result state, emitted once a bucket is ``late`` behind.
+
+    A run counts once, in the state it ended in, however many polls repeat it and whatever
+    it was seen in before; ``late`` has to be longer than runs take.  Runs still open and the
+    last buckets come from ``status_counts`` when a stream ends (``with_open_groups``).
+    """
+    return _counted(
+        _started_runs(pages)
+        .filter("ended AND run IS NOT NULL")
+        .withWatermark("started", spark_interval(late))
+        .dropDuplicatesWithinWatermark(["run"]),
+        every,
+    )

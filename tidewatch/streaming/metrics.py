@@ -13,22 +13,34 @@ from tidewatch.operators.series import SERIES, gauge_rollup, of_kind
 from tidewatch.schema.fixed_values import SAMPLE_PERIOD
 
 
-def stream_gauge_rollup(
+def rollup_once(
     samples: DataFrame,
     every: str = SAMPLE_PERIOD,
-    late: str = "5m",
     dims: Sequence[str] = SERIES,
     streams: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Gauge rollup of deduplicated samples, a bucket at a time once it is ``late`` behind.
+    """Gauge rollup of deduplicated samples, landed or as they arrive.
 
     Copies of a sample are folded by an aggregation, which begins before the shuffle, so
     many copies of one sample do not meet in one task; the first to arrive counts.
     """
-    once = (
-        samples.withWatermark("ts", spark_interval(late))
-        .groupBy("ts", "host", "mbean", "attribute")
-        .agg(F.min_by("value", "arrival").alias("value"))
+    once = samples.groupBy("ts", "host", "mbean", "attribute").agg(
+        F.min_by("value", "arrival").alias("value")
     )
     gauges = of_kind(match_catalogue(once, streams), "gauge")
     return gauge_rollup(gauges, dims, every)
+
+
+def stream_gauge_rollup(
+    samples: DataFrame,
+    every: str = SAMPLE_PERIOD,
+    late: str = "5m",
+    dims: Sequence[str] = SERIES,
+    streams: Sequence[str] | None = None,
+) -> DataFrame:
+    """``rollup_once`` of a stream, a bucket at a time once it is ``late`` behind.
+
+    The last buckets come from ``rollup_once`` of the landed samples when a stream ends
+    (``with_open_groups``).
+    """
+    return rollup_once(samples.withWatermark("ts", spark_interval(late)), every, dims, streams)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 
@@ -19,3 +22,15 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+
+
+def with_open_groups(emitted: DataFrame, whole: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a stream emitted, and from the batch result the groups it still holds back.
+
+    The closing step of a stream that ends: its last groups wait for a watermark that will
+    not move again.
+    """
+    same = reduce(
+        lambda x, y: x & y, (emitted[key].eqNullSafe(whole[key]) for key in keys)
+    )
+    return emitted.unionByName(whole.join(emitted, same, "left_anti"))
