@@ -36,6 +36,8 @@ ANCHOR = WINDOW - PERIOD + 1
 #: words handled together; a longer document is handled on its own
 BATCH_WORDS = 2_000_000
 _NULL_ID = -(1 << 63)
+#: columns that carry document key, text and marked anchors
+DOC, TEXT, MARKS = "_doc_key", "_doc_text", "_doc_marks"
 _ROWS = "key bigint, doc bigint, place bigint"
 
 
@@ -44,13 +46,14 @@ def _documents(batches: Iterator[pa.RecordBatch], with_marks: bool = False):
     table = WordHashes()
     group, total = [], 0
     for batch in batches:
-        marks = batch.column(2) if with_marks else None
+        docs, texts = batch.column(DOC), batch.column(TEXT)
+        marks = batch.column(MARKS) if with_marks else None
         for i in range(batch.num_rows):
-            words = (batch.column(1)[i].as_py() or "").encode().split()
+            words = (texts[i].as_py() or "").encode().split()
             if len(words) < WINDOW:
                 continue
             own = marks[i].values.to_numpy(zero_copy_only=False) if with_marks else None
-            group.append((batch.column(0)[i].as_py(), table.of(words), own))
+            group.append((docs[i].as_py(), table.of(words), own))
             total += len(words)
             if total >= BATCH_WORDS:
                 yield group
@@ -68,8 +71,16 @@ def _batch(keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Iterator[p
         )
 
 
-def _own_keys(docs: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return mix(mix(docs.view(np.uint64)) + places.view(np.uint64) + np.uint64(0x5EED))
+def _own_keys(docs: np.ndarray) -> np.ndarray:
+    """A key per document, for rows that ask nothing."""
+    return mix(docs.view(np.uint64) + np.uint64(0x5EED))
+
+
+def _unsorted(order: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Back in document order, in which ids and positions compress well."""
+    out = np.empty_like(values)
+    out[order] = values
+    return out
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +96,10 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.append(np.full(len(at), doc, np.int64))
         h, doc, at = map(np.concatenate, (hashes, docs, places))
         order = np.argsort(h, kind="stable")
-        h, doc, at = h[order], doc[order], at[order]
-        same = h[1:] == h[:-1]
+        same = h[order][1:] == h[order][:-1]
         later = np.concatenate([[False], same])
-        known = later | np.concatenate([same, [False]])
-        key = np.where(later, _own_keys(doc, at), h)
+        known = _unsorted(order, later | np.concatenate([same, [False]]))
+        key = np.where(_unsorted(order, later), _own_keys(doc), h)
         yield from _batch(key, doc, at * 2 + known)
 
 
@@ -109,35 +119,38 @@ def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.append(np.full(len(at), doc, np.int64))
         h, doc, at = map(np.concatenate, (hashes, docs, places))
         order = np.lexsort((at, doc, h))
-        h, doc, at = h[order], doc[order], at[order]
-        later = np.concatenate([[False], h[1:] == h[:-1]])
-        head = np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))
-        known = (doc != doc[head]) | (at != at[head])
-        key = np.where(known, _own_keys(doc, at), h)
+        later = np.concatenate([[False], h[order][1:] == h[order][:-1]])
+        head = order[np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))]
+        known = _unsorted(order, (doc[order] != doc[head]) | (at[order] != at[head]))
+        key = np.where(known, _own_keys(doc), h)
         yield from _batch(key, doc, at * 2 + known)
 
 
-def repeated_starts(texts: DataFrame) -> DataFrame:
-    """``texts``: doc and text. Starts of windows that also start earlier, per document."""
+def repeated_starts(keyed: DataFrame) -> DataFrame:
+    """Starts of windows that also start earlier, per document of ``keyed``.
+
+    The second pass takes all columns of ``keyed``: so its join by document shuffles what the
+    caller's join with the result shuffles, and Spark does it once.
+    """
     by_key = Window.partitionBy("key")
     place = F.shiftright("place", 1)
     known = F.col("place").bitwiseAND(1) == 1
     marks = (
-        texts.mapInArrow(anchor_rows, _ROWS)
+        keyed.select(DOC, TEXT)
+        .mapInArrow(anchor_rows, _ROWS)
         .withColumn("n", F.count("*").over(by_key))
         .filter(known | (F.col("n") > 1))
-        .groupBy("doc")
-        .agg(F.collect_list(place).alias("marks"))
+        .groupBy(F.col("doc").alias(DOC))
+        .agg(F.collect_list(place).alias(MARKS))
     )
     me = F.struct("doc", place.alias("at"))
     return (
-        texts.join(marks, "doc")
-        .select("doc", "text", "marks")
+        keyed.join(marks, DOC)
         .mapInArrow(window_rows, _ROWS)
         .withColumn("first", F.min(me).over(by_key))
         .filter(known | (me > F.col("first")))
-        .groupBy("doc")
-        .agg(F.collect_list(place).alias("starts"))
+        .groupBy(F.col("doc").alias(DOC))
+        .agg(F.collect_list(place).alias("_starts"))
     )
 
 
@@ -178,18 +191,17 @@ def cut_out(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``n_words``, ``n_removed``, ``removed_spans`` (in words) and ``kept_text``."""
-    mine = "_doc_key"
-    keyed = docs.withColumn(mine, F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID)))
-    texts = keyed.select(F.col(mine).alias("doc"), F.col(text).alias("text"))
-    starts = repeated_starts(texts).withColumnRenamed("doc", mine)
-    done, found = "_without", "_starts"
+    key = F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID))
+    keyed = docs.withColumn(DOC, key).withColumnRenamed(text, TEXT)
+    done = "_without"
     without = F.arrow_udf(cut_out, _CUT)
     return (
-        keyed.join(starts.withColumnRenamed("starts", found), mine, "left")
-        .withColumn(done, without(F.col(text), F.col(found)))
+        keyed.join(repeated_starts(keyed), DOC, "left")
+        .withColumn(done, without(F.col(TEXT), F.col("_starts")))
+        .withColumnRenamed(TEXT, text)
         .withColumn("n_words", F.col(done)["n_words"])
         .withColumn("n_removed", F.col(done)["n_removed"])
         .withColumn("removed_spans", F.col(done)["spans"])
         .withColumn("kept_text", F.col(done)["kept"])
-        .drop(mine, done, found)
+        .drop(DOC, done, "_starts")
     )
