@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import land
 
 DEPTH = 5
-FREQUENT = 1 << 18
+FREQUENT = 1 << 16
 SHIPPED = 2_000_000
 DISTINCT = 400_000
 BLANK, END = 0x20, 0x0A
@@ -211,30 +211,29 @@ def score_spellings(spelled: DataFrame) -> DataFrame:
         levels[depth] = land(level.drop("own", "below"), f"tree-{depth}")
     one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
     down = levels[0].select(
-        "context", "node", "leaf", (F.col("weight") * one).alias("sum"), (1 - F.col("weight")).alias("rest")
+        "context", "node", (F.col("weight") * one).alias("sum"), (1 - F.col("weight")).alias("rest")
     )
-    done = [down]
+    ends = None
     for depth in range(1, DEPTH + 1):
         above = down.select(
             F.col("context").alias("parent"), "node", F.col("sum").alias("sum_above"), F.col("rest").alias("rest_above")
         )
-        down = land(
+        # contexts that end here are few above the full depth: the chain is short for each
+        mixed = [
             levels[depth]
+            .filter(kind)
             .withColumn("parent", _parent(depth - 1))
             .join(above, ["parent", "node"])
             .select(
                 "context",
                 "node",
-                "leaf",
                 (F.col("sum_above") + F.col("rest_above") * F.col("weight") * one).alias("sum"),
                 (F.col("rest_above") * (1 - F.col("weight"))).alias("rest"),
-            ),
-            f"mixture-{depth}",
-        )
-        done.append(down)
-    ends = done[0].filter("leaf")
-    for part in done[1:]:
-        ends = ends.unionByName(part.filter("leaf"))
+            )
+            for kind in ("leaf", "not leaf")
+        ]
+        ends = mixed[0] if ends is None else ends.unionByName(mixed[0])
+        down = mixed[1]
     chance = F.when(F.col("bit") == 1, F.col("sum")).otherwise(1 - F.col("sum"))
     return (
         bits.join(ends.select("context", "node", "sum"), ["context", "node"])
@@ -246,8 +245,11 @@ def score_spellings(spelled: DataFrame) -> DataFrame:
 def score_words(words: DataFrame, table: DataFrame, shipped: int = SHIPPED) -> DataFrame:
     """Add ``score`` to ``words``: the sum over its spellings."""
     if table.count() <= shipped:
-        local = table.toPandas().sort_values("spelling")
+        local = table.toArrow()
         keys, values = local["spelling"].to_numpy(), local["log10"].to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        del local, order
 
         @F.arrow_udf("double")
         def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -364,13 +366,11 @@ def score_texts(
         "scored-words",
     )
     often = scored.filter(F.col("n") * FREQUENT >= sums["n"])
-    local = often.toPandas().sort_values("key")
-    frequent = {
-        "hash": local["key"].to_numpy(),
-        "c": local["c"].to_numpy(),
-        "base": local["word_base"].to_numpy(),
-        "score": local["word_score"].to_numpy(),
-    }
+    local = often.select("key", "c", "word_base", "word_score").toArrow()
+    order = np.argsort(local["key"].to_numpy())
+    columns = {"hash": "key", "c": "c", "base": "word_base", "score": "word_score"}
+    frequent = {name: local[column].to_numpy()[order] for name, column in columns.items()}
+    del local
     end_score = table.filter(F.col("spelling") == END_SPELLING).first()["log10"]
     end = (math.log10((texts + ADDED) / floor), end_score, int(texts > 0))
     parts = rows.select(
