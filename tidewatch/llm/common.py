@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import scratch_path
 
-#: Documents with this remainder of crc32(doc_id as text) are held out of training.
 MASK64 = (1 << 64) - 1
 
 
@@ -30,6 +29,35 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def _slot(key: Column, slots: int) -> Column:
+    return F.pmod(F.shiftright(key, 6), F.lit(slots))
+
+
+def _bit(key: Column) -> Column:
+    return key.bitwiseAND(63).cast("int")
+
+
+def key_bitmap(keys: DataFrame, slots: int) -> DataFrame:
+    """One row ``bitmap``: ``slots`` words of 64 bits, a bit set for each of the hashes in the
+    only column of ``keys``.  The size is fixed; many keys make it say yes more often."""
+    key = F.col(keys.columns[0])
+    one = F.lit(1).cast("bigint")
+    words = keys.groupBy(_slot(key, slots).alias("slot")).agg(
+        F.bit_or(F.call_function("shiftleft", one, _bit(key))).alias("word")
+    )
+    filled = keys.sparkSession.range(slots).join(words, F.col("id") == F.col("slot"), "left")
+    entry = F.struct("id", F.coalesce("word", F.lit(0).cast("bigint")).alias("word"))
+    return filled.agg(
+        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["word"]).alias("bitmap")
+    )
+
+
+def maybe_among(bitmap: Column, key: Column, slots: int) -> Column:
+    """False only for hashes that are not in the bitmap."""
+    word = F.get(bitmap, _slot(key, slots).cast("int"))
+    return F.call_function("getbit", word, _bit(key)) == 1
+
+
 class WordHashes(dict):
     """64-bit hashes of byte words, remembered; the memory it takes is bounded."""
 

@@ -2,13 +2,13 @@
 
 Each round points every vertex at its smallest neighbour, first from the larger side and then
 from the smaller, until nothing changes; rounds grow with the logarithm of the longest path.
-Minima are folded before the shuffle and joined back, so a vertex with very many links is no
+Minima are folded before the shuffle and joined back as a table, so the centre of a star is no
 single task's work.  Each round is a table in the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import land
@@ -19,8 +19,9 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         links.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy(F.col("u").alias("b")).agg(F.min("v").alias("m")).filter("m < b")
+    # Landed, so that both sides of the join are exchanges: a centre of a star is split.
+    return links.join(land(least, "least"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -33,11 +34,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     )
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(
-        F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    ).first()
-    return tuple(row)
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links landed, and their number and a sum over them, observed while writing."""
+    seen = Observation()
+    links = land(
+        links.observe(
+            seen,
+            F.count("*").alias("n"),
+            F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"),
+        ),
+        "links",
+    )
+    return links, (seen.get["n"], seen.get["sum"])
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -45,17 +53,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Nulls and links of an id to itself are left out.  No links give no rows.
     """
-    links = land(
+    links, before = _written(
         links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
         .filter(F.col(a).isNotNull() & F.col(b).isNotNull())
         .filter("a <> b")
-        .distinct(),
-        "links",
+        .distinct()
     )
-    before = _state(links)
     while True:
-        links = land(_small_star(_large_star(links).distinct()), "links")
-        after = _state(links)
+        links, after = _written(_small_star(_large_star(links)))
         if after == before:
             return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
                 links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

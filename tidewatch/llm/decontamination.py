@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import land
+from tidewatch.llm.common import key_bitmap, land, maybe_among
 
 #: offsets that count, per mask
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
@@ -60,29 +60,6 @@ def seeds(hashed: DataFrame, id: str) -> DataFrame:
     )
 
 
-def _slot(seed: Column) -> Column:
-    return F.pmod(F.shiftright(seed, 6), F.lit(SLOTS))
-
-
-def _bit(seed: Column) -> Column:
-    return seed.bitwiseAND(63).cast("int")
-
-
-def bitmap(seed_table: DataFrame) -> DataFrame:
-    """One row: an array of ``SLOTS`` words with a bit per seed."""
-    one = F.lit(1).cast("bigint")
-    words = seed_table.groupBy(_slot(F.col("seed")).alias("slot")).agg(
-        F.bit_or(F.call_function("shiftleft", one, _bit(F.col("seed")))).alias("word")
-    )
-    filled = seed_table.sparkSession.range(SLOTS).join(
-        words, F.col("id") == F.col("slot"), "left"
-    )
-    entry = F.struct("id", F.coalesce("word", F.lit(0).cast("bigint")).alias("word"))
-    return filled.agg(
-        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["word"]).alias("bitmap")
-    )
-
-
 def overlap(doc: Column, item: Column, at: Column, least: int = LEAST) -> Column:
     """Best run of matches less substitutions, ``item`` laid over ``doc`` from ``at`` on."""
     begin = F.greatest(-at, F.lit(0))
@@ -120,15 +97,13 @@ def contaminated_pairs(
         "key", F.col("at").alias("item_at"), "seed"
     )
     table = land(table, "benchmark-seeds")
-    bits = bitmap(table).scalar()
+    bits = key_bitmap(table.select("seed"), SLOTS).scalar()
     texts = docs.select(F.col(id).alias("doc"), F.col(text).alias("body")).filter(
         F.col(id).isNotNull()
     )
     hashed = texts.select("doc", token_hashes(F.col("body")).alias("hashes"))
     found = seeds(hashed, "doc")
-    maybe = lambda s: F.call_function(
-        "getbit", F.get(bits, _slot(s).cast("int")), _bit(s)
-    ) == 1
+    maybe = lambda s: maybe_among(bits, s, SLOTS)
     found = found.filter(maybe(F.col("s0")) | maybe(F.col("s1")))
     found = found.unpivot(["doc", "at"], ["s0", "s1"], "mask", "seed")
     laid = land(

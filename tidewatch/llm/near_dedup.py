@@ -9,10 +9,12 @@ for chance collisions.  Pairs whose estimate is over five standard deviations to
 left; all others are confirmed on the full sets.  A pair at the threshold of 0.8 is no
 candidate with probability 5e-6.
 
-A band's bucket is never expanded into pairs.  Each member is first paired with the smallest
-id of its bucket; the links found give components, and only members of one bucket that are
-still in different components are paired, so each candidate pair is either confirmed or
-already connected.
+Sets that are similar enough have sizes within the same ratio, so a bucket holds only sets of
+neighbouring size classes.  A bucket is not expanded into pairs: each member is first paired
+with three leaders of its bucket, the smallest id and two chosen by hash; the links found give
+components, and only members of one bucket that are still in different components are paired,
+so each candidate pair is either confirmed or already connected.  Sets for the confirmation are made where the texts are read, for
+documents that a bitmap of fixed size lets through, so texts are not shuffled.
 
 Rows with a null id have ``n_shingles`` and are linked with nothing; they are kept.  Rows that
 share an id are judged each by its own text.  Other columns are left out.
@@ -20,6 +22,7 @@ share an id are judged each by its own text.  Other columns are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +31,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WordHashes, land, mix, window_hashes
+from tidewatch.llm.common import (
+    WordHashes,
+    key_bitmap,
+    land,
+    maybe_among,
+    mix,
+    window_hashes,
+)
 from tidewatch.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
 BITS, PACKED = 4, 128
 LONGS = PACKED // 64
+#: words of 64 bits in the bitmap of ids whose sets are needed
+SLOTS = 1 << 18
 #: standard deviations below the threshold at which an estimate rules a pair out
 MARGIN = 5.2
 
@@ -144,21 +156,26 @@ def estimate(x: Column, y: Column) -> Column:
     return ((PACKED - unequal) / PACKED - chance) / (1 - chance)
 
 
+def lowest_estimate(rule: Similarity) -> float:
+    """An estimate below this rules a pair out."""
+    level = rule.percent / 100
+    return level - MARGIN * (level * (1 - level) / PACKED) ** 0.5 / (1 - 2.0**-BITS)
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
     """Of the pairs ``(a, b)``, those whose full sets are similar enough."""
     bits = reps.select("id", "bits")
-    level = rule.percent / 100
-    lowest = level - MARGIN * (level * (1 - level) / PACKED) ** 0.5 / (1 - 2.0**-BITS)
     likely = land(
         pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a")
         .join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
-        .filter(estimate(F.col("x"), F.col("y")) >= lowest)
+        .filter(estimate(F.col("x"), F.col("y")) >= lowest_estimate(rule))
         .select("a", "b")
         .distinct(),
         "likely-pairs",
     )
-    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
-    sets = land(shingle_sets(docs.join(wanted.distinct(), "id", "left_semi"), rule), "shingle-sets")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id"))
+    needed = maybe_among(key_bitmap(wanted, SLOTS).scalar(), F.xxhash64("id"), SLOTS)
+    sets = land(shingle_sets(docs.filter(needed & F.col("id").isNotNull()), rule), "shingle-sets")
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
@@ -171,6 +188,24 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, rule: Similari
     )
 
 
+def _between(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """The links as links between components."""
+    x = parts.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    y = parts.select(F.col("id").alias("b"), F.col("component").alias("y"))
+    return links.join(x, "a", "left").join(y, "b", "left").select(
+        F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")
+    )
+
+
+def _joined(parts: DataFrame, of_parts: DataFrame) -> DataFrame:
+    """Components after some of them are joined; a vertex without links is its own."""
+    top = of_parts.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    inside = parts.join(top, "component", "left").select(
+        "id", F.coalesce("top", "component").alias("component")
+    )
+    return inside.unionByName(of_parts.join(parts, "id", "left_anti"))
+
+
 def near_duplicates(
     docs: DataFrame, rule: Similarity = Similarity(), id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -178,21 +213,41 @@ def near_duplicates(
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = land(signatures(docs, rule), "signatures")
     linkable = signed.filter("n > 0 and id is not null")
-    firsts = linkable.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    members = land(linkable.select("id", "n", "k1", "k2").join(firsts, ["n", "k1", "k2"]), "members")
+    # Sides that sum up a key are landed first, so that both sides of the join are exchanges
+    # and a key with very many rows is split.
+    firsts = linkable.groupBy("n", "k1", "k2").agg(
+        F.min("id").alias("first"), F.max("id").alias("last")
+    )
+    firsts = land(firsts.filter("first < last").drop("last"), "copied-sets")
+    members = land(
+        linkable.select("id", "n", "k1", "k2")
+        .join(firsts, ["n", "k1", "k2"], "left")
+        .select("id", "n", "k1", "k2", F.coalesce("first", "id").alias("rep")),
+        "members",
+    )
     own = members.filter("id = rep").select("id", "n", "k1", "k2").distinct()
     reps = land(
-        signed.join(own, ["id", "n", "k1", "k2"], "left_semi").select("id", "bands", "bits"), "reps"
+        signed.join(own, ["id", "n", "k1", "k2"], "left_semi").select("id", "n", "bands", "bits"),
+        "reps",
+    )
+    # Sizes in the ratio of the threshold are at most one class apart.
+    size_class = F.floor(F.log(F.col("n")) / math.log(100.1 / rule.percent))
+    banded = (
+        reps.select("id", size_class.alias("size"), F.posexplode("bands").alias("band", "value"))
+        .select("id", "band", "value", F.explode(F.array("size", F.col("size") + 1)).alias("size"))
+        .select("id", F.xxhash64("band", "value", "size").alias("bucket"))
     )
-    banded = reps.select("id", F.posexplode("bands").alias("band", "value")).select(
-        "id", F.xxhash64("band", "value").alias("bucket")
+    by_hash = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in (1, 2)]
+    shared = banded.groupBy("bucket").agg(
+        F.min("id").alias("low"), F.max("id").alias("high"), F.array(F.min("id"), *by_hash).alias("leads")
     )
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("top"))
-    buckets = land(
-        banded.join(shared.filter("lead < top").select("bucket", "lead"), "bucket"), "buckets"
+    shared = land(shared.filter("low < high").select("bucket", "leads"), "shared-buckets")
+    buckets = land(banded.join(shared, "bucket"), "buckets")
+    led = buckets.select("id", F.explode("leads").alias("lead")).filter("id <> lead")
+    first_pairs = land(
+        led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(),
+        "first-pairs",
     )
-    first_pairs = buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    first_pairs = land(first_pairs.distinct(), "first-pairs")
     links = land(confirmed(first_pairs, reps, docs, rule), "links-by-lead")
     parts = connected_components(links)
 
@@ -200,20 +255,25 @@ def near_duplicates(
         "bucket", "id", F.coalesce("component", "id").alias("part")
     )
     mixed = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    pool = land(labelled.join(mixed.filter("low < high").select("bucket"), "bucket"), "mixed-buckets")
-    x = pool.select("bucket", F.col("id").alias("a"), F.col("part").alias("part_a"))
-    y = pool.select("bucket", F.col("id").alias("b"), F.col("part").alias("part_b"))
+    mixed = land(mixed.filter("low < high").select("bucket"), "mixed-buckets")
+    pool = labelled.join(mixed, "bucket").join(reps.select("id", "bits"), "id")
+    pool = land(pool, "mixed-members")
+    x = pool.withColumnsRenamed({"id": "a", "part": "part_a", "bits": "x"})
+    y = pool.withColumnsRenamed({"id": "b", "part": "part_b", "bits": "y"})
+    likely = estimate(F.col("x"), F.col("y")) >= lowest_estimate(rule)
     rest = (
         x.join(y, "bucket")
-        .filter("a < b and part_a <> part_b")
+        .filter((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & likely)
         .select("a", "b")
         .distinct()
         .join(first_pairs, ["a", "b"], "left_anti")
     )
-    more = confirmed(land(rest, "rest-pairs"), reps, docs, rule)
-    found = connected_components(links.unionByName(more))
+    rest = land(rest, "rest-pairs")
+    if not rest.isEmpty():
+        more = confirmed(rest, reps, docs, rule)
+        parts = _joined(parts, connected_components(_between(more, parts), "x", "y"))
     labels = members.join(
-        found.withColumnsRenamed({"id": "rep", "component": "of_rep"}), "rep", "left"
+        parts.withColumnsRenamed({"id": "rep", "component": "of_rep"}), "rep", "left"
     ).select("id", "n", F.coalesce("of_rep", "rep").alias("component_id"))
     alone = signed.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return labels.unionByName(alone).select(
