@@ -38,7 +38,7 @@ from tidewatch.llm.common import land
 DEPTH = 5
 FREQUENT = 1 << 16
 SHIPPED = 2_000_000
-DISTINCT = 400_000
+DISTINCT = 150_000
 BLANK, END = 0x20, 0x0A
 #: added to each count of the base
 ADDED = 0.1
