@@ -1,4 +1,4 @@
-"""Language-model scoring by context-tree weighting over bytes.
+"""Context-tree weighting over the bytes within words; across words, see ``running_tree``.
 
 Texts are words (letters A-Z lower-cased, runs without the six ASCII blanks), each spelled as
 its UTF-8 bytes and a blank, and an end sign.  A byte is predicted from up to ``DEPTH`` bytes
@@ -335,53 +335,29 @@ def _parts(frequent: dict, floor: float, end: tuple[float, float, int]):
     return parts
 
 
-def score_texts(
-    docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text", shipped: int = SHIPPED
+def text_parts(
+    rows: DataFrame, scored: DataFrame, n: int, floor: float, end: tuple[float, float, int]
 ) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``.
-
-    ``train``: whether a row may be learnt from.
-    """
-    rows = docs.select(
-        F.col(id).cast("long").alias("doc"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")
-    )
-    words = land(count_words(rows.select("train", "text")), "words")
-    texts = rows.filter("train").count()
-    sums = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("c"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.count(F.when(F.col("c") > 0, 1)).alias("v"),
-    ).first()
-    total, distinct = sums["c"] + texts, sums["v"] + (texts > 0)
-    spark = docs.sparkSession
-    ending = spark.createDataFrame([(END_SPELLING, texts)], "spelling bigint, c bigint")
-    spelled = land(count_spellings(words).unionByName(ending), "spellings")
-    table = land(score_spellings(spelled), "spelling-scores")
-    floor = ADDED * (distinct + 1) + total
-    base = F.log10((F.col("c") + ADDED) / floor)
-    scored = land(
-        score_words(words, table, shipped).select(
-            F.xxhash64("word").alias("key"), "c", "n", base.alias("word_base"), F.col("score").alias("word_score")
-        ),
-        "scored-words",
-    )
-    often = scored.filter(F.col("n") * FREQUENT >= sums["n"])
+    """Rows that sum up to each text's base and score; ``n`` is the number of all tokens."""
+    often = scored.filter(F.col("n") * FREQUENT >= n)
     local = often.select("key", "c", "word_base", "word_score").toArrow()
     order = np.argsort(local["key"].to_numpy())
     columns = {"hash": "key", "c": "c", "base": "word_base", "score": "word_score"}
     frequent = {name: local[column].to_numpy()[order] for name, column in columns.items()}
     del local
-    end_score = table.filter(F.col("spelling") == END_SPELLING).first()["log10"]
-    end = (math.log10((texts + ADDED) / floor), end_score, int(texts > 0))
     parts = rows.select(
         "doc", F.xxhash64("doc", "text").alias("row"), "text"
     ).mapInArrow(_parts(frequent, floor, end), _PARTS)
-    times = F.coalesce("times", F.lit(0))
-    joined = parts.join(
-        scored.filter(F.col("n") * FREQUENT < sums["n"]).select("key", "c", "word_base", "word_score"),
+    return parts.join(
+        scored.filter(F.col("n") * FREQUENT < n).select("key", "c", "word_base", "word_score"),
         "key",
         "left",
     )
+
+
+def by_text(joined: DataFrame, total: int, id: str) -> DataFrame:
+    """A row per text from its parts; ``total`` is the number of training tokens."""
+    times = F.coalesce("times", F.lit(0))
     per_text = joined.groupBy("doc", "row").agg(
         F.sum("own").alias("copies"),
         F.sum("n_tokens").alias("n_tokens"),
@@ -402,3 +378,38 @@ def score_texts(
             (-F.col("score") / F.col("n_bytes") / math.log10(2)).alias("bits_per_byte"),
         )
     )
+
+
+def score_texts(
+    docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text", shipped: int = SHIPPED
+) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``.
+
+    ``train``: whether a row may be learnt from.
+    """
+    rows = docs.select(
+        F.col(id).cast("long").alias("doc"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")
+    )
+    words = land(count_words(rows.select("train", "text")), "words")
+    texts = rows.filter("train").count()
+    sums = words.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("c"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.count(F.when(F.col("c") > 0, 1)).alias("v"),
+    ).first()
+    total, distinct = sums["c"] + texts, sums["v"] + (texts > 0)
+    spark = docs.sparkSession
+    ending = spark.createDataFrame([(END_SPELLING, texts)], "spelling bigint, c bigint")
+    spelled = land(count_spellings(words).unionByName(ending), "spellings")
+    table = land(score_spellings(spelled), "spelling-scores")
+    floor = ADDED * (distinct + 1) + total
+    base = F.log10((F.col("c") + ADDED) / floor)
+    scored = land(
+        score_words(words, table, shipped).select(
+            F.xxhash64("word").alias("key"), "c", "n", base.alias("word_base"), F.col("score").alias("word_score")
+        ),
+        "scored-words",
+    )
+    end_score = table.filter(F.col("spelling") == END_SPELLING).first()["log10"]
+    end = (math.log10((texts + ADDED) / floor), end_score, int(texts > 0))
+    return by_text(text_parts(rows, scored, sums["n"], floor, end), total, id)

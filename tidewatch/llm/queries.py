@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import (
     chat,
-    context_tree,
     decontamination,
     embedding_dedup,
     language_id,
     near_dedup,
     pieces,
+    running_tree,
     substring_dedup,
     token_rollups,
     toxicity,
@@ -76,7 +76,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = context_tree.score_texts(docs, id_remainder(F.col("doc_id"), 10) != 0)
+    scored = running_tree.score_texts(docs, id_remainder(F.col("doc_id"), 10) != 0)
     return scored.select(
         "doc_id",
         (id_remainder(F.col("doc_id"), 10) == 0).alias("held_out"),
