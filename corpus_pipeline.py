@@ -56,7 +56,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
-    pairs = decontamination.contaminated_pairs(docs, read_table(spark, sf_dir, "benchmark"))
+    pairs = decontamination.contaminated_pairs(docs, read_table(spark, sf_dir, "benchmark"), whole=True)
     gone = pairs.select(F.col("doc").alias("doc_id")).distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

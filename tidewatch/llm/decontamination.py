@@ -5,28 +5,39 @@ all benchmark items and of all documents are hashed and joined; around each hit,
 item are laid over each other and the overlap is scored: a match counts 1, a substitution
 -``PENALTY``, and the best run must reach ``LEAST`` (all tokens of a shorter item).  The two
 masks together hit every overlap of 13 tokens with up to two substitutions, and hence every
-run of 12 equal tokens.  Only DataFrame functions are used.
+run of 12 equal tokens; the third hits where every fourth token is replaced.  Only DataFrame
+functions are used.
+
+With ``whole``, an overlap also counts if ``OVERLAP`` tokens of it in a row, or a shorter item as
+a whole, have no more substitutions than the seeds allow: two in 13, one in items of 8 to 12, none
+in items below ``SPAN``.  Items shorter than ``OVERLAP`` are then searched by runs, whole ones below
+``SPAN`` and halves from there on, one of which a single substitution leaves as it is.
 
 Tokens are runs of letters and digits in lower case.  Before the join, seeds of documents are
 looked up in a bitmap of fixed size that holds the benchmark's seeds; what it lets through is
 joined in full, so a bitmap filled by a huge benchmark costs time and no result.
 
-Items with equal tokens count as one (smallest id).  Items of fewer tokens than ``SPAN`` and
-null or empty texts match nothing.  Each row of documents with an id gets a row; rows that
+Items with equal tokens count as one (smallest id).  Null and empty texts match nothing, nor,
+without ``whole``, do items of fewer tokens than ``SPAN``.  Each row of documents with an id gets a row; rows that
 share an id are judged together; rows with a null id are never contaminated.  Other columns
 are left out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import key_bitmap, land, maybe_among
 
 #: offsets that count, per mask
-MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
+MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7), (0, 1, 2, 4, 5, 6))
 SPAN = 8
+#: tokens in a row of which the seeds allow two to differ
+OVERLAP = 13
 LEAST = 12
 PENALTY = 2
 #: words of 64 bits in the bitmap
@@ -60,6 +71,60 @@ def seeds(hashed: DataFrame, id: str) -> DataFrame:
     )
 
 
+_SEEDS = [f"s{m}" for m in range(len(MASKS))]
+
+
+def _run(hashes: Column, at: Column, length: int | Column) -> Column:
+    """Hash of a run of tokens, told apart from the masks' by its length."""
+    return F.xxhash64(F.slice(hashes, at + 1, length))
+
+
+def run_seeds(hashed: DataFrame, id: str, lengths: list[int]) -> DataFrame:
+    """``(id, at, seed)``: the runs of the given lengths at each position."""
+
+    def of_length(n: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size("hashes") - n),
+            lambda at: F.struct(at.alias("at"), _run(F.col("hashes"), at, n).alias("seed")),
+        )
+
+    none = F.array().cast("array<struct<at:int,seed:bigint>>")
+    runs = [F.when(F.size("hashes") >= n, of_length(n)).otherwise(none) for n in lengths]
+    return hashed.select(id, F.inline(F.concat(*runs)))
+
+
+def item_runs(items: DataFrame) -> DataFrame:
+    """``key, item_at, seed, length``: the runs by which items shorter than ``OVERLAP`` are found."""
+    n = F.size("hashes")
+    half = F.floor(n / 2).cast("int")
+    part = lambda at, length: F.struct(at.alias("item_at"), length.alias("length"))
+    whole = F.array(part(F.lit(0), n))
+    halves = F.array(part(F.lit(0), half), part(half, n - half))
+    runs = items.filter(n < OVERLAP).select(
+        "key", "hashes", F.inline(F.when(n < SPAN, whole).otherwise(halves))
+    )
+    return runs.select("key", "item_at", _run(F.col("hashes"), F.col("item_at"), F.col("length")).alias("seed"), "length")
+
+
+def most_alike(doc: Column, item: Column, at: Column) -> Column:
+    """Most matches among ``OVERLAP`` tokens in a row, or all of a shorter item; 0 without such."""
+    begin = F.greatest(-at, F.lit(0))
+    length = F.least(F.size(item) - begin, F.size(doc) - (at + begin))
+    x = F.slice(doc, at + begin + 1, length)
+    y = F.slice(item, begin + 1, length)
+    width = F.least(F.lit(OVERLAP), F.size(item))
+    mask = F.call_function("shiftleft", F.lit(1), width) - 1
+    start = F.struct(F.lit(0).alias("bits"), F.lit(0).alias("seen"), F.lit(0).alias("most"))
+
+    def step(done: Column, same: Column) -> Column:
+        bits = (done["bits"] * 2 + F.when(same, 1).otherwise(0)).bitwiseAND(mask)
+        seen = done["seen"] + 1
+        most = F.when(seen >= width, F.greatest(done["most"], F.bit_count(bits))).otherwise(done["most"])
+        return F.struct(bits.alias("bits"), seen.alias("seen"), most.alias("most"))
+
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a == b), start, step)["most"]
+
+
 def overlap(doc: Column, item: Column, at: Column, least: int = LEAST) -> Column:
     """Best run of matches less substitutions, ``item`` laid over ``doc`` from ``at`` on."""
     begin = F.greatest(-at, F.lit(0))
@@ -83,19 +148,25 @@ def contaminated_pairs(
     item_id: str = "item_id",
     item_text: str = "text",
     least: int = LEAST,
+    whole: bool = False,
 ) -> DataFrame:
     """``doc, item, overlap`` of each document and item with a verified overlap."""
     items = land(
         benchmark.select(F.col(item_id).alias("item"), token_hashes(F.col(item_text)).alias("hashes"))
-        .filter(F.size("hashes") >= SPAN)
+        .filter(F.size("hashes") >= (1 if whole else SPAN))
         .groupBy("hashes")
         .agg(F.min("item").alias("item"), F.count("*").alias("n")),
         "benchmark-items",
     ).select(F.xxhash64("hashes").alias("key"), "item", "hashes")
     table = seeds(items, "key")
-    table = table.unpivot(["key", "at"], ["s0", "s1"], "mask", "seed").select(
+    table = table.unpivot(["key", "at"], _SEEDS, "mask", "seed").select(
         "key", F.col("at").alias("item_at"), "seed"
     )
+    lengths = []
+    if whole:
+        runs = land(item_runs(items), "benchmark-runs")
+        lengths = sorted(r["length"] for r in runs.select("length").distinct().collect())
+        table = table.unionByName(runs.select("key", "item_at", "seed"))
     table = land(table, "benchmark-seeds")
     bits = key_bitmap(table.select("seed"), SLOTS).scalar()
     texts = docs.select(F.col(id).alias("doc"), F.col(text).alias("body")).filter(
@@ -104,8 +175,10 @@ def contaminated_pairs(
     hashed = texts.select("doc", token_hashes(F.col("body")).alias("hashes"))
     found = seeds(hashed, "doc")
     maybe = lambda s: maybe_among(bits, s, SLOTS)
-    found = found.filter(maybe(F.col("s0")) | maybe(F.col("s1")))
-    found = found.unpivot(["doc", "at"], ["s0", "s1"], "mask", "seed")
+    found = found.filter(reduce(or_, (maybe(F.col(s)) for s in _SEEDS)))
+    found = found.unpivot(["doc", "at"], _SEEDS, "mask", "seed").select("doc", "at", "seed")
+    if lengths:
+        found = found.unionByName(run_seeds(hashed, "doc", lengths).filter(maybe(F.col("seed"))))
     laid = land(
         found.join(table, "seed")
         .select("doc", "key", (F.col("at") - F.col("item_at")).alias("shift"))
@@ -116,6 +189,11 @@ def contaminated_pairs(
         "doc", token_hashes(F.col("body")).alias("doc_hashes")
     )
     needed = F.least(F.lit(least), F.size("hashes"))
+    n = F.size("hashes")
+    allowed = F.when(n >= OVERLAP, 2).when(n >= SPAN, 1).otherwise(0)
+    enough = F.col("overlap") >= F.col("needed")
+    if whole:
+        enough = enough | (F.col("alike") >= F.col("wanted"))
     return (
         laid.join(items, "key")
         .join(hit_docs, "doc")
@@ -124,8 +202,10 @@ def contaminated_pairs(
             "item",
             overlap(F.col("doc_hashes"), F.col("hashes"), F.col("shift")).alias("overlap"),
             needed.alias("needed"),
+            most_alike(F.col("doc_hashes"), F.col("hashes"), F.col("shift")).alias("alike"),
+            (F.least(F.lit(OVERLAP), n) - allowed).alias("wanted"),
         )
-        .filter("overlap >= needed")
+        .filter(enough)
         .groupBy("doc", "item")
         .agg(F.max("overlap").alias("overlap"))
     )

@@ -32,7 +32,7 @@ def piece_model_path() -> str:
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
