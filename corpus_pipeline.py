@@ -1,9 +1,9 @@
 """The corpus pipeline: stages over documents, each calling one operator.
 
 Each stage takes all documents its predecessor kept and returns documents with their columns;
-the last adds what it encodes.  Documents with a null id pass the stages that look for other
-documents; documents that share an id are kept or removed together by near-duplicate removal
-and decontamination, which judge ids.
+the last adds what it encodes.  Documents with a null id pass near-duplicate removal and
+decontamination, which judge ids, and documents that share an id are kept or removed together
+there; repeated passages are judged by each row's own text.
 """
 
 from __future__ import annotations

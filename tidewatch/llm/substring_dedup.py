@@ -13,7 +13,8 @@ only one row goes to the key, and the others, whose answer is known, travel unde
 their own.  So a key has at most one row per batch, however common the passage.
 
 Words are runs without the six ASCII blanks, unchanged.  Null texts have no words.  Documents
-are ordered by id, null ids first.  Rows that share an id count as one document: equal starts
+are ordered by id, null ids first, those of one id by a hash of id and text.  That hash is the key
+under which marks and starts come back to a row, so only equal rows share them: their equal starts
 are not earlier than each other, and a start found to be a repeat is one in all of them.
 Extra columns stay; columns that have an output's name are replaced.
 """
@@ -36,24 +37,25 @@ ANCHOR = WINDOW - PERIOD + 1
 #: words handled together; a longer document is handled on its own
 BATCH_WORDS = 2_000_000
 _NULL_ID = -(1 << 63)
-#: columns that carry document key, text and marked anchors
-DOC, TEXT, MARKS = "_doc_key", "_doc_text", "_doc_marks"
+#: columns that carry row key, id, text and marked anchors
+DOC, ID, TEXT, MARKS = "_doc_key", "_doc_id", "_doc_text", "_doc_marks"
 _ROWS = "key bigint, doc bigint, place bigint"
 
 
 def _documents(batches: Iterator[pa.RecordBatch], with_marks: bool = False):
-    """Groups of documents with about ``BATCH_WORDS`` words: ids, word hashes, marks."""
+    """Groups of documents with about ``BATCH_WORDS`` words: row keys, ids, word hashes,
+    marks."""
     table = WordHashes()
     group, total = [], 0
     for batch in batches:
-        docs, texts = batch.column(DOC), batch.column(TEXT)
+        docs, ids, texts = batch.column(DOC), batch.column(ID), batch.column(TEXT)
         marks = batch.column(MARKS) if with_marks else None
         for i in range(batch.num_rows):
             words = (texts[i].as_py() or "").encode().split()
             if len(words) < WINDOW:
                 continue
             own = marks[i].values.to_numpy(zero_copy_only=False) if with_marks else None
-            group.append((docs[i].as_py(), table.of(words), own))
+            group.append((docs[i].as_py(), ids[i].as_py(), table.of(words), own))
             total += len(words)
             if total >= BATCH_WORDS:
                 yield group
@@ -62,13 +64,11 @@ def _documents(batches: Iterator[pa.RecordBatch], with_marks: bool = False):
         yield group
 
 
-def _batch(keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _batch(keys: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    columns = {"key": keys.view(np.int64), **columns}
     for start in range(0, len(keys), 100_000):
         part = slice(start, start + 100_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[part].view(np.int64)), pa.array(docs[part]), pa.array(places[part])],
-            names=["key", "doc", "place"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in columns.values()], names=list(columns))
 
 
 def _own_keys(docs: np.ndarray) -> np.ndarray:
@@ -87,7 +87,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors as (key, document, 2 * position + known), known: repeated in this batch."""
     for group in _documents(batches):
         hashes, docs, places = [], [], []
-        for doc, words, _ in group:
+        for doc, _, words, _ in group:
             # 48 bits compress better; two anchors that seem equal only make more candidates
             h = window_hashes(words, ANCHOR) >> np.uint64(16)
             at = np.arange(len(h))
@@ -101,15 +101,15 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = np.concatenate([[False], same])
         known = _unsorted(order, later | np.concatenate([same, [False]]))
         key = np.where(_unsorted(order, later), _own_keys(doc), h)
-        yield from _batch(key, doc, at * 2 + known)
+        yield from _batch(key, doc=doc, place=at * 2 + known)
 
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows around marked anchors as (key, document, 2 * start + known), known: one that is
-    equal starts earlier in this batch."""
+    """Windows around marked anchors as (key, document, 2 * start + known, id), known: one that
+    is equal starts earlier in this batch."""
     for group in _documents(batches, with_marks=True):
-        hashes, docs, places = [], [], []
-        for doc, words, marks in group:
+        hashes, docs, places, ids = [], [], [], []
+        for doc, id, words, marks in group:
             n = len(words) - WINDOW + 1
             change = np.zeros(n + 1, np.int64)
             np.add.at(change, np.maximum(marks - PERIOD + 1, 0), 1)
@@ -118,13 +118,14 @@ def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes.append(window_hashes(words, WINDOW)[at])
             places.append(at)
             docs.append(np.full(len(at), doc, np.int64))
-        h, doc, at = map(np.concatenate, (hashes, docs, places))
-        order = np.lexsort((at, doc, h))
+            ids.append(np.full(len(at), id, np.int64))
+        h, doc, at, own_id = map(np.concatenate, (hashes, docs, places, ids))
+        order = np.lexsort((at, doc, own_id, h))
         later = np.concatenate([[False], h[order][1:] == h[order][:-1]])
         head = order[np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))]
         known = _unsorted(order, (doc[order] != doc[head]) | (at[order] != at[head]))
         key = np.where(known, _own_keys(doc), h)
-        yield from _batch(key, doc, at * 2 + known)
+        yield from _batch(key, doc=doc, place=at * 2 + known, id=own_id)
 
 
 def repeated_starts(keyed: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def repeated_starts(keyed: DataFrame) -> DataFrame:
     place = F.shiftright("place", 1)
     known = F.col("place").bitwiseAND(1) == 1
     marks = (
-        keyed.select(DOC, TEXT)
+        keyed.select(DOC, ID, TEXT)
         .mapInArrow(anchor_rows, _ROWS)
         .withColumn("n", F.count("*").over(by_key))
         .filter(known | (F.col("n") > 1))
@@ -146,10 +147,10 @@ def repeated_starts(keyed: DataFrame) -> DataFrame:
     )
     # Landed: the anchors' shuffle can be removed before the windows' begins.
     marks = land(marks, "marked-anchors")
-    me = F.struct("doc", place.alias("at"))
+    me = F.struct("id", "doc", place.alias("at"))
     return (
         keyed.join(marks, DOC)
-        .mapInArrow(window_rows, _ROWS)
+        .mapInArrow(window_rows, f"{_ROWS}, id bigint")
         .withColumn("first", F.min(me).over(by_key))
         .filter(known | (me > F.col("first")))
         .groupBy(F.col("doc").alias(DOC))
@@ -194,8 +195,8 @@ def cut_out(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``n_words``, ``n_removed``, ``removed_spans`` (in words) and ``kept_text``."""
-    key = F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID))
-    keyed = docs.withColumn(DOC, key).withColumnRenamed(text, TEXT)
+    order = F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID))
+    keyed = docs.withColumns({ID: order, DOC: F.xxhash64(order, text)}).withColumnRenamed(text, TEXT)
     done = "_without"
     without = F.arrow_udf(cut_out, _CUT)
     return (
@@ -206,5 +207,5 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
         .withColumn("n_removed", F.col(done)["n_removed"])
         .withColumn("removed_spans", F.col(done)["spans"])
         .withColumn("kept_text", F.col(done)["kept"])
-        .drop(DOC, done, "_starts")
+        .drop(DOC, ID, done, "_starts")
     )
