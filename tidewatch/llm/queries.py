@@ -12,13 +12,16 @@ from tidewatch.llm import (
     chat,
     decontamination,
     embedding_dedup,
+    hard_negatives,
     language_id,
     near_dedup,
     pieces,
     running_tree,
+    sharding,
     substring_dedup,
     token_rollups,
     toxicity,
+    vector_codes,
 )
 from tidewatch.llm.common import id_remainder, read_table
 from tidewatch.session import scratch_path
@@ -147,6 +150,103 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors, lambda id_: id_ % 50 == 0, label=label)
+
+
+OP11_SQL = """
+with kept as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+    cast(list_inner_product(a.v, b.v) as bigint) as score
+  from kept a join kept b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where a.vec_id % 50 = 0
+), positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select anchor_id, positive_id, cast(row_number() over best as integer) as rank,
+  other_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window best as (partition by anchor_id, positive_id order by score desc, other_id)
+qualify row_number() over best <= 3
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    codes = vector_codes.compress_vectors(vectors, carry=("label",))
+    return vector_codes.with_label_errors(codes.rows).select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(codes.digest()).alias("codebooks_sha256"),
+    )
+
+
+def _lloyd_sql(rounds: int = 2) -> str:
+    assigned = """assigned{r} as materialized (
+  select vec_id, part, min(cast(xx - 2 * list_inner_product(x, y) + yy as bigint) * 64 + entry) as best
+  from cut join book{r} using (part) group by vec_id, part
+)"""
+    moved = """sums{r} as materialized (
+  select part, best % 64 as entry, i, floor(sum(x[i]) / count(*)) as mean
+  from assigned{r} join cut using (vec_id, part), range(1, width + 1) w(i)
+  group by part, best % 64, i
+), book{n} as materialized (
+  select part, entry, y, list_inner_product(y, y) as yy from (
+    select part, entry, list(coalesce(mean, y[i]) order by i) as y
+    from (select part, entry, y, unnest(range(1, len(y) + 1)) as i from book{r})
+    left join sums{r} using (part, entry, i) group by part, entry)
+)"""
+    steps = [assigned.format(r=0)]
+    for r in range(rounds):
+        steps += [moved.format(r=r, n=r + 1), assigned.format(r=r + 1)]
+    return """
+with kept as (
+  select vec_id, label, len(embedding) // 16 as width,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), cut as materialized (
+  select vec_id, part, width, x, list_inner_product(x, x) as xx from (
+    select vec_id, part, width, v[part * width + 1 : (part + 1) * width] as x
+    from kept, range(16) p(part))
+), book0 as materialized (
+  select part, entry, x as y, xx as yy from cut join (
+    select vec_id, row_number() over (order by vec_id) - 1 as entry from kept
+    order by vec_id limit 64) using (vec_id)
+), """ + ", ".join(steps) + """, digest as (
+  select sha256(string_agg(cast(cast(y[i] as bigint) as varchar), ',' order by part, entry, i)) as d
+  from (select part, entry, y, unnest(range(1, len(y) + 1)) as i from book{n})
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  d as codebooks_sha256
+from (
+  select vec_id, string_agg(printf('%02x', best % 64), '' order by part) as code,
+    cast(sum(best // 64) as bigint) as error
+  from assigned{n} group by vec_id
+) join kept using (vec_id), digest
+""".format(n=rounds)
+
+
+OP12_SQL = _lloyd_sql()
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -159,8 +259,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_token_rollups": op9_token_rollups,
         "op10_language_id": op10_language_id,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_sharding": op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_token_rollups": OP9_SQL}
+    return {
+        "op9_token_rollups": OP9_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op12_vector_codes": OP12_SQL,
+    }
