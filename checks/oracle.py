@@ -540,6 +540,11 @@ UNION ALL
 SELECT 'metrics-' || dataset || '-databricks', count(*) FROM system_metrics GROUP BY 1
 UNION ALL
 SELECT 'metrics-databricks.spark_' || stream || '-default', count(*) FROM matched GROUP BY 1""",
+        "stream_table_counts_by_batch": f"""WITH {MATCHED}, {SYSTEM.strip()}
+SELECT 'metrics-' || dataset || '-databricks' AS stream_name, count(*) AS n_rows
+FROM system_metrics GROUP BY 1
+UNION ALL
+SELECT 'metrics-databricks.spark_' || stream || '-databricks', count(*) FROM matched GROUP BY 1""",
         "dataset_normalise": f"WITH {MATCHED} SELECT 'databricks.spark_' || stream AS dataset, "
         "count(*) AS n_rows FROM matched GROUP BY 1",
         "run_totals": f"""WITH {RUNS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,10 +24,10 @@ from tidewatch.plans.job_events import job_events, shape_events
 from tidewatch.session import scratch_path
 from tidewatch.sinks import stream_tables
 from tidewatch.sources import logs, run_pages, samples
-from tidewatch.streaming.job_runs import status_counts, stream_job_events, stream_status_counts
+from tidewatch.streaming.job_runs import JobEventFeed, StatusCounts
 from tidewatch.streaming.log_events import multiline_stream
-from tidewatch.streaming.metrics import rollup_once, stream_gauge_rollup
-from tidewatch.streaming.runs import run_available, with_open_groups
+from tidewatch.streaming.metrics import GaugeRollups
+from tidewatch.streaming.runs import run_available, run_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -686,60 +686,79 @@ def node_panel(spark, sf_dir):
 # --- streams ----------------------------------------------------------------------
 
 
-def _landed_polls(spark, pages: DataFrame, build) -> DataFrame:
-    """Land poll 1, run the stream, land poll 2, run it again; what it wrote."""
-    landing, out, checkpoint = (scratch_path(spark, n) for n in ("pages", "events", "state"))
-    for poll in (1, 2):
-        pages.filter(F.col("poll") == poll).write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(pages.schema).parquet(landing)
-        run_available(build(stream), out, checkpoint)
-    return spark.read.parquet(out)
+def _landed(spark, rows: DataFrame, parts: Sequence[Column | str], apply) -> None:
+    """Land one part of the rows after the other and run the stream after each."""
+    landing, checkpoint = (scratch_path(spark, name) for name in ("landed", "state"))
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(landing)
+        run_batches(spark.readStream.schema(rows.schema).parquet(landing), apply, checkpoint)
 
 
 @query
 def stream_job_events_(spark, sf_dir):
-    return _landed_polls(
-        spark,
-        inputs.polled_pages(spark, sf_dir),
-        lambda pages: stream_job_events(
-            pages, F.col("fetched_at"), HOST("job.job_id"), REQUEST_INTERVAL, LOOKBACK, tags=["prod"]
-        ),
-    )
-
+    """Pages as the two polls land, the feed's second batch knowing the keys of its first."""
+    pages = inputs.polled_pages(spark, sf_dir)
+    feed = JobEventFeed(spark, scratch_path(spark, "events"))
+    job = (F.col("fetched_at"), HOST("job.job_id"), REQUEST_INTERVAL, LOOKBACK)
+    _landed(spark, pages, ("poll = 1", "poll = 2"), lambda rows, batch: feed.apply(rows, batch, *job, tags=["prod"]))
+    return feed.events(job_events(pages, *job, tags=["prod"]).schema)
 
 
 @query
 def stream_status_counts_(spark, sf_dir):
-    """The second poll sees runs end that began within 600 hours and the first saw open."""
+    """Every fifth run is polled twice.  The first poll has recent ones of these as still open,
+    and every third of them as started in 2100.  Of odd pages the second poll lands first."""
     recent = int((NOW - timedelta(hours=600)).timestamp() * 1000)
+    far = int(datetime(2100, 1, 1, tzinfo=timezone.utc).timestamp() * 1000)
     pages = inputs.polled_pages(spark, sf_dir)
-    open_first = F.expr(
-        f"""transform(runs, r -> if(poll = 1 AND r.job_run_id % 5 = 0 AND r.start_time > {recent},
-            named_struct('state', 'RUNNING', 'termination_details', NULL), r.status))"""
-    )
-    runs = F.transform(
-        F.arrays_zip("runs", open_first.alias("status")),
-        lambda r: r["runs"].withField("status", r["status"]),
-    )
-    pages = pages.withColumn("runs", runs)
-    emitted = _landed_polls(
-        spark, pages, lambda landed: stream_status_counts(landed, every="24h", late="720h")
-    )
-    return with_open_groups(
-        emitted, status_counts(pages, every="24h"), ["bucket", "result_state"]
-    )
 
+    def first_seen(run: Column) -> Column:
+        again = run["job_run_id"] % 5 == 0
+        state = F.when(again & (run["start_time"] > recent), "RUNNING").otherwise(run["status"]["state"])
+        start = F.when(again & (run["job_run_id"] % 3 == 0), far).otherwise(run["start_time"])
+        return run.withField("status.state", state).withField("start_time", start)
+
+    runs = F.when(F.col("poll") == 1, F.transform("runs", first_seen)).otherwise(F.col("runs"))
+    counts = StatusCounts(spark, scratch_path(spark, "counts"), every="24h")
+    early = (F.col("poll") == 1) == (page_number() % 2 == 0)
+    _landed(spark, pages.withColumn("runs", runs), (early, ~early), counts.apply)
+    return counts.counts()
 
 
 @query
 def stream_gauge_rollup_(spark, sf_dir):
-    landing, out, checkpoint = (scratch_path(spark, n) for n in ("samples", "rollup", "state"))
-    arriving = inputs.repeated_samples(spark, sf_dir)
-    for arrival in (1, 2):
-        arriving.filter(F.col("arrival") == arrival).write.mode("append").parquet(landing)
-        stream = samples.stream_jmx_samples(spark, landing)
-        run_available(stream_gauge_rollup(stream), out, checkpoint)
-    whole = rollup_once(samples.read_jmx_samples(spark, landing))
-    keys = ["bucket", "host", "mbean", "stream", "field"]
-    return with_open_groups(spark.read.parquet(out), whole, keys)
+    """Copies come after what they copy, and of every seventh second's readings before it; the
+    readings of odd days come a batch later than all others."""
+    rows = inputs.repeated_samples(spark, sf_dir)
+    rollups = GaugeRollups(spark, scratch_path(spark, "rollup"))
+    second = F.floor(F.unix_micros("ts") / 1_000_000)
+    late = F.floor(second / 86400) % 2 == 1
+    early = (F.col("arrival") == 1) == (second % 7 != 0)
+    _landed(spark, rows, (~late & early, ~late & ~early, late), rollups.apply)
+    return rollups.rollup()
+
 
+@query
+def stream_table_counts_by_batch(spark, sf_dir):
+    """System metrics and matched samples routed as they land; the last batch comes twice."""
+    root = scratch_path(spark, "routed")
+    system = samples.with_system_dataset(inputs.system_metrics(spark, sf_dir)).select(
+        "ts", "dataset", F.col("host").alias("source"), F.to_json("metrics").alias("payload")
+    )
+    matched = metrics.match_catalogue(inputs.samples(spark, sf_dir)).select(
+        "ts",
+        F.concat(F.lit("databricks.spark_"), "stream").alias("dataset"),
+        F.col("host").alias("source"),
+        F.to_json(F.struct("field", "value", "status")).alias("payload"),
+    )
+    rows = stream_tables.to_stream(
+        system.unionByName(matched), "metrics", F.col("dataset"), "databricks"
+    ).drop("dataset")
+
+    def twice(batch_rows: DataFrame, batch: int) -> None:
+        for _ in range(2 if batch else 1):
+            stream_tables.route_batch(batch_rows, root, batch, order=["source"])
+
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
+    _landed(spark, rows, (day % 3 != 0, day % 3 == 0), twice)
+    return stream_tables.stream_table_counts(stream_tables.read_stream_tables(spark, root))

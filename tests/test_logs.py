@@ -188,9 +188,3 @@ def test_stream_tables(spark, tmp_path):
         ("metrics-system.a-ns", 4),
         ("metrics-system.b-ns", 2),
     }
-    landed = str(tmp_path / "in")
-    rows.write.parquet(landed)
-    stream = spark.readStream.schema(rows.schema).parquet(landed)
-    query = stream_tables.append_stream_tables(stream, str(tmp_path / "s"), str(tmp_path / "c"))
-    query.awaitTermination()
-    assert stream_tables.read_stream_tables(spark, str(tmp_path / "s")).count() == 3

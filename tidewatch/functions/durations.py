@@ -27,6 +27,13 @@ def spark_interval(text: str) -> str:
     return f"{parse_duration(text)} milliseconds"
 
 
+def bucket_start(at: Column, every: str) -> Column:
+    """Start of the ``every`` wide bucket, counted from the epoch, that holds a timestamp."""
+    width = parse_duration(every) * 1000
+    micros = F.unix_micros(at)
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(width)))
+
+
 def as_time(now: datetime | Column) -> Column:
     """A fixed time (UTC unless it names a zone) or a time column, as a column."""
     if isinstance(now, Column):

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+
+from tidewatch.streaming.runs import run_batches
 
 PARTITIONS = ("data_stream_type", "data_stream_dataset", "data_stream_namespace")
+BATCH = "batch"
 
 
 def stream_name() -> Column:
@@ -39,18 +41,29 @@ def write_stream_tables(
     laid_out.write.partitionBy(*PARTITIONS).mode(mode).parquet(root)
 
 
-def append_stream_tables(df: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """The same for a stream, each batch exactly once; runs over what has landed."""
-    return (
-        df.writeStream.format("parquet")
-        .partitionBy(*PARTITIONS)
-        .option("path", root)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+def route_batch(rows: DataFrame, root: str, batch: int, order: Sequence[str] = ()) -> None:
+    """Store a numbered batch, all its streams in one write, each in the stream's folder.
+
+    The batch's own folders are replaced, those of other batches stay, so a batch that comes
+    again after a failure leaves the tables as if it had come once.
+    """
+    numbered = rows.withColumn(BATCH, F.lit(batch))
+    laid_out = numbered.hint("rebalance", *PARTITIONS)
+    if order:
+        laid_out = laid_out.sortWithinPartitions(*PARTITIONS, *order)
+    (
+        laid_out.write.partitionBy(*PARTITIONS, BATCH)
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .parquet(root)
     )
 
 
+def route_stream(df: DataFrame, root: str, checkpoint: str, order: Sequence[str] = ()) -> None:
+    """Route what has landed of a stream, batch by batch."""
+    run_batches(df, lambda rows, batch: route_batch(rows, root, batch, order), checkpoint)
+
+
 def read_stream_tables(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -24,13 +23,16 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def with_open_groups(emitted: DataFrame, whole: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What a stream emitted, and from the batch result the groups it still holds back.
+def run_batches(df: DataFrame, apply: Callable[[DataFrame, int], object], checkpoint: str) -> None:
+    """Hand everything not processed yet to ``apply(rows, batch)``.
 
-    The closing step of a stream that ends: its last groups wait for a watermark that will
-    not move again.
+    After a failure the same rows come again under the same number, so ``apply`` has to skip
+    batches it has finished (``BatchTables.once``).
     """
-    same = reduce(
-        lambda x, y: x & y, (emitted[key].eqNullSafe(whole[key]) for key in keys)
+    query = (
+        df.writeStream.foreachBatch(lambda rows, batch: apply(rows, batch) and None)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
-    return emitted.unionByName(whole.join(emitted, same, "left_anti"))
+    query.awaitTermination()
