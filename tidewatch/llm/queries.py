@@ -23,7 +23,7 @@ from tidewatch.llm import (
     toxicity,
     vector_codes,
 )
-from tidewatch.llm.common import id_remainder, read_table
+from tidewatch.llm.common import id_remainder, land, read_table
 from tidewatch.session import scratch_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -105,17 +105,29 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in, those of low quality are counted anew without digits, toxic ones
     are taken out; the last batch arrives twice."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels")
     store = token_rollups.RollupStore(spark, scratch_path(spark, "token-rollups"))
     tokenizers = {"words-1": token_rollups.words, "pieces-2": token_rollups.word_pieces}
-    poor = docs.join(labels.filter("quality = 0").select("doc_id"), "doc_id", "left_semi")
-    toxic = docs.join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    cleaned = poor.withColumn("text", F.regexp_replace("text", "[0-9]+", ""))
-    store.commit("1-all", token_rollups.counted(docs, tokenizers, token_rollups.INSERT))
-    store.commit("2-poor", token_rollups.counted(cleaned, tokenizers, token_rollups.REVISE))
+    text = F.col("text")
+    without_digits = F.regexp_replace(text, "[0-9]+", "")
+    # Texts are counted where they are read; only counts are joined with labels.
+    counts = land(
+        docs.select(
+            "doc_id",
+            "source",
+            "lang",
+            token_rollups.versions(tokenizers, text).alias("whole"),
+            token_rollups.versions(tokenizers, without_digits).alias("cleaned"),
+        ),
+        "token-counts",
+    )
+    poor = counts.join(labels.filter("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    toxic = counts.join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    store.commit("1-all", token_rollups.changes(counts, "whole", token_rollups.INSERT))
+    store.commit("2-poor", token_rollups.changes(poor, "cleaned", token_rollups.REVISE))
     for _ in range(2):
-        store.commit("3-toxic", token_rollups.counted(toxic, tokenizers, token_rollups.DELETE))
+        store.commit("3-toxic", token_rollups.changes(toxic, "whole", token_rollups.DELETE))
     return store.totals()
 
 

@@ -5,6 +5,7 @@ tokenizer version, tokens, sign) and the sums of these rows by source, language
 A change takes back what the ledger holds for the document and version, and, unless it is a
 delete, adds the new count; so inserts of known documents act as revisions, and deletes of
 unknown ones do nothing.  Totals are the sums of the batches' sums: no document is read again.
+The ledger lies in folders by a hash of the id, and a batch reads those its documents fall into.
 
 A batch is written under its id, replacing what an attempt that failed has left, and counts
 once its commit mark is written, last.  A batch already committed is not applied again.
@@ -12,8 +13,8 @@ Batches are applied one after the other.
 
 Nulls in source, language and version are groups of their own.  Changes without a document id
 or count are refused as ``rejected`` rows of the batch, deletes need no count.  Of several
-changes of a document and version in a batch the last by ``seq`` holds, ties by the larger
-count.  An empty batch commits.  Extra columns are left out.
+changes of a document and version in a batch the last by ``seq`` holds; of equal ones a delete,
+then the larger count.  An empty batch commits.  Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ INSERT, DELETE, REVISE = "insert", "delete", "revise"
 GROUP = ("source", "lang", "tokenizer")
 LEDGER = (
     "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint, sign int, "
-    "batch string"
+    "batch string, folder int"
 )
+FOLDERS = 64
 SUMS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, batch string"
 MARKS = "batch string"
 
@@ -45,21 +47,33 @@ def word_pieces(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern))
 
 
-def counted(
-    docs: DataFrame, tokenizers: dict[str, Callable[[Column], Column]], operation: str, seq: int = 0
-) -> DataFrame:
-    """Changes: one row per document and tokenizer version."""
-    versions = F.array(
+def versions(tokenizers: dict[str, Callable[[Column], Column]], text: Column) -> Column:
+    """``tokenizer, n_tokens`` of a text in each version, as an array."""
+    return F.array(
         *(
-            F.struct(F.lit(name).alias("tokenizer"), count(F.col("text")).cast("long").alias("n_tokens"))
+            F.struct(F.lit(name).alias("tokenizer"), count(text).cast("long").alias("n_tokens"))
             for name, count in tokenizers.items()
         )
     )
-    return docs.select("doc_id", "source", "lang", F.inline(versions)).select(
+
+
+def changes(counts: DataFrame, of: str, operation: str, seq: int = 0) -> DataFrame:
+    """Changes: one row per document and entry of its ``versions`` in column ``of``."""
+    return counts.select("doc_id", "source", "lang", F.inline(of)).select(
         "*", F.lit(operation).alias("operation"), F.lit(seq).alias("seq")
     )
 
 
+def counted(
+    docs: DataFrame, tokenizers: dict[str, Callable[[Column], Column]], operation: str, seq: int = 0
+) -> DataFrame:
+    """Changes: one row per document and tokenizer version."""
+    counts = docs.select(
+        "doc_id", "source", "lang", versions(tokenizers, F.col("text")).alias("counts")
+    )
+    return changes(counts, "counts", operation, seq)
+
+
 class RollupStore:
     """Ledger, sums and commit marks below one shared folder."""
 
@@ -68,11 +82,10 @@ class RollupStore:
 
     def _read(self, part: str, schema: str) -> DataFrame:
         """All committed batches' rows; none before the first commit."""
-        marks = self._marks()
-        if not marks:
-            return self.spark.createDataFrame([], schema)
-        paths = [f"{self.root}/{part}/{batch}" for batch in marks]
-        return self.spark.read.schema(schema).parquet(*paths)
+        rows = self.spark.createDataFrame([], schema)
+        for batch in self._marks():
+            rows = rows.unionByName(self.spark.read.schema(schema).parquet(f"{self.root}/{part}/{batch}"))
+        return rows
 
     def _marks(self) -> list[str]:
         """Ids of committed batches, in order; as many as there are batches."""
@@ -84,8 +97,10 @@ class RollupStore:
             raise
         return sorted(row["batch"] for row in marks.distinct().collect())
 
-    def ledger(self) -> DataFrame:
-        return self._read("ledger", LEDGER)
+    def ledger(self, folders: list[int] | None = None) -> DataFrame:
+        """Signed rows of committed batches; of these folders only."""
+        rows = self._read("ledger", LEDGER)
+        return rows if folders is None else rows.filter(F.col("folder").isin(folders))
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens``; groups without documents are left out."""
@@ -105,13 +120,14 @@ class RollupStore:
         changes.select(*columns).filter(~usable).write.mode("overwrite").parquet(
             f"{self.root}/rejected/{batch}"
         )
-        last = (
-            changes.filter(usable)
-            .groupBy("doc_id", "tokenizer")
-            .agg(F.max(F.struct("seq", "n_tokens", "operation", "source", "lang")).alias("new"))
+        order = F.struct(
+            "seq", (F.col("operation") == DELETE).alias("gone"), "n_tokens", "operation", "source", "lang"
         )
+        last = changes.filter(usable).groupBy("doc_id", "tokenizer").agg(F.max(order).alias("new"))
+        folder = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDERS)).cast("int")
+        touched = [r[0] for r in changes.filter(usable).select(folder).distinct().collect()]
         held = (
-            self.ledger()
+            self.ledger(touched)
             .groupBy("doc_id", *GROUP, "n_tokens")
             .agg(F.sum("sign").alias("copies"))
             .filter("copies <> 0")
@@ -131,7 +147,8 @@ class RollupStore:
             F.lit(1).alias("sign"),
         )
         path = f"{self.root}/ledger/{batch}"
-        taken.unionByName(added).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(path)
+        signed = taken.unionByName(added).withColumns({"batch": F.lit(batch), "folder": folder})
+        signed.hint("rebalance", "folder").write.mode("overwrite").partitionBy("folder").parquet(path)
         written = self.spark.read.schema(LEDGER).parquet(path)
         written.groupBy(*GROUP, "batch").agg(
             F.sum("sign").cast("long").alias("n_docs"),
