@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import pytest
@@ -37,7 +38,7 @@ def test_pieces_of_odd_strings_equal_the_library(processor):
 
 
 def test_a_full_table_changes_nothing(processor, monkeypatch):
-    monkeypatch.setattr(pieces, "TABLE_LIMIT", 5)
+    monkeypatch.setattr(pieces, "TABLE_BYTES", 1000)
     table = pieces.ChunkTable(processor)
     for seed in range(5):
         text = prose(seed, 30)
@@ -182,6 +183,59 @@ def test_forward_sums_all_segmentations(processor):
             assert scores[column] == pytest.approx(math.log(alpha[-1]), rel=1e-9)
 
 
+def learnt(processor):
+    counts = {"en": collections.Counter({"the": 5, "thing": 2}), "de": collections.Counter({"der": 4, "ding": 1})}
+    return language_id.PieceModel.fit(counts, processor)
+
+
+def test_long_words_score_as_in_one_stretch(processor, monkeypatch):
+    model = learnt(processor)
+    pick = random.Random(3)
+    words = ["".join(pick.choice("thedringа") for _ in range(n)) for n in (47, 48, 49, 130, 400)]
+    monkeypatch.setattr(language_id, "SHORT", 10**9)
+    whole = language_id.word_scores(model, model.slots(), words)
+    monkeypatch.setattr(language_id, "SHORT", 1)
+    monkeypatch.setattr(language_id, "STRETCH", 33)
+    parts = language_id.word_scores(model, model.slots(), words)
+    assert parts == pytest.approx(whole, rel=1e-9)
+    monkeypatch.setattr(language_id, "SHORT", 10**9)
+    monkeypatch.setattr(language_id, "BLOCK_LETTERS", 1)
+    alone = language_id.word_scores(model, model.slots(), words)
+    assert alone == pytest.approx(whole, rel=1e-9)
+
+
+def test_a_very_long_word_among_many_takes_little_memory(processor):
+    import tracemalloc
+
+    model = learnt(processor)
+    slots = model.slots()
+    words = [prose(i, 1) + str(i) for i in range(20_000)]
+    words[7] = "thing" * 40_000
+    tracemalloc.start()
+    scores = language_id.word_scores(model, slots, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert scores[7, 0] > scores[7, 1] and math.isfinite(scores[7, 0])
+
+
+def test_marks_do_not_cut_words():
+    assert language_id.words_of("हिन्दी भाषा, Ünï\u0308x 12") == ["हिन्दी", "भाषा", "ünï\u0308x"]
+
+
+def test_texts_in_no_learnt_language_are_told(spark, processor):
+    rows = [(1, "the thing of the", "en", "s", 1), (2, "日本語の文章です", None, "s", 1), (3, None, None, "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.fit_language_model(docs, piece_model_path())
+    found = language_id.predict_language(docs, model)
+    assert [r.doc_id for r in found.filter(language_id.in_a_language()).collect()] == [1]
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit_language_model(language_id.training_rows(given), piece_model_path())
+    found = language_id.predict_language(given, model).withColumn("in_one", language_id.in_a_language())
+    lost = found.filter("NOT coalesce(in_one, false) AND lang_pred <> 'und'").count()
+    assert lost == 0, found.agg(F.min("letter_score")).first()
+
+
 def test_language_of_odd_texts(spark, processor):
     rows = [
         (1, "the thing of the", "en", "s", 1),

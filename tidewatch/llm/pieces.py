@@ -5,7 +5,7 @@ so no piece crosses from one marked word into the next: a chunk (a run of marker
 word behind it) is segmented on its own.  Each task keeps a table from distinct chunk to
 ids, looks the chunks of its texts up, has the library segment those not seen before, and
 joins the ids by position.  A chunk's ids depend on the chunk alone, so nothing is shuffled;
-the table is emptied at a fixed size, which changes the work and never the result.
+the table is emptied at a fixed size in bytes, which changes the work and never the result.
 
 Null and empty texts have no ids and decode to the empty text.  Extra columns stay; columns
 that have an output's name are replaced.
@@ -14,15 +14,21 @@ that have an output's name are replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import give_back
+
 MARKER = "▁"
-TABLE_LIMIT = 500_000
+#: a task's table is emptied when it holds about so much
+TABLE_BYTES = 64 << 20
+#: of an entry, besides its letters and ids
+ENTRY_BYTES = 200
 _CHUNK = re.compile(" *[^ ]+| +")
 
 
@@ -50,31 +56,39 @@ def chunks_of(text: str) -> list[str]:
 
 
 class ChunkTable(dict):
-    """Ids of distinct chunks."""
+    """Ids of distinct chunks, packed as 32-bit numbers; emptied at ``TABLE_BYTES``."""
 
     def __init__(self, processor):
         super().__init__()
         self.encode = processor.encode
-        self.bare = (processor.piece_to_id(MARKER),)
+        self.bare = array("i", [processor.piece_to_id(MARKER)]).tobytes()
+        self.taken = 0
 
     def add(self, chunks: set[str]) -> None:
-        if len(self) + len(chunks) > TABLE_LIMIT:
-            self.clear()
         new = [chunk for chunk in chunks if chunk]
-        self.update(zip(new, map(tuple, self.encode(new, num_threads=1))))
+        for start in range(0, len(new), 4096):
+            part = new[start : start + 4096]
+            packed = [array("i", ids).tobytes() for ids in self.encode(part, num_threads=1)]
+            self.update(zip(part, packed))
+            self.taken += sum(map(len, packed)) + sum(map(len, part)) + ENTRY_BYTES * len(part)
         self[""] = self.bare
 
-    def ids(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text, one after the other."""
         if not text:
-            return []
+            return b""
         chunks = chunks_of(text)
-        distinct = set(chunks)
-        missing = {chunk for chunk in distinct if chunk not in self}
+        missing = {chunk for chunk in chunks if chunk not in self}
         if missing:
-            if len(self) + len(missing) > TABLE_LIMIT:
-                missing = distinct
+            if self.taken > TABLE_BYTES:
+                self.clear()
+                self.taken = 0
+                missing = set(chunks)
             self.add(missing)
-        return list(chain.from_iterable(map(self.__getitem__, chunks)))
+        return b"".join(map(self.__getitem__, chunks))
+
+    def ids(self, text: str | None) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
 
 def encode_column(model_path: str):
@@ -84,10 +98,14 @@ def encode_column(model_path: str):
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ChunkTable(load_processor(model_path))
         for part in texts:
-            rows = [pa.array(table.ids(text.as_py()), pa.int32()) for text in part]
-            offsets = [0, *_running(len(row) for row in rows)]
-            values = pa.concat_arrays(rows) if rows else pa.array([], pa.int32())
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+            rows = [table.packed(text.as_py()) for text in part]
+            offsets = np.zeros(len(rows) + 1, np.int32)
+            np.cumsum([len(row) // 4 for row in rows], out=offsets[1:])
+            values = pa.array(np.frombuffer(b"".join(rows), np.int32))
+            del rows
+            yield pa.ListArray.from_arrays(pa.array(offsets), values)
+        del table
+        give_back()
 
     return encode
 
@@ -101,17 +119,12 @@ def decode_column(model_path: str):
         for part in ids:
             rows = (row.values.to_numpy().tolist() if row.is_valid else [] for row in part)
             yield pa.array([processor.decode(row) for row in rows], pa.string())
+        del processor
+        give_back()
 
     return decode
 
 
-def _running(lengths) -> Iterator[int]:
-    total = 0
-    for n in lengths:
-        total += n
-        yield total
-
-
 def encode_documents(
     docs: DataFrame, model_path: str, text: str = "text", out: str = "token_ids"
 ) -> DataFrame:
