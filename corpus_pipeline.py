@@ -25,13 +25,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents without a language: no text or no letter in it."""
+    """Leave out documents in no learnt language: without a letter, or with unlikely ones."""
     docs = docs.select(*COLUMNS)
     model = language_id.fit_language_model(
         language_id.training_rows(docs), queries.piece_model_path()
     )
     found = language_id.predict_language(docs, model)
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    return found.filter(language_id.in_a_language()).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
