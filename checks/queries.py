@@ -172,27 +172,9 @@ def split_tasks_keep_parent(spark, sf_dir):
     )
 
 
-def shipped_messages(spark, sf_dir) -> DataFrame:
-    """Records as JSON text: every 11th cut short, every 7th with ``state`` as text, every
-    13th with a ``state`` that is no JSON."""
-    rows = jobs.split_tasks(inputs.runs(spark, sf_dir)).withColumn("key", F.col("job_run_id"))
-    typed = F.to_json(F.struct(*jobs.RUN_FIELDS))
-    texts = [F.to_json("state").alias(n) if n == "state" else n for n in jobs.RUN_FIELDS]
-    odd = [F.lit("not json").alias(n) if n == "state" else n for n in jobs.RUN_FIELDS]
-    message = (
-        F.when(F.col("key") % 13 == 0, F.to_json(F.struct(*odd)))
-        .when(F.col("key") % 7 == 0, F.to_json(F.struct(*texts)))
-        .otherwise(typed)
-    )
-    cut = F.substring("message", F.lit(1), F.length("message") - 5)
-    return rows.select("key", message.alias("message")).withColumn(
-        "message", F.when(F.col("key") % 11 == 0, cut).otherwise(F.col("message"))
-    )
-
-
 @query
 def decode_json_fields(spark, sf_dir):
-    decoded = jobs.decode_json(shipped_messages(spark, sf_dir))
+    decoded = jobs.decode_json(inputs.shipped_messages(spark, sf_dir))
     return with_ids(
         decoded,
         "key",
@@ -293,7 +275,7 @@ def original_retention(spark, sf_dir):
 @query
 def job_error_capture(spark, sf_dir):
     """Unreadable texts are errors; every fifth run carries an error already."""
-    decoded = jobs.decode_json(shipped_messages(spark, sf_dir)).withColumn(
+    decoded = jobs.decode_json(inputs.shipped_messages(spark, sf_dir)).withColumn(
         "error_message", F.when(F.col("key") % 5 == 0, "earlier")
     )
     return jobs.capture_error(decoded, "decode_error").select("key", "error_message")

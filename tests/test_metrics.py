@@ -123,6 +123,33 @@ def test_counter_deltas(spark, slice_seconds):
     assert total == {}
 
 
+def test_series_are_read_and_shuffled_once(spark, tmp_path):
+    spark.range(100).selectExpr(
+        "timestamp_seconds(id * 60) AS ts", "concat('h', id % 3) AS host", "id * 1.0D AS value", "'x' AS note"
+    ).write.parquet(str(tmp_path / "samples"))
+    df = spark.read.parquet(str(tmp_path / "samples"))
+    plan = sequences.in_slices(df, ["host"], "ts", ["ts", "value"], 3600)
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    rated = series.counter_rate(df, ["host"])
+    assert not any("samples" in f.split("/")[-2] for f in rated.inputFiles())
+    plan = rated._jdf.queryExecution().sparkPlan().toString()
+    # what is joined or sorted again is one row per slice
+    assert plan.count("Join") == 1 and "_starts" in plan.split("Join")[1]
+
+
+def test_copies_do_not_count_in_panels(spark):
+    name = "app.1.executor.bytesRead"
+    rows = [sample(name, "counters", float(v), s) for s, v in ((0, 5), (60, 9), (120, 2))]
+    again = [(r[0], 2, *r[2:5], r[5] + 100, None) for r in rows for _ in range(3)]
+    panel = panels.executor_panel(samples(spark, *rows, *again)).collect()
+    assert [(r.increase, r.peak_rate, r.n_samples) for r in panel] == [(6.0, 4 / 60, 3)]
+    name = "app.driver.appStatus.jobs.succeededJobs"
+    rows = [sample(name, "counters", float(v), s) for s, v in ((0, 5), (60, 9))]
+    panel = panels.driver_panel(samples(spark, *rows, *rows, *rows)).collect()
+    assert [r.increase for r in panel] == [4.0]
+
+
 @pytest.mark.parametrize("slice_seconds", [1, 13, 3600])
 def test_running_total(spark, slice_seconds):
     rng = random.Random(6)

@@ -81,70 +81,76 @@ def decode_json(
 ) -> DataFrame:
     """Parse JSON text into ``target``, two levels deep.
 
-    An object or array one level down may also come as JSON text.  A ``target`` that is
-    already there wins.  ``decode_error`` tells why a text, or which field of it, could
-    not be read; fields that could be read are kept.
+    The text is parsed once, to a variant, and its fields are taken from there; a number in quotes
+    is a number.  An object or array one level down may also come as JSON text, which is parsed
+    then.  A ``target`` that is already there wins.  ``decode_error`` tells why a text, or which
+    field of it, could not be read; fields that could be read are kept.
     """
     fields = T.StructType.fromDDL(schema).fields
-    nested = {f.name for f in fields if isinstance(f.dataType, (T.StructType, T.ArrayType))}
-    # Nested fields are first read as text: the content of a JSON string, or the raw
-    # JSON of an object.  Either way the second read gives the typed value.
-    outer = T.StructType(
-        [T.StructField(f.name, T.StringType() if f.name in nested else f.dataType) for f in fields]
-        + [T.StructField("_unread", T.StringType())]
+    nested = [f for f in fields if isinstance(f.dataType, (T.StructType, T.ArrayType))]
+    plain = [f for f in fields if f not in nested]
+    top = T.StructType([*plain, *(T.StructField(f.name, T.VariantType()) for f in nested)])
+    # Bound one after the other as columns, so that no text is parsed and no value taken again.
+    read = df.withColumn("_parsed", F.try_parse_json(col))
+    read = read.withColumn("_fields", _taken("_parsed", top))
+    read = read.withColumns(
+        {f"_own_{f.name}": _taken(f"_fields.{f.name}", f.dataType) for f in nested}
     )
-    raw = F.from_json(
-        F.col(col), outer, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"}
-    )
-    inner = [_nested_value(f) for f in fields if f.name in nested]
-    decoded = F.struct(
-        *(
-            F.col(f"_nested.{f.name}.value").alias(f.name)
-            if f.name in nested
-            else F.col(f"_raw.{f.name}").alias(f.name)
-            for f in fields
-        )
-    )
-    failed = F.col("_raw").isNull() | F.col("_raw._unread").isNotNull()
-    unread = F.col(col).isNotNull() & failed
-    wrong = F.array_compact(
-        F.array(*(F.when(F.col(f"_nested.{n}.wrong"), n) for n in sorted(nested)))
-    )
-    fields_unread = F.when(
-        F.size(wrong) > 0, F.concat(F.array_join(wrong, ", "), F.lit(f" of {col} cannot be read"))
-    )
-    value = F.when(F.col(col).isNotNull() & ~failed, decoded)
+    read = read.withColumns({f"_text_{f.name}": _text_of(f.name) for f in nested})
+    read = read.withColumns({f"_inner_{f.name}": F.try_parse_json(f"_text_{f.name}") for f in nested})
+    values, wrong = {}, _misfits(F.col("_fields"), plain, ["_parsed"])
+    for f in nested:
+        value = F.coalesce(f"_own_{f.name}", _taken(f"_inner_{f.name}", f.dataType))
+        read = read.withColumn(f"_value_{f.name}", value)
+        values[f.name] = F.col(f"_value_{f.name}")
+        unread = F.col(f"_text_{f.name}").isNotNull() & values[f.name].isNull()
+        if isinstance(f.dataType, T.StructType):
+            sources = [f"_fields.{f.name}", f"_inner_{f.name}"]
+            unread |= F.size(_misfits(values[f.name], f.dataType.fields, sources)) > 0
+        wrong = F.concat(wrong, F.array(F.when(unread, f.name)))
+    decoded = F.struct(*(values.get(f.name, F.col(f"_fields.{f.name}")).alias(f.name) for f in fields))
+    there = F.col("_fields").isNotNull()
+    value = F.when(there, decoded)
     if target in df.columns:
         value = F.coalesce(F.col(target), value)
-    return (
-        df.withColumn("_raw", raw)
-        .withColumn("_nested", F.struct(*inner) if inner else F.lit(None))
-        .withColumn(target, value)
-        .withColumn(
-            "decode_error",
-            F.when(unread, F.lit(f"{col} is not a JSON object")).otherwise(fields_unread),
-        )
-        .drop("_raw", "_nested")
-    )
+    misfits = F.array_sort(F.array_compact(wrong))
+    told = F.concat(F.array_join(misfits, ", "), F.lit(f" of {col} cannot be read"))
+    error = F.when(F.col(col).isNotNull() & ~there, F.lit(f"{col} is not a JSON object"))
+    error = error.when(there & (F.size(misfits) > 0), told)
+    kept = [c for c in df.columns if c not in (target, "decode_error")]
+    return read.select(*kept, value.alias(target), error.alias("decode_error"))
 
 
-def _nested_value(field: T.StructField) -> Column:
-    """``value`` of a nested field's text and whether it is ``wrong``: there, but not as declared."""
-    text = F.col(f"_raw.{field.name}")
-    if not isinstance(field.dataType, T.StructType):
-        value = F.from_json(text, field.dataType)
-        return F.struct(
-            value.alias("value"), (text.isNotNull() & value.isNull()).alias("wrong")
-        ).alias(field.name)
-    marked = T.StructType([*field.dataType.fields, T.StructField(CORRUPT, T.StringType())])
-    read = F.from_json(text, marked, {"columnNameOfCorruptRecord": CORRUPT})
-    own = F.struct(*(read[f.name].alias(f.name) for f in field.dataType.fields))
-    unread = read[CORRUPT].isNotNull()
-    blank = F.coalesce(*(read[f.name].cast("string") for f in field.dataType.fields)).isNull()
-    return F.struct(
-        F.when(read.isNotNull() & ~(unread & blank), own).alias("value"),
-        (text.isNotNull() & (read.isNull() | unread)).alias("wrong"),
-    ).alias(field.name)
+def _taken(variant: str, as_: T.DataType) -> Column:
+    """The variant as this type, null where it does not fit; a field that does not is null alone."""
+    return F.try_variant_get(F.col(variant), "$", as_.simpleString())
+
+
+def _text_of(name: str) -> Column:
+    """What stands where an object or array was declared; null for a JSON null."""
+    text = F.try_variant_get(F.col(f"_fields.{name}"), "$", "string")
+    return F.when(F.col(f"_own_{name}").isNull(), text)
+
+
+def _misfits(value: Column, fields: Sequence[T.StructField], sources: Sequence[str]) -> Column:
+    """Names of the fields of ``value`` that are there in its variant and could not be read.
+
+    Anything can be read as text.  Only where another field is null is it looked up what was given.
+    """
+    own = [f.name for f in fields if not isinstance(f.dataType, T.StringType)]
+    none = F.array().cast("array<string>")
+    if not own:
+        return none
+    as_text = T.StructType([T.StructField(name, T.StringType()) for name in own])
+    given = F.coalesce(*(_taken(source, as_text) for source in sources))
+    missed = F.filter(
+        F.array(*(F.when(value[name].isNull(), name) for name in own)), lambda name: name.isNotNull()
+    )
+    found = F.transform(
+        F.array(given),
+        lambda g: F.array(*(F.when(g[name].isNotNull() & value[name].isNull(), name) for name in own)),
+    )
+    return F.when(F.size(missed) > 0, F.array_compact(F.coalesce(found[0], none))).otherwise(none)
 
 
 def flag_in_interval(

@@ -2,9 +2,12 @@
 
 A plain window puts a whole series in one task, which fails when one series holds a
 large share of all rows.  Here a series is cut into slices along its order; the window
-runs within a slice, and a table with one row per (series, slice), aggregated map-side,
-carries what a slice needs from the slices before it.  The rows are shuffled once, by
-(series, slice), and that partitioning also serves the join with the carried values.
+runs within a slice, and a table with one row per (series, slice) carries what a slice
+needs from the slices before it.
+
+The row before (``with_previous``) is such a scan: rows are read and shuffled once, by (series,
+slice), and landed with what they found in their slice.  Only the last row of each slice takes
+part in the second step, and only the first row of each gets what it carries; all others are done.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import land
+
 _KEY, _SLICE = "_series", "_slice"
 
 
@@ -46,29 +51,30 @@ def with_previous(
     Within a series ``at`` is expected to be unique (see ``tsds_dedup``).
     """
     shown = (at, *values)
+    sliced = land(in_slices(df, keys, at, shown, slice_seconds), "slices")
+    ends = sliced.filter("_ends").select(_KEY, _SLICE, F.struct(*shown).alias("_end"))
+    across = Window.partitionBy(_KEY).orderBy(_SLICE)
+    carried = ends.select(_KEY, _SLICE, F.lag("_end").over(across).alias("_carry"))
+    heads = sliced.filter("_starts").drop("_before").join(carried, [_KEY, _SLICE], "left")
+    rows = sliced.filter("NOT _starts").unionByName(heads.withColumnRenamed("_carry", "_before"))
+    added = {f"{prefix}{c}": F.col(f"_before.{c}") for c in shown}
+    return _restored(rows, df.columns, keys, added)
+
+
+def in_slices(
+    df: DataFrame, keys: Sequence[str], at: str, shown: Sequence[str], slice_seconds: int
+) -> DataFrame:
+    """Rows with ``_before``, the ``shown`` columns of the row before in the series' slice, and
+    whether they are the first (``_starts``) or last (``_ends``) of it: one read, one shuffle."""
     rows = _keyed(df, keys, time_slice(at, slice_seconds))
     inside = Window.partitionBy(_KEY, _SLICE).orderBy(at)
-    rows = rows.withColumn("_before", F.lag(F.struct(*shown)).over(inside))
-
-    ends = (
-        _keyed(df.select(*keys, *shown), keys, time_slice(at, slice_seconds))
-        .groupBy(_KEY, _SLICE)
-        .agg(
-            F.max(at).alias(f"_end_{at}"),
-            *(F.max_by(v, at).alias(f"_end_{v}") for v in values),
-        )
-    )
-    across = Window.partitionBy(_KEY).orderBy(_SLICE)
-    ends = ends.select(
-        _KEY,
-        _SLICE,
-        F.lag(F.struct(*(F.col(f"_end_{c}").alias(c) for c in shown))).over(across).alias("_carry"),
-    )
-    joined = rows.join(ends, [_KEY, _SLICE], "left").withColumn(
-        "_before", F.coalesce("_before", "_carry")
+    return rows.withColumns(
+        {
+            "_before": F.lag(F.struct(*shown)).over(inside),
+            "_starts": F.lag(F.lit(True)).over(inside).isNull(),
+            "_ends": F.lead(F.lit(True)).over(inside).isNull(),
+        }
     )
-    added = {f"{prefix}{c}": F.col(f"_before.{c}") for c in shown}
-    return _restored(joined, df.columns, keys, added)
 
 
 def with_running_total(

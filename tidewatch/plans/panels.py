@@ -1,7 +1,8 @@
 """Cluster dashboard panels over JMX samples.
 
-Counters show their increase, gauges their range and last value.  Samples are expected
-to be unique per (dimensions, time); see ``tsds_dedup``.
+Counters show their increase, gauges their range and last value.  Copies of a sample count
+once where increases or samples are counted (``tsds_dedup``); the other panels show values that
+copies do not change.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.durations import spark_interval
 from tidewatch.functions.mbeans import application_identity, driver_identity, executor_identity
-from tidewatch.operators.metrics import match_catalogue
+from tidewatch.operators.metrics import match_catalogue, tsds_dedup
 from tidewatch.operators.series import SERIES, counter_rate, of_kind, sampled_kind
 from tidewatch.plans.metric_events import node_metrics
 
@@ -96,7 +97,7 @@ def _summary(samples: DataFrame, dims: Sequence[str]) -> DataFrame:
 def driver_panel(samples: DataFrame) -> DataFrame:
     """Jobs, stages, tasks and scheduler of each application's driver."""
     matched = _named(match_catalogue(samples, ["driver"]), driver_identity(F.col("mbean")))
-    shown = matched.filter(_starts_with_any(F.col("field"), _DRIVER_GROUPS))
+    shown = tsds_dedup(matched.filter(_starts_with_any(F.col("field"), _DRIVER_GROUPS)))
     rated = counter_rate(of_kind(shown, "counter"))
     gauges = of_kind(shown, "gauge")
     return (
@@ -110,7 +111,7 @@ def executor_panel(samples: DataFrame) -> DataFrame:
     """Bytes, records, shuffle and spill of each executor: increase, and rate at its peak."""
     matched = _named(match_catalogue(samples, ["executor"]), executor_identity(F.col("mbean")))
     wanted = _starts_with_any(F.col("field"), _EXECUTOR_GROUPS) | F.col("field").isin(list(_SPILL))
-    rated = counter_rate(of_kind(matched.filter(wanted), "counter"))
+    rated = counter_rate(tsds_dedup(of_kind(matched.filter(wanted), "counter")))
     return rated.groupBy("application_name", "id", "field").agg(
         F.sum("delta").alias("increase"),
         F.max("rate").alias("peak_rate"),
@@ -130,8 +131,8 @@ def memory_cpu_panel(samples: DataFrame, every: str = "24h") -> DataFrame:
 def gc_panel(samples: DataFrame) -> DataFrame:
     """Collection counts and times per node: range of the gauges, increase of the total."""
     matched = match_catalogue(samples, ["driver", "executor"])
-    gauges = matched.filter(_starts_with_any(F.col("field"), _GC_GAUGES))
-    spent = counter_rate(matched.filter(F.col("field") == _GC_TIME))
+    gauges = tsds_dedup(matched.filter(_starts_with_any(F.col("field"), _GC_GAUGES)))
+    spent = counter_rate(tsds_dedup(matched.filter(F.col("field") == _GC_TIME)))
     return _summary(gauges, ["host"]).unionByName(_summary(spent, ["host"]))
 
 

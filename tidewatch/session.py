@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -42,3 +42,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="tidewatch-")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def land(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written below the shared folder and read back, so that what they come from is
+    computed once however often they are used."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

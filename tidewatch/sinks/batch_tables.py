@@ -64,7 +64,8 @@ class BatchTables:
     def write(self, name: str, batch: int, rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         """Store a batch's rows; the same rows, read back."""
         path = f"{self.root}/{name}/batch={batch}"
-        rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+        laid_out = rows.hint("rebalance", *by) if by else rows
+        laid_out.write.mode("overwrite").partitionBy(*by).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def read(
