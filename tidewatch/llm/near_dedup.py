@@ -12,9 +12,14 @@ candidate with probability 5e-6.
 Sets that are similar enough have sizes within the same ratio, so a bucket holds only sets of
 neighbouring size classes.  A bucket is not expanded into pairs: each member is first paired
 with three leaders of its bucket, the smallest id and two chosen by hash; the links found give
-components, and only members of one bucket that are still in different components are paired,
-so each candidate pair is either confirmed or already connected.  Sets for the confirmation are made where the texts are read, for
-documents that a bitmap of fixed size lets through, so texts are not shuffled.
+components, and only members of one bucket that are still in different components are compared,
+so each candidate pair is either confirmed or already connected.  That comparison runs inside
+tasks, over blocks of a bucket: a pair is taken up in the first bucket it shares, its bits are
+counted, and those that may link are intersected on hashed sets (or on samples of them by hash,
+for sets of over ``SAMPLE``).  Of the links found only what ties the block together leaves the
+task, besides pairs too close to the threshold to tell, so no pair below it becomes a row.
+Sets are made where the texts are read, for documents that a bitmap of fixed size lets through,
+so texts are not shuffled.
 
 Rows with a null id have ``n_shingles`` and are linked with nothing; they are kept.  Rows that
 share an id are judged each by its own text.  Other columns are left out.
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import (
     WordHashes,
+    give_back,
     key_bitmap,
     land,
     maybe_among,
@@ -49,6 +55,12 @@ LONGS = PACKED // 64
 SLOTS = 1 << 18
 #: standard deviations below the threshold at which an estimate rules a pair out
 MARGIN = 5.2
+#: members compared with each other at a time, and rows of blocks that share a call
+BLOCK, SHARD = 512, 4096
+#: hashes shipped of a set, about, at most
+SAMPLE = 2048
+#: sets up to this size have no equal short hashes to speak of
+FEW = 200
 
 
 @dataclass(frozen=True)
@@ -122,6 +134,8 @@ def signatures(docs: DataFrame, rule: Similarity) -> DataFrame:
                     [part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))],
                     names=["id", "n", "k1", "k2", "bands", "bits"],
                 )
+        del table
+        give_back()
 
     return docs.mapInArrow(sign, _SIGNATURE)
 
@@ -139,6 +153,8 @@ def shingle_sets(docs: DataFrame, rule: Similarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["id", "shingles"]
                 )
+        del table
+        give_back()
 
     return docs.mapInArrow(gather, "id bigint, shingles array<bigint>")
 
@@ -162,6 +178,226 @@ def lowest_estimate(rule: Similarity) -> float:
     return level - MARGIN * (level * (1 - level) / PACKED) ** 0.5 / (1 - 2.0**-BITS)
 
 
+def class_base(rule: Similarity) -> float:
+    """Sizes in the ratio of the threshold are at most one class of this base apart."""
+    return 100.1 / rule.percent
+
+
+def sample_limit(size_class: int, rule: Similarity) -> int:
+    """Short hashes below this are sampled, of sets of this size class or the one before."""
+    smallest = class_base(rule) ** size_class
+    return min(1 << 32, int(2**32 * SAMPLE / smallest))
+
+
+def hashed_samples(docs: DataFrame, rule: Similarity) -> DataFrame:
+    """``docs``: id and text. Short hashes of each row's set, sorted, as many as blocks may need."""
+    base = math.log(class_base(rule))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                out = []
+                for text in part.column(1):
+                    own = shingle_set(text.as_py(), rule.words, table)
+                    short = np.unique((own >> np.uint64(32)).astype(np.uint32))
+                    if len(own):
+                        limit = sample_limit(math.floor(math.log(len(own)) / base), rule)
+                        short = short[: np.searchsorted(short, limit)] if limit < 1 << 32 else short
+                    out.append(short.tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(out, pa.binary())], names=["id", "hashes"]
+                )
+        del table
+        give_back()
+
+    return docs.mapInArrow(gather, "id bigint, hashes binary")
+
+
+def _matrix(column: pa.ChunkedArray, kind=np.uint64) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy().view(kind).reshape(len(flat), -1)
+
+
+def candidates(block: pa.Table, rule: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block's rows that may link, are in different components, share no earlier bucket."""
+    side = block.column("side").to_numpy()
+    bits, bands = _matrix(block.column("bits")), _matrix(block.column("bands"))
+    part, size, n = (block.column(c).to_numpy() for c in ("part", "size", "n"))
+    ids = block.column("id").to_numpy()
+    band, at = block.column("band")[0].as_py(), block.column("class")[0].as_py()
+    inside = side[0] == 2
+    left = np.arange(len(side)) if inside else np.flatnonzero(side == 0)
+    right = left if inside else np.flatnonzero(side == 1)
+    # unequal groups of bits that a similarity at the lowest estimate has
+    lowest = lowest_estimate(rule)
+    chance = 2.0**-BITS
+    most = PACKED * (1 - (lowest * (1 - chance) + chance)) + 1e-9
+    found = [(left[:0], left[:0])]
+    for start in range(0, len(left), 64):
+        rows = left[start : start + 64]
+        unequal = np.zeros((len(rows), len(right)), np.int64)
+        for word in range(LONGS):
+            differ = np.zeros((len(rows), len(right)), np.uint64)
+            for plane in range(BITS):
+                column = plane * LONGS + word
+                differ |= bits[rows, column, None] ^ bits[None, right, column]
+            unequal += np.bitwise_count(differ)
+        mask = (unequal <= most) & (part[rows, None] != part[None, right])
+        mask &= np.maximum(size[rows, None], size[None, right]) == at
+        small, large = np.minimum(n[rows, None], n[None, right]), np.maximum(n[rows, None], n[None, right])
+        mask &= 100 * small >= rule.percent * large
+        if inside:
+            mask &= ids[rows, None] < ids[None, right]
+        a, b = np.nonzero(mask)
+        a, b = rows[a], right[b]
+        if len(a) and band:
+            fresh = np.ones(len(a), bool)
+            for earlier in range(band):
+                fresh &= bands[a, earlier] != bands[b, earlier]
+            a, b = a[fresh], b[fresh]
+        found.append((a, b))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def shared_hashes(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the lists ``a`` and ``b`` stand for, by counting bits."""
+    values, place = np.unique(np.concatenate(lists), return_inverse=True)
+    sizes = np.array([len(x) for x in lists])
+    row = np.repeat(np.arange(len(lists)), sizes)
+    words = len(values) // 64 + 1
+    grid = np.zeros((len(lists), words), np.uint64)
+    np.bitwise_or.at(grid, (row, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    shared = np.empty(len(a), np.int64)
+    step = max(1, 2_000_000 // words)
+    for start in range(0, len(a), step):
+        both = grid[a[start : start + step]] & grid[b[start : start + step]]
+        shared[start : start + step] = np.bitwise_count(both).sum(axis=1)
+    return shared
+
+
+def tied(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links are needed to connect what all of them connect."""
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    needed = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            needed[k] = True
+    return needed
+
+
+def _blockwise(compare):
+    """Apply ``compare`` to each block of a shard."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        block = shard.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        none = np.zeros(0, np.int64)
+        found = [(none, none)]
+        for rows in np.split(order, cuts):
+            if len(rows) > 1:
+                found.append(compare(shard.take(pa.array(rows))))
+        x, y = (np.concatenate(column) for column in zip(*found))
+        return pa.table({"x": x, "y": y})
+
+    return run
+
+
+def _may_link(rule: Similarity):
+    """Block and id of the rows that are in any candidate pair."""
+
+    def compare(block: pa.Table):
+        some = np.unique(np.concatenate(candidates(block, rule)))
+        ids = block.column("id").to_numpy()[some]
+        return np.full(len(ids), block.column("block")[0].as_py(), np.int64), ids
+
+    return _blockwise(compare)
+
+
+def _links(rule: Similarity):
+    """Pairs that tie a block together, and those too close to the threshold to tell."""
+    level = rule.percent / 100
+
+    def compare(block: pa.Table):
+        a, b = candidates(block, rule)
+        ids = block.column("id").to_numpy()
+        if not len(a):
+            return ids[:0], ids[:0]
+        at = block.column("class")[0].as_py()
+        limit = sample_limit(at, rule)
+        lists = [np.frombuffer(x, np.uint32) for x in block.column("hashes").to_pylist()]
+        if limit < 1 << 32:
+            lists = [x[: np.searchsorted(x, limit)] for x in lists]
+        shared = shared_hashes(lists, a, b)
+        sizes = np.array([len(x) for x in lists])
+        union = sizes[a] + sizes[b] - shared
+        similar = shared / np.maximum(union, 1)
+        if limit < 1 << 32:
+            slack = MARGIN * np.sqrt(level * (1 - level) / np.maximum(union, 1)) + 1e-9
+        else:
+            slack = np.where(np.minimum(sizes[a], sizes[b]) > FEW, 1.5 / np.maximum(union, 1), 1e-9)
+        sure = np.flatnonzero(similar >= level + slack)
+        close = np.flatnonzero((similar >= level - slack) & (similar < level + slack))
+        sure = sure[tied(len(ids), a[sure], b[sure])]
+        keep = np.concatenate([sure, close])
+        return ids[a[keep]], ids[b[keep]]
+
+    return _blockwise(compare)
+
+
+def within_buckets(pool: DataFrame, reps: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that connect all that links across the buckets.
+
+    ``pool``: bucket, band, class, id, part.
+    """
+    sizes = pool.groupBy("bucket").agg(F.count("*").alias("m"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    spread = (
+        pool.join(land(sizes, "bucket-sizes"), "bucket")
+        .withColumn("own", own)
+        .select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select(
+            F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
+            F.when(F.col("own") == F.col("other"), 2)
+            .when(F.col("own") < F.col("other"), 0)
+            .otherwise(1)
+            .alias("side"),
+            "band",
+            "class",
+            "id",
+            "part",
+        )
+    )
+    spread = land(spread, "bucket-blocks")
+    size_class = F.floor(F.log(F.col("n")) / math.log(class_base(rule))).alias("size")
+    known = reps.select("id", "n", size_class, "bits", "bands")
+
+    def shards(rows: DataFrame) -> DataFrame:
+        n = max(1, rows.count() // SHARD)
+        return rows.join(known, "id").withColumn("shard", F.pmod("block", F.lit(n))).groupBy("shard")
+
+    found = land(shards(spread).applyInArrow(_may_link(rule), "x bigint, y bigint"), "may-link")
+    again = spread.join(found.withColumnsRenamed({"x": "block", "y": "id"}), ["block", "id"])
+    again = land(again, "linking-blocks")
+    needed = maybe_among(
+        key_bitmap(again.select(F.xxhash64("id")), SLOTS).scalar(), F.xxhash64("id"), SLOTS
+    )
+    hashes = land(hashed_samples(docs.filter(needed & F.col("id").isNotNull()), rule), "hashed-sets")
+    pairs = shards(again.join(hashes, "id")).applyInArrow(_links(rule), "x bigint, y bigint")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
     """Of the pairs ``(a, b)``, those whose full sets are similar enough."""
     bits = reps.select("id", "bits")
@@ -230,12 +466,11 @@ def near_duplicates(
         signed.join(own, ["id", "n", "k1", "k2"], "left_semi").select("id", "n", "bands", "bits"),
         "reps",
     )
-    # Sizes in the ratio of the threshold are at most one class apart.
-    size_class = F.floor(F.log(F.col("n")) / math.log(100.1 / rule.percent))
+    size_class = F.floor(F.log(F.col("n")) / math.log(class_base(rule)))
     banded = (
         reps.select("id", size_class.alias("size"), F.posexplode("bands").alias("band", "value"))
-        .select("id", "band", "value", F.explode(F.array("size", F.col("size") + 1)).alias("size"))
-        .select("id", F.xxhash64("band", "value", "size").alias("bucket"))
+        .select("id", "band", "value", F.explode(F.array("size", F.col("size") + 1)).alias("class"))
+        .select("id", "band", "class", F.xxhash64("band", "value", "class").alias("bucket"))
     )
     by_hash = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in (1, 2)]
     shared = banded.groupBy("bucket").agg(
@@ -252,23 +487,12 @@ def near_duplicates(
     parts = connected_components(links)
 
     labelled = buckets.join(parts, "id", "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("part")
+        "bucket", "band", "class", "id", F.coalesce("component", "id").alias("part")
     )
     mixed = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     mixed = land(mixed.filter("low < high").select("bucket"), "mixed-buckets")
-    pool = labelled.join(mixed, "bucket").join(reps.select("id", "bits"), "id")
-    pool = land(pool, "mixed-members")
-    x = pool.withColumnsRenamed({"id": "a", "part": "part_a", "bits": "x"})
-    y = pool.withColumnsRenamed({"id": "b", "part": "part_b", "bits": "y"})
-    likely = estimate(F.col("x"), F.col("y")) >= lowest_estimate(rule)
-    rest = (
-        x.join(y, "bucket")
-        .filter((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & likely)
-        .select("a", "b")
-        .distinct()
-        .join(first_pairs, ["a", "b"], "left_anti")
-    )
-    rest = land(rest, "rest-pairs")
+    pool = land(labelled.join(mixed, "bucket"), "mixed-members")
+    rest = land(within_buckets(pool, reps, docs, rule), "rest-pairs")
     if not rest.isEmpty():
         more = confirmed(rest, reps, docs, rule)
         parts = _joined(parts, connected_components(_between(more, parts), "x", "y"))
