@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -439,3 +439,24 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("cluster_name"),
         F.when(F.col("s_nationkey") % 2 == 0, "TRUE").otherwise("FALSE").alias("is_job_cluster"),
     )
+
+
+#: hosts change their cluster at this time, those of even number twice
+MOVED = "timestamp'2024-01-16 00:00:00+00:00'"
+
+
+@cache
+def moving_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes as they were seen: in another cluster first, and once more unchanged; those of
+    even number come back to it ten days after they left."""
+    known = nodes(spark, sf_dir)
+    early = known.withColumn("cluster_id", F.lit("c-old"))
+    back = F.expr(f"pmod(bigint(substr(host, 3)), 2) = 0")
+    seen = [
+        (early, F.lit(None).cast("timestamp")),
+        (early, F.expr(f"{MOVED} - INTERVAL 3 DAYS")),
+        (known, F.expr(MOVED)),
+        (early.filter(back), F.expr(f"{MOVED} + INTERVAL 10 DAYS")),
+    ]
+    parts = [rows.withColumn("seen_at", at) for rows, at in seen]
+    return reduce(DataFrame.unionByName, parts)

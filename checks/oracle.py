@@ -209,6 +209,17 @@ nodes AS (
         CASE WHEN s_nationkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS is_job_cluster
     FROM supplier)"""
 
+# Facts as of a time: hosts are in another cluster before, those of even number ten days after too.
+MOVING = f"""{NODES},
+moving AS (
+    SELECT nodes.*, CAST(substr(host, 3) AS BIGINT) % 2 = 0 AS comes_back FROM nodes)"""
+
+
+def cluster_at(ts: str) -> str:
+    return f"""CASE WHEN moving.host IS NULL THEN NULL WHEN {ts} < TIMESTAMP '2024-01-16' THEN 'c-old'
+        WHEN comes_back AND {ts} >= TIMESTAMP '2024-01-26' THEN 'c-old' ELSE cluster_id END"""
+
+
 _SET_LIST = "[" + ", ".join(f"'system.{name}'" for name in METRIC_SETS) + "]"
 SYSTEM = f"""
 system_metrics AS (
@@ -533,6 +544,24 @@ FROM log_events LEFT JOIN nodes ON nodes.host = 'h-' || (CAST(file AS BIGINT) %
 SELECT host, epoch_us(ts) AS ts, mbean, coalesce(node_role, 'Executor') AS node_role, cluster_id,
     container_ip, instance_type, cluster_name, is_job_cluster
 FROM samples LEFT JOIN nodes USING (host)""",
+        "node_facts_asof": f"""WITH {SAMPLES}, {MOVING.strip()}
+SELECT samples.host, epoch_us(ts) AS ts, mbean, coalesce(node_role, 'Executor') AS node_role,
+    {cluster_at('ts')} AS cluster_id, container_ip, instance_type, cluster_name, is_job_cluster
+FROM samples LEFT JOIN moving ON moving.host = samples.host""",
+        "system_metrics_stored": f"""WITH {SYSTEM}, {MOVING.strip()}
+SELECT s.host, epoch_us(ts) AS ts, value, coalesce(node_role, 'Executor') AS node_role,
+    {cluster_at('ts')} AS cluster_id, container_ip, instance_type, cluster_name, is_job_cluster,
+    'metrics' AS data_stream_type, dataset AS data_stream_dataset,
+    'databricks' AS data_stream_namespace
+FROM system_metrics s LEFT JOIN moving ON moving.host = s.host""",
+        "stream_log_event_table": f"""WITH {log_event_ctes(NO_LIMIT)}, {NODES.strip()}
+SELECT 'h-' || (CAST(file AS BIGINT) % 100) AS host, file, pos, message, n_lines, truncated,
+    {LOG_PATH.replace("doc_id", "CAST(file AS BIGINT)")} AS path,
+    coalesce(node_role, 'Executor') AS node_role, cluster_id,
+    container_ip, instance_type, cluster_name, is_job_cluster, 'logs' AS data_stream_type,
+    {LOG_DATASET.replace("doc_id", "CAST(file AS BIGINT)")} AS data_stream_dataset,
+    'databricks' AS data_stream_namespace
+FROM log_events LEFT JOIN nodes ON nodes.host = 'h-' || (CAST(file AS BIGINT) % 100)""",
         "stream_table_counts": f"""WITH {MATCHED}, {log_event_ctes(NO_LIMIT).strip()}, {SYSTEM.strip()}
 SELECT 'logs-' || CASE WHEN CAST(file AS BIGINT) % 2 = 1 THEN 'spark.driver' ELSE 'spark.executor' END
     || '-databricks' AS stream_name, count(*) AS n_rows FROM log_events GROUP BY 1

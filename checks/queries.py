@@ -20,6 +20,7 @@ from tidewatch.functions.nesting import flatten
 from tidewatch.operators import job_runs as jobs
 from tidewatch.operators import log_events, metrics, nodes, series
 from tidewatch.plans import dashboards, log_events as log_plans, metric_events, panels
+from tidewatch.plans import system_metrics as system_plans
 from tidewatch.plans.job_events import job_events, shape_events
 from tidewatch.session import scratch_path
 from tidewatch.sinks import stream_tables
@@ -512,6 +513,28 @@ def log_multiline_stream(spark, sf_dir):
     return spark.read.parquet(out).select("file", "pos", "message", "n_lines", "truncated")
 
 
+@query
+def stream_log_event_table(spark, sf_dir):
+    """Lines as they land, in three goes, with facts of hosts 0 to 99, routed to their streams."""
+    lines = inputs.log_lines(spark, sf_dir)
+    root, landing, checkpoint = (scratch_path(spark, n) for n in ("logs", "lines", "state"))
+    ends = lines.groupBy("file").agg(
+        F.max("block").alias("block"), (F.max("pos") + 1).alias("pos")
+    )
+    marks = ends.withColumn("value", F.lit(None).cast("string"))
+    for part in (lines.filter("pos < 20"), lines.filter("pos >= 20"), marks):
+        part.write.mode("append").parquet(landing)
+        events = log_plans.stream_log_event_table(
+            spark.readStream.schema(part.schema).parquet(landing),
+            inputs.nodes(spark, sf_dir),
+            host=F.concat(F.lit("h-"), F.col("file").cast("bigint") % 100),
+            path=inputs.log_path(),
+            timeout=None,
+        )
+        stream_tables.route_stream(events, root, checkpoint, order=["file"])
+    return stream_tables.read_stream_tables(spark, root).drop("block", stream_tables.BATCH)
+
+
 @query
 def node_role(spark, sf_dir):
     return nodes.node_role(inputs.nodes(spark, sf_dir)).select("host", "node_role")
@@ -523,6 +546,24 @@ def node_facts_join(spark, sf_dir):
     return nodes.add_node_facts(read, inputs.nodes(spark, sf_dir))
 
 
+@query
+def node_facts_asof(spark, sf_dir):
+    """Samples with the facts their host had then; hosts change their cluster, some come back."""
+    read = inputs.samples(spark, sf_dir).select("ts", "host", "mbean")
+    return nodes.add_node_facts(read, inputs.moving_nodes(spark, sf_dir), at="ts")
+
+
+@query
+def system_metrics_stored(spark, sf_dir):
+    root = scratch_path(spark, "system-streams")
+    rows = system_plans.stored_system_metrics(
+        inputs.system_metrics(spark, sf_dir), inputs.moving_nodes(spark, sf_dir)
+    )
+    stream_tables.write_stream_tables(rows, root, order=["host", "ts"])
+    stored = stream_tables.read_stream_tables(spark, root)
+    return stored.withColumn("value", F.col("metrics")["value"]).drop("metrics")
+
+
 @query
 def stream_table_counts(spark, sf_dir):
     """Logs, system metrics and matched metric samples stored, then counted per stream."""

@@ -188,3 +188,31 @@ def test_stream_tables(spark, tmp_path):
         ("metrics-system.a-ns", 4),
         ("metrics-system.b-ns", 2),
     }
+
+
+def test_facts_as_of_a_time_equal_a_scan_over_all_facts(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    pick = random.Random(7)
+    start = datetime(2024, 1, 1)
+    moment = lambda: start + timedelta(minutes=pick.randrange(6 * 24 * 60))
+    seen = []
+    for host in "abc":
+        for _ in range(25):
+            seen.append((host, "TRUE", pick.choice("xyz"), "ip", "t", "n", "TRUE", moment()))
+        seen += seen[-2:]  # seen twice at once, and one that says something else
+        seen.append((*seen[-1][:2], "zz", *seen[-1][3:]))
+    seen.append(("d", "FALSE", "x", "ip", "t", "n", "TRUE", None))
+    known = spark.createDataFrame(seen, f"{NODE}, seen_at timestamp")
+    asked = [(pick.choice([*"abcde", None]), pick.choice([None, moment(), moment()]), i) for i in range(400)]
+    asked += [(h, t, 1000 + i) for i, (h, *_, t) in enumerate(seen)]
+    rows = spark.createDataFrame(asked, "node string, t timestamp, i int")
+    for seconds in (3600, 86_400, 10**8):
+        found = nodes.add_node_facts(rows, known, host="node", at="t", slice_seconds=seconds).collect()
+        assert sorted(r.i for r in found) == sorted(i for *_, i in asked)
+        for r in found:
+            past = [s for s in seen if s[0] == r.node and r.t and (s[7] is None or s[7] <= r.t)]
+            last = max(past, key=lambda s: (s[7] or datetime.min, s[2]), default=None)
+            role = "Driver" if last and last[1] == "TRUE" else "Executor"
+            assert (r.cluster_id, r.node_role) == (last and last[2], role), r

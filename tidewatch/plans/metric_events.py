@@ -52,10 +52,12 @@ def stored_metrics(samples: DataFrame, stream: str, nodes: DataFrame) -> DataFra
     """The stream's table as stored: one row per series and time, node facts, data stream.
 
     Samples that arrive several times are folded first, by their full dimensions, so the
-    wide rows need no other shuffle for it.
+    wide rows need no other shuffle for it.  An inventory with ``seen_at`` gives each row the
+    facts its node had at sampling time.
     """
     once = steps.tsds_dedup(samples)
     facts = ("node_role", *NODE_FACTS)
-    rows = add_node_facts(wide_table(once, stream), nodes)
+    at = "ts" if "seen_at" in nodes.columns else None
+    rows = add_node_facts(wide_table(once, stream), nodes, at=at)
     others = [c for c in rows.columns if c not in facts]
     return to_stream(rows.select(*others, *facts), "metrics", f"{DATASET_PREFIX}{stream}")
