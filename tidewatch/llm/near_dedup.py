@@ -56,7 +56,9 @@ SLOTS = 1 << 18
 #: standard deviations below the threshold at which an estimate rules a pair out
 MARGIN = 5.2
 #: members compared with each other at a time, and rows of blocks that share a call
-BLOCK, SHARD = 512, 4096
+BLOCK, SHARD = 2048, 4096
+#: bytes of bits that a block looks at together
+GRID = 16 << 20
 #: hashes shipped of a set, about, at most
 SAMPLE = 2048
 #: sets up to this size have no equal short hashes to speak of
@@ -263,17 +265,24 @@ def candidates(block: pa.Table, rule: Similarity) -> tuple[np.ndarray, np.ndarra
 
 def shared_hashes(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the lists ``a`` and ``b`` stand for, by counting bits."""
-    values, place = np.unique(np.concatenate(lists), return_inverse=True)
-    sizes = np.array([len(x) for x in lists])
-    row = np.repeat(np.arange(len(lists)), sizes)
-    words = len(values) // 64 + 1
-    grid = np.zeros((len(lists), words), np.uint64)
-    np.bitwise_or.at(grid, (row, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
-    shared = np.empty(len(a), np.int64)
-    step = max(1, 2_000_000 // words)
-    for start in range(0, len(a), step):
-        both = grid[a[start : start + step]] & grid[b[start : start + step]]
-        shared[start : start + step] = np.bitwise_count(both).sum(axis=1)
+    _, place, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    # What only one list holds is in no intersection.
+    common = times > 1
+    place, row = (np.cumsum(common) - 1)[place[common[place]]], row[common[place]]
+    shared = np.zeros(len(a), np.int64)
+    # A stretch of values at a time, so that the grid of bits stays small.
+    width = max(1, min(int(common.sum()) // 64 + 1, GRID // (8 * len(lists))))
+    step = max(1, GRID // (8 * width))
+    for first in range(0, int(common.sum()), 64 * width):
+        some = np.flatnonzero((place >= first) & (place < first + 64 * width))
+        at = place[some] - first
+        grid = np.zeros((len(lists), width), np.uint64)
+        np.bitwise_or.at(grid, (row[some], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        for start in range(0, len(a), step):
+            part = slice(start, start + step)
+            both = grid[a[part]] & grid[b[part]]
+            shared[part] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
     return shared
 
 
