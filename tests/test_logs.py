@@ -216,3 +216,25 @@ def test_facts_as_of_a_time_equal_a_scan_over_all_facts(spark):
             last = max(past, key=lambda s: (s[7] or datetime.min, s[2]), default=None)
             role = "Driver" if last and last[1] == "TRUE" else "Executor"
             assert (r.cluster_id, r.node_role) == (last and last[2], role), r
+
+
+def test_lines_are_read_and_their_text_is_shuffled_once(spark, tmp_path):
+    start = "24/01/02 03:04:05 x"
+    spark.range(3000).selectExpr(
+        "concat('f', id % 3) AS file", "id div 100 AS block", "id AS pos",
+        f"if(id % 7 = 0 AND id % 900 < 300, '{start}', concat('line ', id)) AS value",
+    ).write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    events = multiline(lines)
+    found = events.collect()
+    plan = events._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") >= 2
+    texts = {r.file: [] for r in found}
+    for r in sorted(found, key=lambda r: (r.file, r.event_seq)):
+        texts[r.file].append(r)
+    for file, rows in texts.items():
+        want = [r.value for r in lines.filter(lines.file == file).orderBy("pos").collect()]
+        assert [line for r in rows for line in r.message.split("\n")] == want
+        assert [r.event_seq for r in rows] == list(range(rows[0].event_seq, rows[0].event_seq + len(rows)))
+        assert all(r.message.startswith(start) for r in rows if r.event_seq)
+        assert all(start not in r.message[1:] for r in rows)
