@@ -26,3 +26,14 @@ def test_rows_of_one_id_keep_their_own_words(spark, monkeypatch, batch, id):
     assert sorted(out[t]["n_removed"] for t in twins) == [0, 25]
     kept = {r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
     assert clean in kept
+
+
+def test_columns_named_like_inner_ones_stay(spark):
+    text = prose(3, 30)
+    rows = [(1, text, "a", "b", 7), (2, text, "c", "d", 8)]
+    names = "doc_id bigint, text string, _doc_id string, _doc_rest string, n_words int"
+    docs = spark.createDataFrame(rows, names)
+    out = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
+    assert [(out[i]["_doc_id"], out[i]["_doc_rest"]) for i in (1, 2)] == [("a", "b"), ("c", "d")]
+    assert [(out[i].n_words, out[i].n_removed) for i in (1, 2)] == [(30, 0), (30, 30)]
+    assert out[2].text == text and out[2].kept_text == ""

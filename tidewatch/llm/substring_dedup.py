@@ -13,9 +13,10 @@ only one row goes to the key, and the others, whose answer is known, travel unde
 their own.  So a key has at most one row per batch, however common the passage.
 
 Words are runs without the six ASCII blanks, unchanged.  Null texts have no words.  Documents
-are ordered by id, null ids first, those of one id by a hash of id and text.  That hash is the key
-under which marks and starts come back to a row, so only equal rows share them: their equal starts
-are not earlier than each other, and a start found to be a repeat is one in all of them.
+are ordered by id, null ids first, those of one id by a hash of id and text.  Id and hash are also
+what brings marks and starts back to a row, so only equal rows share them: their equal starts
+are not earlier than each other, and a start found to be a repeat is one in all of them.  Of ids
+that a bitmap of fixed size knows to occur once the hash is left out, as it would not compress.
 Extra columns stay; columns that have an output's name are replaced.
 """
 
@@ -28,7 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WordHashes, land, mix, window_hashes
+from tidewatch.llm.common import (
+    WordHashes,
+    give_back,
+    key_bitmap,
+    land,
+    maybe_among,
+    mix,
+    window_hashes,
+)
 
 WINDOW = 20
 PERIOD = 13
@@ -37,31 +46,34 @@ ANCHOR = WINDOW - PERIOD + 1
 #: words handled together; a longer document is handled on its own
 BATCH_WORDS = 2_000_000
 _NULL_ID = -(1 << 63)
-#: columns that carry row key, id, text and marked anchors
-DOC, ID, TEXT, MARKS = "_doc_key", "_doc_id", "_doc_text", "_doc_marks"
-_ROWS = "key bigint, doc bigint, place bigint"
+#: words of 64 bits in the bitmap of ids that occur several times
+SLOTS = 1 << 18
+#: columns that carry id, hash, text, marked anchors and a row's other columns, whatever their names
+ID, TIE, TEXT, MARKS, REST = "_doc_id", "_doc_tie", "_doc_text", "_doc_marks", "_doc_rest"
+_ROWS = "key bigint, id bigint, tie bigint, place bigint"
 
 
 def _documents(batches: Iterator[pa.RecordBatch], with_marks: bool = False):
-    """Groups of documents with about ``BATCH_WORDS`` words: row keys, ids, word hashes,
-    marks."""
+    """Groups of documents with about ``BATCH_WORDS`` words: ids, ties, word hashes, marks."""
     table = WordHashes()
     group, total = [], 0
     for batch in batches:
-        docs, ids, texts = batch.column(DOC), batch.column(ID), batch.column(TEXT)
+        ids, ties, texts = batch.column(ID), batch.column(TIE), batch.column(TEXT)
         marks = batch.column(MARKS) if with_marks else None
         for i in range(batch.num_rows):
             words = (texts[i].as_py() or "").encode().split()
             if len(words) < WINDOW:
                 continue
             own = marks[i].values.to_numpy(zero_copy_only=False) if with_marks else None
-            group.append((docs[i].as_py(), ids[i].as_py(), table.of(words), own))
+            group.append((ids[i].as_py(), ties[i].as_py(), table.of(words), own))
             total += len(words)
             if total >= BATCH_WORDS:
                 yield group
                 group, total = [], 0
     if group:
         yield group
+    del table, group
+    give_back()
 
 
 def _batch(keys: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -71,9 +83,9 @@ def _batch(keys: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in columns.values()], names=list(columns))
 
 
-def _own_keys(docs: np.ndarray) -> np.ndarray:
+def _own_keys(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
     """A key per document, for rows that ask nothing."""
-    return mix(docs.view(np.uint64) + np.uint64(0x5EED))
+    return mix(mix(ids.view(np.uint64) + np.uint64(0x5EED)) + ties.view(np.uint64))
 
 
 def _unsorted(order: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -84,32 +96,33 @@ def _unsorted(order: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors as (key, document, 2 * position + known), known: repeated in this batch."""
+    """Anchors as (key, id, tie, 2 * position + known), known: repeated in this batch."""
     for group in _documents(batches):
-        hashes, docs, places = [], [], []
-        for doc, _, words, _ in group:
+        hashes, ids, ties, places = [], [], [], []
+        for id, tie, words, _ in group:
             # 48 bits compress better; two anchors that seem equal only make more candidates
             h = window_hashes(words, ANCHOR) >> np.uint64(16)
             at = np.arange(len(h))
             at = at[np.isin(at % PERIOD, COVER)]
             hashes.append(h[at])
             places.append(at)
-            docs.append(np.full(len(at), doc, np.int64))
-        h, doc, at = map(np.concatenate, (hashes, docs, places))
+            ids.append(np.full(len(at), id, np.int64))
+            ties.append(np.full(len(at), tie, np.int64))
+        h, id, tie, at = map(np.concatenate, (hashes, ids, ties, places))
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         later = np.concatenate([[False], same])
         known = _unsorted(order, later | np.concatenate([same, [False]]))
-        key = np.where(_unsorted(order, later), _own_keys(doc), h)
-        yield from _batch(key, doc=doc, place=at * 2 + known)
+        key = np.where(_unsorted(order, later), _own_keys(id, tie), h)
+        yield from _batch(key, id=id, tie=tie, place=at * 2 + known)
 
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows around marked anchors as (key, document, 2 * start + known, id), known: one that
-    is equal starts earlier in this batch."""
+    """Windows around marked anchors as (key, id, tie, 2 * start + known), known: one that is
+    equal starts earlier in this batch."""
     for group in _documents(batches, with_marks=True):
-        hashes, docs, places, ids = [], [], [], []
-        for doc, id, words, marks in group:
+        hashes, ids, ties, places = [], [], [], []
+        for id, tie, words, marks in group:
             n = len(words) - WINDOW + 1
             change = np.zeros(n + 1, np.int64)
             np.add.at(change, np.maximum(marks - PERIOD + 1, 0), 1)
@@ -117,15 +130,16 @@ def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(np.cumsum(change[:n]) > 0)
             hashes.append(window_hashes(words, WINDOW)[at])
             places.append(at)
-            docs.append(np.full(len(at), doc, np.int64))
             ids.append(np.full(len(at), id, np.int64))
-        h, doc, at, own_id = map(np.concatenate, (hashes, docs, places, ids))
-        order = np.lexsort((at, doc, own_id, h))
+            ties.append(np.full(len(at), tie, np.int64))
+        h, id, tie, at = map(np.concatenate, (hashes, ids, ties, places))
+        order = np.lexsort((at, tie, id, h))
         later = np.concatenate([[False], h[order][1:] == h[order][:-1]])
         head = order[np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))]
-        known = _unsorted(order, (doc[order] != doc[head]) | (at[order] != at[head]))
-        key = np.where(known, _own_keys(doc), h)
-        yield from _batch(key, doc=doc, place=at * 2 + known, id=own_id)
+        known = (id[order] != id[head]) | (tie[order] != tie[head]) | (at[order] != at[head])
+        known = _unsorted(order, known)
+        key = np.where(known, _own_keys(id, tie), h)
+        yield from _batch(key, id=id, tie=tie, place=at * 2 + known)
 
 
 def repeated_starts(keyed: DataFrame) -> DataFrame:
@@ -138,22 +152,22 @@ def repeated_starts(keyed: DataFrame) -> DataFrame:
     place = F.shiftright("place", 1)
     known = F.col("place").bitwiseAND(1) == 1
     marks = (
-        keyed.select(DOC, ID, TEXT)
+        keyed.select(ID, TIE, TEXT)
         .mapInArrow(anchor_rows, _ROWS)
         .withColumn("n", F.count("*").over(by_key))
         .filter(known | (F.col("n") > 1))
-        .groupBy(F.col("doc").alias(DOC))
+        .groupBy(F.col("id").alias(ID), F.col("tie").alias(TIE))
         .agg(F.collect_list(place).alias(MARKS))
     )
     # Landed: the anchors' shuffle can be removed before the windows' begins.
     marks = land(marks, "marked-anchors")
-    me = F.struct("id", "doc", place.alias("at"))
+    me = F.struct("id", "tie", place.alias("at"))
     return (
-        keyed.join(marks, DOC)
-        .mapInArrow(window_rows, f"{_ROWS}, id bigint")
+        keyed.join(marks, [ID, TIE])
+        .mapInArrow(window_rows, _ROWS)
         .withColumn("first", F.min(me).over(by_key))
         .filter(known | (me > F.col("first")))
-        .groupBy(F.col("doc").alias(DOC))
+        .groupBy(F.col("id").alias(ID), F.col("tie").alias(TIE))
         .agg(F.collect_list(place).alias("_starts"))
     )
 
@@ -196,16 +210,29 @@ def cut_out(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``n_words``, ``n_removed``, ``removed_spans`` (in words) and ``kept_text``."""
     order = F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID))
-    keyed = docs.withColumns({ID: order, DOC: F.xxhash64(order, text)}).withColumnRenamed(text, TEXT)
-    done = "_without"
+    again = docs.groupBy(order.alias(ID)).agg(F.count("*").alias("n")).filter("n > 1")
+    bitmap = key_bitmap(again.select(F.xxhash64(ID)), SLOTS).scalar()
+    tie = F.when(maybe_among(bitmap, F.xxhash64(order), SLOTS), F.xxhash64(order, text)).otherwise(
+        F.lit(0).cast("bigint")
+    )
+    others = [c for c in docs.columns if c != text]
+    rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0)
+    keyed = docs.select(order.alias(ID), tie.alias(TIE), F.col(text).alias(TEXT), rest.alias(REST))
     without = F.arrow_udf(cut_out, _CUT)
-    return (
-        keyed.join(repeated_starts(keyed), DOC, "left")
-        .withColumn(done, without(F.col(TEXT), F.col("_starts")))
-        .withColumnRenamed(TEXT, text)
-        .withColumn("n_words", F.col(done)["n_words"])
-        .withColumn("n_removed", F.col(done)["n_removed"])
-        .withColumn("removed_spans", F.col(done)["spans"])
-        .withColumn("kept_text", F.col(done)["kept"])
-        .drop(DOC, ID, done, "_starts")
+    cut = keyed.join(repeated_starts(keyed), [ID, TIE], "left").withColumn(
+        "_cut", without(F.col(TEXT), F.col("_starts"))
+    )
+    found = {
+        "n_words": F.col("_cut.n_words"),
+        "n_removed": F.col("_cut.n_removed"),
+        "removed_spans": F.col("_cut.spans"),
+        "kept_text": F.col("_cut.kept"),
+    }
+    return cut.select(
+        *(
+            F.col(TEXT).alias(c) if c == text else F.col(REST)[c].alias(c)
+            for c in docs.columns
+            if c not in found
+        ),
+        *(column.alias(name) for name, column in found.items()),
     )
