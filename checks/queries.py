@@ -26,9 +26,9 @@ from tidewatch.session import scratch_path
 from tidewatch.sinks import stream_tables
 from tidewatch.sources import logs, run_pages, samples
 from tidewatch.streaming.job_runs import JobEventFeed, StatusCounts
-from tidewatch.streaming.log_events import multiline_stream
+from tidewatch.streaming.log_feed import LogEventFeed
 from tidewatch.streaming.metrics import GaugeRollups
-from tidewatch.streaming.runs import run_available, run_batches
+from tidewatch.streaming.runs import run_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -493,45 +493,42 @@ def log_event_table(spark, sf_dir):
     )
 
 
+def _lines_in_goes(spark, sf_dir, first: str) -> tuple[DataFrame, list[str]]:
+    """Lines with an end mark after each file, and three conditions: some, the others, the marks."""
+    lines = inputs.log_lines(spark, sf_dir)
+    ends = lines.groupBy("file").agg(F.max("block").alias("block"), (F.max("pos") + 1).alias("pos"))
+    marked = lines.unionByName(ends.withColumn("value", F.lit(None).cast("string")))
+    text = "value IS NOT NULL"
+    return marked, [f"{text} AND {first}", f"{text} AND NOT {first}", "value IS NULL"]
+
+
 @query
 def log_multiline_stream(spark, sf_dir):
     """Lines land in two goes, the first 5 of each file and the rest; then the file ends."""
-    lines = inputs.log_lines(spark, sf_dir)
-    landing, out, checkpoint = (scratch_path(spark, n) for n in ("lines", "events", "state"))
-    ends = lines.groupBy("file").agg(
-        F.max("block").alias("block"), (F.max("pos") + 1).alias("pos")
-    )
-    parts = (
-        lines.filter("pos < 5"),
-        lines.filter("pos >= 5"),
-        ends.withColumn("value", F.lit(None).cast("string")),
-    )
-    for part in parts:
-        part.write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(part.schema).parquet(landing)
-        run_available(multiline_stream(stream, timeout=None), out, checkpoint)
-    return spark.read.parquet(out).select("file", "pos", "message", "n_lines", "truncated")
+    lines, goes = _lines_in_goes(spark, sf_dir, "pos < 5")
+    feed = LogEventFeed(spark, scratch_path(spark, "log-feed"), timeout=None)
+    _landed(spark, lines, goes, feed.apply)
+    return feed.events().drop("block")
 
 
 @query
 def stream_log_event_table(spark, sf_dir):
     """Lines as they land, in three goes, with facts of hosts 0 to 99, routed to their streams."""
-    lines = inputs.log_lines(spark, sf_dir)
-    root, landing, checkpoint = (scratch_path(spark, n) for n in ("logs", "lines", "state"))
-    ends = lines.groupBy("file").agg(
-        F.max("block").alias("block"), (F.max("pos") + 1).alias("pos")
-    )
-    marks = ends.withColumn("value", F.lit(None).cast("string"))
-    for part in (lines.filter("pos < 20"), lines.filter("pos >= 20"), marks):
-        part.write.mode("append").parquet(landing)
-        events = log_plans.stream_log_event_table(
-            spark.readStream.schema(part.schema).parquet(landing),
+    lines, goes = _lines_in_goes(spark, sf_dir, "pos < 20")
+    root = scratch_path(spark, "logs")
+    feed = LogEventFeed(spark, scratch_path(spark, "log-feed"), timeout=None)
+
+    def store(rows: DataFrame, batch: int) -> None:
+        feed.apply(rows, batch)
+        stored = log_plans.stored_log_events(
+            feed.events(batch),
             inputs.nodes(spark, sf_dir),
             host=F.concat(F.lit("h-"), F.col("file").cast("bigint") % 100),
             path=inputs.log_path(),
-            timeout=None,
         )
-        stream_tables.route_stream(events, root, checkpoint, order=["file"])
+        stream_tables.route_batch(stored, root, batch, order=["file"])
+
+    _landed(spark, lines, goes, store)
     return stream_tables.read_stream_tables(spark, root).drop("block", stream_tables.BATCH)
 
 

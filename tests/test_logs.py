@@ -21,6 +21,7 @@ from tidewatch.schema.source_types import LOG_LINE, NODE
 from tidewatch.sinks import stream_tables
 from tidewatch.sources import logs
 from tidewatch.streaming.log_events import fold_lines, multiline_stream
+from tidewatch.streaming.log_feed import LogEventFeed
 from tidewatch.streaming.runs import run_available
 
 START = "24/01/02 03:04:05 INFO"
@@ -109,6 +110,51 @@ def test_stream_equals_batch(spark, tmp_path, seed, max_lines):
         assert mine == by_hand(text, max_lines)
 
 
+@pytest.mark.parametrize("seed, max_lines", [(4, None), (5, 2), (6, 1)])
+def test_feed_equals_batch(spark, tmp_path, seed, max_lines):
+    files = random_files(seed, share=0.2)
+    files["most"] = [f"{START} {i}" if i % 11 == 5 else f"line {i}" for i in range(700)]
+    rows = as_rows(files, 7)
+    feed = LogEventFeed(spark, str(tmp_path), timeout=None, max_lines=max_lines)
+    cuts = [0, 3, 9, 20, 10**9]
+    for batch, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        part = [r for r in rows if low <= r[2] < high]
+        random.Random(batch).shuffle(part)
+        lines = spark.createDataFrame(part, LOG_LINE).repartition(3)
+        assert feed.apply(lines, batch) and not feed.apply(lines, batch)
+        if batch == 1:
+            feed.fold()
+    feed.apply(spark.createDataFrame([(f, 10**6, 0, None) for f in files], LOG_LINE), len(cuts))
+    found = feed.events().orderBy("file", "block", "pos").collect()
+    for file, text in files.items():
+        mine = [(r.message, r.n_lines, r.truncated) for r in found if r.file == file]
+        assert mine == by_hand(text, max_lines or 10**9)
+
+
+def test_a_file_goes_on_after_its_end_mark(spark, tmp_path):
+    feed = LogEventFeed(spark, str(tmp_path), timeout=None)
+    lines = [("f", 0, 0, f"{START} a"), ("f", 0, 1, None), ("f", 0, 2, "x"), ("f", 0, 3, f"{START} b")]
+    feed.apply(spark.createDataFrame(lines, LOG_LINE), 0)
+    assert [r.message for r in feed.events().orderBy("pos").collect()] == [f"{START} a", "x"]
+    feed.apply(spark.createDataFrame([("f", 0, 4, None), ("g", 0, 0, None)], LOG_LINE), 1)
+    assert [r.message for r in feed.events(1).collect()] == [f"{START} b"]
+
+
+def test_a_silent_file_is_flushed_by_a_later_batch(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    feed = LogEventFeed(spark, str(tmp_path), timeout="10s")
+    some = lambda file, pos, text: spark.createDataFrame([(file, 0, pos, text)], LOG_LINE)
+    feed.apply(some("f", 0, f"{START} a"), 0, start)
+    feed.apply(some("g", 0, f"{START} b"), 1, start + timedelta(seconds=5))
+    assert feed.events().count() == 0
+    feed.apply(some("g", 1, "x"), 2, start + timedelta(seconds=10))
+    assert [(r.file, r.message) for r in feed.events().collect()] == [("f", f"{START} a")]
+    feed.apply(some("f", 1, "late"), 3, start + timedelta(seconds=40))
+    assert {(r.file, r.message) for r in feed.events().collect()} == {("f", f"{START} a"), ("g", f"{START} b\nx")}
+
+
 def test_open_event_is_flushed_after_the_timeout(spark, tmp_path):
     landing = str(tmp_path / "in")
     rows = [("f", 0, 0, f"{START} a"), ("f", 0, 1, "x")]

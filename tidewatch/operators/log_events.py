@@ -33,7 +33,7 @@ def multiline(
     # Lines of a block are gathered where they are read, and shuffled once, by block.
     placed = lines.filter("file IS NOT NULL AND block IS NOT NULL")
     blocks = placed.groupBy("file", "block").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
-    segments = blocks.select("file", "block", *_segments(max_lines))
+    segments = blocks.select("file", "block", *segments_of(max_lines))
     # From the same rows: Spark reads and shuffles the text once for both sides.
     counted = segments.select("file", "block", (F.size("_starts")).cast("bigint").alias("_openings"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,9 +67,10 @@ def multiline(
     )
 
 
-def _segments(max_lines: int | None) -> tuple[Column, Column]:
+def segments_of(max_lines: int | None) -> tuple[Column, Column]:
     """``_starts``, places of the opening lines of a block's ``_lines``, and ``_parts``: the lines
-    before the first (``nth`` 0, if any) and each opening with the lines that follow it."""
+    before the first (``nth`` 0, if any) and each opening with the lines that follow it.  A part
+    has its first position, the lines kept of it and their number before any were left out."""
     lines = F.col("_lines")
     marked = F.transform(lines, lambda line, i: F.when(line["opens"], i))
     starts = F.array_compact(marked)
@@ -78,7 +79,10 @@ def _segments(max_lines: int | None) -> tuple[Column, Column]:
         n = end - start
         length = n if max_lines is None else F.least(n, F.lit(max_lines))
         values = F.transform(F.slice(lines, start + 1, length), lambda line: line["value"])
-        return F.struct(nth.alias("nth"), values.alias("kept"), n.cast("bigint").alias("n_lines"))
+        pos = F.get(lines, start)["pos"]
+        return F.struct(
+            nth.alias("nth"), pos.alias("pos"), values.alias("kept"), n.cast("bigint").alias("n_lines")
+        )
 
     end = lambda i: F.coalesce(F.get(starts, i), F.size(lines))
     head = F.array(part(F.lit(0), F.lit(0), end(F.lit(0))))

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.log_events import multiline
 from tidewatch.operators.nodes import add_node_facts
-from tidewatch.schema.fixed_values import LINE_TIMEOUT
 from tidewatch.sinks.stream_tables import to_stream
 from tidewatch.sources.logs import log_route
-from tidewatch.streaming.log_events import multiline_stream
 
 LOG_TYPE = "logs"
 LOG_NAMESPACE = "databricks"
@@ -29,29 +27,18 @@ def log_event_table(
     ``host`` and ``path`` are told by the file of an event.  Files that are neither kind of
     log are left out.
     """
-    return _stored(multiline(lines, max_lines=max_lines), nodes, host, path, namespace)
+    return stored_log_events(multiline(lines, max_lines=max_lines), nodes, host, path, namespace)
 
 
-def stream_log_event_table(
-    lines: DataFrame,
+def stored_log_events(
+    events: DataFrame,
     nodes: DataFrame,
     host: str | Column = "host",
     path: str | Column = "file",
-    max_lines: int | None = None,
     namespace: str = LOG_NAMESPACE,
-    timeout: str | None = LINE_TIMEOUT,
-) -> DataFrame:
-    """The same of a stream of lines, ready to be routed batch by batch (``route_stream``).
-
-    The inventory is read anew for each batch.
-    """
-    events = multiline_stream(lines, timeout=timeout, max_lines=max_lines)
-    return _stored(events, nodes, host, path, namespace)
-
-
-def _stored(
-    events: DataFrame, nodes: DataFrame, host: str | Column, path: str | Column, namespace: str
 ) -> DataFrame:
+    """The same of events that are made already, such as a batch of a stream's (``LogEventFeed``,
+    ``multiline_stream``), ready to be routed (``route_batch``)."""
     host = F.col(host) if isinstance(host, str) else host
     path = F.col(path) if isinstance(path, str) else path
     events = events.withColumns({"host": host, "path": path})
