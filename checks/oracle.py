@@ -687,6 +687,18 @@ SELECT wide.*, coalesce(node_role, 'Executor') AS node_role, cluster_id, contain
     'databricks.spark_driver' AS data_stream_dataset, 'default' AS data_stream_namespace
 FROM wide LEFT JOIN nodes USING (host)"""
     sql["stream_job_events"] = JOB_EVENTS
+    sql["gauge_rollup_levels"] = sql["gauge_rollup"]
+    sql["run_totals_of_days"] = sql["run_totals"]
+    sql["runs_timeline_of_days"] = (
+        f"WITH {RUNS} SELECT {ms_bucket_us('start_time', 72)} AS bucket, "
+        "result_state, count(*) AS n_runs FROM runs GROUP BY 1, 2"
+    )
+    sql["control_options_of_days"] = (
+        f"SELECT * FROM ({sql['control_options']}) WHERE control <> 'job_run_id'"
+    )
+    sql["stream_page_chain_audit"] = (
+        f"SELECT missing_token, first_page_token AS named_by FROM ({sql['page_chain_audit']})"
+    )
     sql["stream_status_counts"] = f"""WITH {RUNS},
 counts AS (
     SELECT {ms_bucket_us('start_time', 24)} AS bucket, result_state, count(*) AS n_runs

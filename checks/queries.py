@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from tidewatch.functions.mbeans import (
 )
 from tidewatch.functions.nesting import flatten
 from tidewatch.operators import job_runs as jobs
-from tidewatch.operators import log_events, metrics, nodes, series
-from tidewatch.plans import dashboards, log_events as log_plans, metric_events, panels
+from tidewatch.operators import log_events, metrics, nodes, rollups, series
+from tidewatch.plans import dashboards, log_events as log_plans, metric_events, panels, run_days
 from tidewatch.plans import system_metrics as system_plans
 from tidewatch.plans.job_events import job_events, shape_events
 from tidewatch.session import scratch_path
@@ -28,7 +29,8 @@ from tidewatch.sources import logs, run_pages, samples
 from tidewatch.streaming.job_runs import JobEventFeed, StatusCounts
 from tidewatch.streaming.log_feed import LogEventFeed
 from tidewatch.streaming.metrics import GaugeRollups
-from tidewatch.streaming.runs import run_batches
+from tidewatch.streaming.page_chains import stream_chain_audit
+from tidewatch.streaming.runs import run_available, run_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -460,6 +462,17 @@ def gauge_rollup(spark, sf_dir):
     return series.gauge_rollup(series.of_kind(matched, "gauge"), every="24h")
 
 
+@query
+def gauge_rollup_levels(spark, sf_dir):
+    """Days from hours from minutes; samples of every third day come a batch later."""
+    gauges = series.of_kind(metrics.match_catalogue(inputs.samples(spark, sf_dir)), "gauge")
+    levels = rollups.RollupLevels(spark, scratch_path(spark, "levels"))
+    late = F.floor(F.unix_micros("ts") / 86_400_000_000) % 3 == 1
+    for batch, part in enumerate((~late, late)):
+        levels.apply(gauges.filter(part), batch)
+    return levels.rollup("24h")
+
+
 @query
 def sample_gaps(spark, sf_dir):
     matched = metrics.match_catalogue(inputs.samples(spark, sf_dir))
@@ -623,6 +636,30 @@ def runs_timeline(spark, sf_dir):
     return dashboards.runs_timeline(event_table(spark, sf_dir), every="24h")
 
 
+def day_tables(spark, sf_dir) -> DataFrame:
+    """Day tables of overlapping parts of the events, put together."""
+    events = event_table(spark, sf_dir)
+    run = F.col("job_job_run_id").cast("bigint")
+    parts = (run % 2 == 0, run % 2 == 1, run % 3 == 0)
+    tables = [run_days.run_days(events.filter(part)) for part in parts]
+    return run_days.merge_days(reduce(DataFrame.unionByName, tables))
+
+
+@query
+def run_totals_of_days(spark, sf_dir):
+    return run_days.totals_of_days(day_tables(spark, sf_dir))
+
+
+@query
+def runs_timeline_of_days(spark, sf_dir):
+    return run_days.timeline_of_days(day_tables(spark, sf_dir), every="72h")
+
+
+@query
+def control_options_of_days(spark, sf_dir):
+    return run_days.options_of_days(day_tables(spark, sf_dir))
+
+
 @query
 def run_detail_table(spark, sf_dir):
     return dashboards.run_detail_table(event_table(spark, sf_dir))
@@ -745,6 +782,32 @@ def stream_status_counts_(spark, sf_dir):
     return counts.counts()
 
 
+@query
+def stream_page_chain_audit(spark, sf_dir):
+    """A page a second; those whose number leaves 3 when divided by 7 are lost, those that leave 4
+    when divided by 11 land last but in time.  Two pages far ahead let the bound pass."""
+    pages = inputs.run_pages(spark, sf_dir).withColumn("page", page_number())
+    pages = pages.filter("page % 7 <> 3").select(
+        "page_token",
+        "next_page_token",
+        F.timestamp_seconds(F.col("page") % 1800).alias("fetched_at"),
+        F.when(F.col("page") % 11 == 4, 1).otherwise(0).alias("go"),
+    )
+    ahead = spark.range(2).select(
+        F.concat(F.lit("ahead-"), "id").alias("page_token"),
+        F.lit("").alias("next_page_token"),
+        F.timestamp_seconds(F.lit(10**6) + F.col("id")).alias("fetched_at"),
+        (F.col("id") + 2).cast("int").alias("go"),
+    )
+    landing, out, checkpoint = (scratch_path(spark, n) for n in ("pages", "missing", "state"))
+    rows = pages.unionByName(ahead)
+    for go in range(4):
+        rows.filter(F.col("go") == go).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        run_available(stream_chain_audit(stream, within="1h", late="1h"), out, checkpoint)
+    return spark.read.parquet(out).drop("named_at")
+
+
 @query
 def stream_gauge_rollup_(spark, sf_dir):
     """Copies come after what they copy, and of every seventh second's readings before it; the
