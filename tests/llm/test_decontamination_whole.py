@@ -29,3 +29,25 @@ def test_overlaps_the_seeds_promise_are_accepted(spark):
     out = decontamination.decontaminate(spark.createDataFrame(rows, SCHEMA), bench, whole=True).collect()
     assert len(out) == len(rows)
     assert {r["doc_id"] for r in out if r["contaminated"]} == {i for i, _ in hit}
+
+
+def test_short_items_of_ordinary_words_are_no_sign(spark):
+    rows = [(i, f"the word number{i} of the text", "en", "s", 1) for i in range(30)]
+    rows += [(100, "a rareword here", "en", "s", 1), (None, "it has rareword too", "en", "s", 1)]
+    bench = spark.createDataFrame([(1, "The"), (2, "of the"), (3, "rareword"), (4, " ")], "item_id bigint, text string")
+    out = decontamination.decontaminate(spark.createDataFrame(rows, SCHEMA), bench, whole=True).collect()
+    assert {r["doc_id"] for r in out if r["contaminated"]} == {100, None}
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    item = " ".join(_item("w", 30))
+    rows = [(None, item, "en", "s", 1), (None, "clean text", "en", "s", 1), (7, item, "en", "s", 1)]
+    rows += [(7, "clean too", "en", "s", 1), (7, item, "en", "s", 1), (None, None, "en", "s", 1)]
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = decontamination.decontaminate(docs, bench, whole=True).collect()
+    assert len(out) == len(rows)
+    assert sorted(((r["doc_id"] or 0, r["contaminated"]) for r in out)) == [
+        (0, False), (0, False), (0, True), (7, False), (7, True), (7, True),
+    ]
+    assert {r["n_items"] for r in out if r["contaminated"]} == {1}

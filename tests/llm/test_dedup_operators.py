@@ -202,7 +202,7 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame([*items, (9, items[1][1])], "item_id bigint, text string").withColumn("doc", F.lit(1))
     frame_ = frame(spark, [*docs, docs[0]], clash={"overlap": "x", "hashes": "y", "item": "z"})
     out = decontamination.decontaminate(frame_, bench).collect()
-    want = _overlaps([d for d in docs if d[0] is not None], items)
+    want = _overlaps(docs, items)
     assert len(out) == len(docs) + 1
     for row in out:
         mine = [v for (i, _), v in want.items() if i == row["doc_id"]]

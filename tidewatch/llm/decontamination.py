@@ -18,9 +18,11 @@ looked up in a bitmap of fixed size that holds the benchmark's seeds; what it le
 joined in full, so a bitmap filled by a huge benchmark costs time and no result.
 
 Items with equal tokens count as one (smallest id).  Null and empty texts match nothing, nor,
-without ``whole``, do items of fewer tokens than ``SPAN``.  Each row of documents with an id gets a row; rows that
-share an id are judged together; rows with a null id are never contaminated.  Other columns
-are left out.
+without ``whole``, do items of fewer tokens than ``SPAN``.  Items below ``SHORT`` tokens that are in
+more documents than ``RARE`` of all (and than ``FEW``) are ordinary language, and so few tokens no
+sign that the item was there: they match nothing.  Each row of documents is judged by its own text, with or without an id; a hash
+of both tells rows apart (``row_key``), and equal rows have equal results.  Other columns are left
+out.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ SPAN = 8
 OVERLAP = 13
 LEAST = 12
 PENALTY = 2
+#: items of fewer tokens count only where they are rare: in this share of documents, or so many
+SHORT, RARE, FEW = 4, 0.001, 10
 #: words of 64 bits in the bitmap
 SLOTS = 1 << 16
 
@@ -140,6 +144,10 @@ def overlap(doc: Column, item: Column, at: Column, least: int = LEAST) -> Column
     return F.aggregate(F.zip_with(x, y, lambda a, b: a == b), start, step)["best"]
 
 
+def row_key(id: str = "doc_id", text: str = "text") -> Column:
+    return F.xxhash64(F.col(id), F.col(text))
+
+
 def contaminated_pairs(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -150,7 +158,7 @@ def contaminated_pairs(
     least: int = LEAST,
     whole: bool = False,
 ) -> DataFrame:
-    """``doc, item, overlap`` of each document and item with a verified overlap."""
+    """``row, doc, item, overlap`` of each document and item with a verified overlap."""
     items = land(
         benchmark.select(F.col(item_id).alias("item"), token_hashes(F.col(item_text)).alias("hashes"))
         .filter(F.size("hashes") >= (1 if whole else SPAN))
@@ -169,24 +177,34 @@ def contaminated_pairs(
         table = table.unionByName(runs.select("key", "item_at", "seed"))
     table = land(table, "benchmark-seeds")
     bits = key_bitmap(table.select("seed"), SLOTS).scalar()
-    texts = docs.select(F.col(id).alias("doc"), F.col(text).alias("body")).filter(
-        F.col(id).isNotNull()
+    texts = docs.select(
+        row_key(id, text).alias("row"), F.col(id).alias("doc"), F.col(text).alias("body")
     )
-    hashed = texts.select("doc", token_hashes(F.col("body")).alias("hashes"))
-    found = seeds(hashed, "doc")
+    hashed = texts.select("row", token_hashes(F.col("body")).alias("hashes"))
+    found = seeds(hashed, "row")
     maybe = lambda s: maybe_among(bits, s, SLOTS)
     found = found.filter(reduce(or_, (maybe(F.col(s)) for s in _SEEDS)))
-    found = found.unpivot(["doc", "at"], _SEEDS, "mask", "seed").select("doc", "at", "seed")
+    found = found.unpivot(["row", "at"], _SEEDS, "mask", "seed").select("row", "at", "seed")
     if lengths:
-        found = found.unionByName(run_seeds(hashed, "doc", lengths).filter(maybe(F.col("seed"))))
+        found = found.unionByName(run_seeds(hashed, "row", lengths).filter(maybe(F.col("seed"))))
     laid = land(
         found.join(table, "seed")
-        .select("doc", "key", (F.col("at") - F.col("item_at")).alias("shift"))
+        .select("row", "key", (F.col("at") - F.col("item_at")).alias("shift"))
         .distinct(),
         "seed-hits",
     )
-    hit_docs = texts.join(laid.select("doc").distinct(), "doc", "left_semi").select(
-        "doc", token_hashes(F.col("body")).alias("doc_hashes")
+    if whole:
+        spread = (
+            laid.join(items.filter(F.size("hashes") < SHORT).select("key"), "key")
+            .groupBy("key")
+            .agg(F.count_distinct("row").alias("n"))
+        )
+        ordinary = spread.filter(F.col("n") > max(FEW, RARE * docs.count())).select("key")
+        laid = laid.join(land(ordinary, "ordinary-items"), "key", "left_anti")
+    hit_docs = (
+        texts.join(laid.select("row").distinct(), "row", "left_semi")
+        .dropDuplicates(["row"])
+        .select("row", "doc", token_hashes(F.col("body")).alias("doc_hashes"))
     )
     needed = F.least(F.lit(least), F.size("hashes"))
     n = F.size("hashes")
@@ -196,8 +214,9 @@ def contaminated_pairs(
         enough = enough | (F.col("alike") >= F.col("wanted"))
     return (
         laid.join(items, "key")
-        .join(hit_docs, "doc")
+        .join(hit_docs, "row")
         .select(
+            "row",
             "doc",
             "item",
             overlap(F.col("doc_hashes"), F.col("hashes"), F.col("shift")).alias("overlap"),
@@ -206,20 +225,22 @@ def contaminated_pairs(
             (F.least(F.lit(OVERLAP), n) - allowed).alias("wanted"),
         )
         .filter(enough)
-        .groupBy("doc", "item")
+        .groupBy("row", "doc", "item")
         .agg(F.max("overlap").alias("overlap"))
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **columns) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
     """``doc_id, contaminated, n_items, best_overlap`` for each row."""
-    per_doc = (
-        contaminated_pairs(docs, benchmark, id, **columns)
-        .groupBy("doc")
+    per_row = (
+        contaminated_pairs(docs, benchmark, id, text, **options)
+        .groupBy("row")
         .agg(F.count("*").alias("n_items"), F.max("overlap").alias("best_overlap"))
     )
-    rows = docs.select(F.col(id).alias("doc"))
-    return rows.join(per_doc, "doc", "left").select(
+    rows = docs.select(F.col(id).alias("doc"), row_key(id, text).alias("row"))
+    return rows.join(per_row, "row", "left").select(
         F.col("doc").alias(id),
         F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
