@@ -1,9 +1,9 @@
 """The corpus pipeline: stages over documents, each calling one operator.
 
 Each stage takes all documents its predecessor kept and returns documents with their columns;
-the last adds what it encodes.  Documents with a null id pass near-duplicate removal and
-decontamination, which judge ids, and documents that share an id are kept or removed together
-there; repeated passages are judged by each row's own text.
+the last adds what it encodes.  Documents with a null id pass near-duplicate removal, which judges
+ids, and documents that share an id are kept or removed together there; all other stages judge
+each row by its own text.
 """
 
 from __future__ import annotations
@@ -56,9 +56,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
-    pairs = decontamination.contaminated_pairs(docs, read_table(spark, sf_dir, "benchmark"), whole=True)
-    gone = pairs.select(F.col("doc").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    gone = decontamination.contaminated_pairs(docs, benchmark, whole=True).select("row").distinct()
+    keyed = docs.select(*COLUMNS).withColumn("row", decontamination.row_key())
+    return keyed.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
