@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator_and_the_pipeline():
     names = entry_points.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert "pipeline" in names
 
 

@@ -72,6 +72,15 @@ def maybe_among(bitmap: Column, key: Column, slots: int) -> Column:
     return F.call_function("getbit", word, _bit(key)) == 1
 
 
+def row_tie(docs: DataFrame, id: str, text: str, slots: int = 1 << 18) -> Column:
+    """With the id it tells rows of different texts apart: a hash of both for ids that occur again,
+    0 for those a bitmap of fixed size knows to occur once, which compresses to nothing."""
+    again = docs.groupBy(id).agg(F.count("*").alias("n")).filter("n > 1")
+    key = F.xxhash64(id)
+    several = maybe_among(key_bitmap(again.select(key), slots).scalar(), key, slots)
+    return F.when(several, F.xxhash64(id, text)).otherwise(F.lit(0).cast("bigint"))
+
+
 class WordHashes(dict):
     """64-bit hashes of byte words, remembered; the memory it takes is bounded."""
 

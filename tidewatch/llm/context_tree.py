@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import land
+from tidewatch.llm.common import MASK64, land, row_tie
 
 DEPTH = 5
 FREQUENT = 1 << 16
@@ -323,7 +323,9 @@ def _parts(frequent: dict, floor: float, end: tuple[float, float, int]):
                             values = (key, doc, row, 0, n, None, None, None, None, None)
                             for column, value in zip(columns, values):
                                 column.append(value)
-                    values = (row, doc, row, 1, None, len(words) + 1, size, n_known, base, score)
+                    own = ((doc or 0) * 0x9E3779B97F4A7C15 + row) & MASK64  # spreads these rows
+                    own = own - (1 << 64) if own >> 63 else own
+                    values = (own, doc, row, 1, None, len(words) + 1, size, n_known, base, score)
                     for column, value in zip(columns, values):
                         column.append(value)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, *[pa.float64()] * 2]
@@ -345,9 +347,7 @@ def text_parts(
     columns = {"hash": "key", "c": "c", "base": "word_base", "score": "word_score"}
     frequent = {name: local[column].to_numpy()[order] for name, column in columns.items()}
     del local
-    parts = rows.select(
-        "doc", F.xxhash64("doc", "text").alias("row"), "text"
-    ).mapInArrow(_parts(frequent, floor, end), _PARTS)
+    parts = rows.select("doc", "row", "text").mapInArrow(_parts(frequent, floor, end), _PARTS)
     return parts.join(
         scored.filter(F.col("n") * FREQUENT < n).select("key", "c", "word_base", "word_score"),
         "key",
@@ -390,6 +390,7 @@ def score_texts(
     rows = docs.select(
         F.col(id).cast("long").alias("doc"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")
     )
+    rows = rows.withColumn("row", row_tie(rows, "doc", "text"))
     words = land(count_words(rows.select("train", "text")), "words")
     texts = rows.filter("train").count()
     sums = words.agg(

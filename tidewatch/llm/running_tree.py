@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import land
+from tidewatch.llm.common import land, row_tie
 from tidewatch.llm.context_tree import (
     ADDED,
     by_text,
@@ -236,11 +236,14 @@ def _scores(keys: np.ndarray, values: np.ndarray):
             value = np.where(found, values[at], 0.0) if len(keys) else np.zeros(len(kinds))
             score = np.bincount(owner, value[back], len(part))
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, docs, rows, none, pa.array(score)], names=names)
+            # No spelling is negative: these rows meet none, and are spread.
+            spread = pa.array([-1 - hash(d) % (1 << 60) for d, _, _ in part], pa.int64())
+            yield pa.RecordBatch.from_arrays([spread, docs, rows, none, pa.array(score)], names=names)
             rest = ~found[back]
-            pairs, times = np.unique(back[rest] * len(part) + owner[rest], return_counts=True)
+            # Text by text, so that what says which text compresses.
+            pairs, times = np.unique(owner[rest] * len(kinds) + back[rest], return_counts=True)
             for start in range(0, len(pairs), 100_000):
-                kind, own = np.divmod(pairs[start : start + 100_000], len(part))
+                own, kind = np.divmod(pairs[start : start + 100_000], len(kinds))
                 own = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -261,13 +264,14 @@ def score_texts(docs: DataFrame, train: Column, id: str = "doc_id", text: str =
     rows = docs.select(
         F.col(id).cast("long").alias("doc"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")
     )
+    rows = rows.withColumn("row", row_tie(rows, "doc", "text"))
     spelled = land(count_spellings(rows.select("train", "text")), "running-spellings")
     table = land(score_spellings(spelled), "running-scores")
     n = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     local = table.filter(F.col("n") * FREQUENT >= n).select("spelling", "log10").toArrow().sort_by("spelling")
     shipped = local["spelling"].to_numpy(), local["log10"].to_numpy()
     del local
-    keyed = rows.select("doc", F.xxhash64("doc", "text").alias("row"), "text")
+    keyed = rows.select("doc", "row", "text")
     scores = keyed.mapInArrow(_scores(*shipped), _PARTS).join(
         table.filter(F.col("n") * FREQUENT < n).select("spelling", "log10"), "spelling", "left"
     )
