@@ -28,6 +28,18 @@ def land(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def land_and_release(frame: DataFrame, label: str) -> DataFrame:
+    """``land``, after which Spark removes the shuffle files it took: the table is written, and no
+    later read needs them."""
+    spark, key = frame.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return land(frame, label)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers are kept between tasks, and what one task's
     tables took would otherwise stay theirs during the next."""

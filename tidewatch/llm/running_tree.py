@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import land, row_tie
+from tidewatch.llm.common import land_and_release, row_tie
 from tidewatch.llm.context_tree import (
     ADDED,
     by_text,
@@ -265,8 +265,8 @@ def score_texts(docs: DataFrame, train: Column, id: str = "doc_id", text: str =
         F.col(id).cast("long").alias("doc"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")
     )
     rows = rows.withColumn("row", row_tie(rows, "doc", "text"))
-    spelled = land(count_spellings(rows.select("train", "text")), "running-spellings")
-    table = land(score_spellings(spelled), "running-scores")
+    spelled = land_and_release(count_spellings(rows.select("train", "text")), "running-spellings")
+    table = land_and_release(score_spellings(spelled), "running-scores")
     n = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     local = table.filter(F.col("n") * FREQUENT >= n).select("spelling", "log10").toArrow().sort_by("spelling")
     shipped = local["spelling"].to_numpy(), local["log10"].to_numpy()
@@ -277,7 +277,7 @@ def score_texts(docs: DataFrame, train: Column, id: str = "doc_id", text: str =
     )
     scores = scores.select("doc", "row", F.coalesce("score", F.col("times") * F.col("log10")).alias("score"))
 
-    words = land(count_words(rows.select("train", "text")), "words")
+    words = land_and_release(count_words(rows.select("train", "text")), "words")
     texts = rows.filter("train").count()
     sums = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("c"),
@@ -286,7 +286,7 @@ def score_texts(docs: DataFrame, train: Column, id: str = "doc_id", text: str =
     ).first()
     total = sums["c"] + texts
     floor = ADDED * (sums["v"] + (texts > 0) + 1) + total
-    scored = land(
+    scored = land_and_release(
         words.select(
             F.xxhash64("word").alias("key"),
             "c",
