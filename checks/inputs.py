@@ -191,25 +191,34 @@ def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A page that holds runs with more tasks is followed by pages with their further tasks.
     """
-    listed = listed_runs(spark, sf_dir)
     last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("last_key"))
-    page = F.floor(F.col("job_run_id") / 100)
-    pages = listed.groupBy(page.alias("page"), "chunk").agg(
-        F.collect_list(F.struct(*RUN_FIELDS)).alias("runs")
+    return paged(
+        listed_runs(spark, sf_dir), last.select(F.floor(F.col("last_key") / 100)).scalar()
     )
-    last_page = last.select(F.floor(F.col("last_key") / 100)).scalar()
+
+
+def paged(listed: DataFrame, last_page: Column) -> DataFrame:
+    """Listed runs gathered to pages.  They are shuffled once; the chain takes the tokens alone."""
+    listed = listed.withColumn("page", F.floor(F.col("job_run_id") / 100))
     number = F.concat(F.lit("p"), F.col("page"))
     of_page = Window.partitionBy("page").orderBy("chunk")
     token = F.when(F.col("chunk") == 0, number).otherwise(
         F.concat(number, F.lit("."), F.col("chunk"))
     )
     following = F.when(F.col("page") < last_page, F.concat(F.lit("p"), F.col("page") + 1))
-    return pages.withColumn("page_token", token).select(
-        "page_token",
-        F.coalesce(F.lead("page_token").over(of_page), following, F.lit("")).alias(
-            "next_page_token"
-        ),
-        "runs",
+    chain = listed.select("page", "chunk").distinct().withColumn("page_token", token)
+    chain = chain.withColumn(
+        "next_page_token", F.coalesce(F.lead("page_token").over(of_page), following)
+    )
+    # Dealt before they are gathered: lists half done are never sorted or spilled.
+    pages = (
+        listed.repartition("page", "chunk")
+        .groupBy("page", "chunk")
+        .agg(F.collect_list(F.struct(*RUN_FIELDS)).alias("runs"))
+    )
+    # Runs without a number meet no link; their page has no token either way.
+    return pages.join(chain, ["page", "chunk"], "left").select(
+        "page_token", F.coalesce("next_page_token", F.lit("")).alias("next_page_token"), "runs"
     )
 
 

@@ -13,6 +13,7 @@ part in the second step, and only the first row of each gets what it carries; al
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ from tidewatch.session import land
 
 _KEY, _SLICE = "_series", "_slice"
 
+#: hash buckets in which rows are counted by key, and rows of a bucket that one task may hold
+BUCKETS = 1 << 16
+CROWD = 200_000
+
 
 def time_slice(at: str, seconds: int) -> Column:
     """Number of the ``seconds``-wide slice holding a timestamp."""
@@ -109,13 +114,47 @@ def with_running_total(
 
 
 def with_row_number_sliced(
-    df: DataFrame, keys: Sequence[str], slices: Sequence[str], order: Sequence[str], out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    slices: Sequence[str],
+    order: Sequence[str],
+    out: str,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """Number rows 1, 2, … per key in the order (``slices``, ``order``).
 
-    Each (key, slice) is numbered on its own and shifted by the sizes of the slices
-    before it, so a key holding a large share of the rows is spread over many tasks.
+    Rows are shuffled once, by key.  Only keys that may hold more than ``crowd`` rows are cut: each
+    of their (key, slice) is numbered on its own and shifted by the sizes of the slices before it, so
+    a key holding a large share of the rows is spread over many tasks.  Rows without a key or with
+    a null in ``slices`` are left out; the latter take numbers.
     """
+    df = df.filter(_all_there(keys))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    # Keys are counted by hash bucket: a small table, of which fewer than a quarter can be crowded.
+    sizes = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_size"))
+    mean = F.sum("_size").over(Window.partitionBy()) / BUCKETS
+    over = sizes.withColumn("_over", F.col("_size") > crowd + 4 * mean).filter("_over")
+    crowded = [row[0] for row in over.select("_bucket").collect()]
+    if not crowded:
+        return _numbered(df, keys, slices, order, out)
+    cut = _numbered_in_slices(df.filter(bucket.isin(crowded)), keys, slices, order, out)
+    return _numbered(df.filter(~bucket.isin(crowded)), keys, slices, order, out).unionByName(cut)
+
+
+def _numbered(
+    df: DataFrame, keys: Sequence[str], slices: Sequence[str], order: Sequence[str], out: str
+) -> DataFrame:
+    whole = Window.partitionBy(*keys).orderBy(*slices, *order)
+    return df.withColumn(out, F.row_number().over(whole)).filter(_all_there(slices))
+
+
+def _all_there(columns: Sequence[str]) -> Column:
+    return reduce(Column.__and__, (F.col(c).isNotNull() for c in columns), F.lit(True))
+
+
+def _numbered_in_slices(
+    df: DataFrame, keys: Sequence[str], slices: Sequence[str], order: Sequence[str], out: str
+) -> DataFrame:
     inside = Window.partitionBy(*keys, *slices).orderBy(*order)
     rows = df.withColumn("_inside", F.row_number().over(inside))
     earlier = (
