@@ -1,8 +1,9 @@
-"""Distinct runs per day and value as bitmaps: counts that merge without reading runs again.
+"""Distinct runs per day and value as bits: counts that merge without reading runs again.
 
-A day table has one row per time bucket, dimension, value and stretch of run ids, with a bitmap of
-the runs.  Bitmaps of several tables, days or batches are merged by OR, so a run seen in many rows,
-tables or polls counts once.  Counts are exact.
+A day table has one row per time bucket, dimension, value and stretch of 64 run ids, with one bit
+for each of the runs.  Bits of several tables, days or batches are merged by OR, so a run seen in
+many rows, tables or polls counts once.  Counts are exact.  Runs of a stretch that fall on different
+days cost a word each, not a bitmap of some KB that is empty but for one bit.
 
 Run ids are the API's numbers; rows without one are left out.  The run id itself is no dimension.
 """
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from tidewatch.functions.durations import bucket_start
 from tidewatch.plans.dashboards import CONTROLS, RUN_ID, START, STATE, field
 
-DAY_TABLE = "bucket timestamp, dimension string, value string, stretch bigint, runs binary"
+DAY_TABLE = "bucket timestamp, dimension string, value string, stretch bigint, runs bigint"
 ALL, RESULT = "all", "result_state"
+STRETCH_BITS = 6
 _KEYS = ("bucket", "dimension", "value", "stretch")
 
 
@@ -36,20 +38,25 @@ def run_days(events: DataFrame, every: str = "24h") -> DataFrame:
     )
     return (
         shown.select("_run", "bucket", F.inline(values))
-        .groupBy("bucket", "dimension", "value", F.bitmap_bucket_number("_run").alias("stretch"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_run")).alias("runs"))
+        .groupBy("bucket", "dimension", "value", F.shiftright("_run", STRETCH_BITS).alias("stretch"))
+        .agg(F.bit_or(_bit("_run")).alias("runs"))
     )
 
 
+def _bit(run: str) -> Column:
+    place = F.col(run).bitwiseAND(F.lit((1 << STRETCH_BITS) - 1)).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+
+
 def merge_days(days: DataFrame) -> DataFrame:
     """One row per key of day tables put together."""
-    return days.groupBy(*_KEYS).agg(F.bitmap_or_agg("runs").alias("runs"))
+    return days.groupBy(*_KEYS).agg(F.bit_or("runs").alias("runs"))
 
 
 def _counted(days: DataFrame, *keys: str | Column) -> DataFrame:
-    merged = days.groupBy(*keys, "stretch").agg(F.bitmap_or_agg("runs").alias("runs"))
+    merged = days.groupBy(*keys, "stretch").agg(F.bit_or("runs").alias("runs"))
     names = merged.columns[:-2]
-    return merged.groupBy(*names).agg(F.sum(F.bitmap_count("runs")).alias("n_runs"))
+    return merged.groupBy(*names).agg(F.sum(F.bit_count("runs").cast("bigint")).alias("n_runs"))
 
 
 def totals_of_days(days: DataFrame) -> DataFrame:
