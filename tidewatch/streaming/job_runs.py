@@ -62,7 +62,11 @@ class JobEventFeed:
             touched = [row[0] for row in keys.select(FOLDER).distinct().collect()]
             seen = tables.read("seen", self.SEEN, touched)
             same = (F.col("run") == F.col("_run")) & F.col("task").eqNullSafe(F.col("_task"))
-            fresh = arrived.join(seen.select("run", "task"), same, "left_anti")
+            # Rows without a key can match none.  In the join they would all meet in one task.
+            keyed = arrived.filter("_run IS NOT NULL")
+            fresh = keyed.join(seen.select("run", "task"), same, "left_anti").unionByName(
+                arrived.filter("_run IS NULL")
+            )
             shaped = shape_events(fresh.drop("_run", "_task", FOLDER), now, host, **shape)
             tables.write("events", batch, shaped)
             known = (keys["run"] == seen["run"]) & keys["task"].eqNullSafe(seen["task"])
