@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.sequences import (
+    dealt,
     with_row_number_sliced,
     with_running_total,
 )
@@ -28,6 +29,8 @@ LOOKBACK = "43800h"
 
 # Tasks listed with a run at once; a run with more is listed again with the next ones.
 TASKS_LISTED = 100
+# Runs with their tasks that a task is dealt to gather pages.
+RUNS_DEALT = 50_000
 # The second poll comes so much later.
 POLL_GAP = timedelta(hours=720)
 
@@ -211,8 +214,9 @@ def paged(listed: DataFrame, last_page: Column) -> DataFrame:
         "next_page_token", F.coalesce(F.lead("page_token").over(of_page), following)
     )
     # Dealt before they are gathered: lists half done are never sorted or spilled.
+    by = ["page", "chunk"]
     pages = (
-        listed.repartition("page", "chunk")
+        dealt(listed.repartition(*by), listed.count(), by, RUNS_DEALT)
         .groupBy("page", "chunk")
         .agg(F.collect_list(F.struct(*RUN_FIELDS)).alias("runs"))
     )

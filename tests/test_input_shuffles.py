@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from checks import inputs
+from tidewatch.operators import sequences
 from tidewatch.operators.sequences import with_row_number_sliced
 from tidewatch.schema.source_types import LISTED_RUN
 
@@ -52,3 +53,20 @@ def test_page_chain_is_made_without_the_runs(spark):
     assert "collect_list" not in below(plan(pages), "Window [lead")
     found = {(r[0], r[1], r[2]) for r in pages.select("page_token", "next_page_token", F.size("runs")).collect()}
     assert found == {("p0", "p0.1", 2), ("p0.1", "p1", 1), ("p2", "", 1), (None, "", 1)}
+
+
+def test_tasks_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    rows = [(k, 1, k, k) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, s int, r int, v int")
+    monkeypatch.setattr(sequences.dealt, "__defaults__", (5,))
+    assert "hashpartitioning(k#" in plan(numbered(df)) and ", 8), REPARTITION_BY_NUM" in plan(numbered(df))
+    assert plan(numbered(df)).count("Exchange") == 1
+    assert sorted(r["i"] for r in numbered(df).collect()) == [1] * 40
+    monkeypatch.setattr(inputs, "RUNS_DEALT", 5)
+    listed = df.select(
+        F.from_json(F.to_json(F.struct(F.col("k").alias("job_run_id"))), LISTED_RUN).alias("r"),
+        F.lit(0).alias("chunk"),
+    ).select("r.*", "chunk")
+    pages = inputs.paged(listed, F.lit(0))
+    assert ", 8), REPARTITION_BY_NUM" in plan(pages)
+    assert [r[0] for r in pages.select(F.size("runs")).collect()] == [40]

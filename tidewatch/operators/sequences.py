@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,21 @@ _KEY, _SLICE = "_series", "_slice"
 #: hash buckets in which rows are counted by key, and rows of a bucket that one task may hold
 BUCKETS = 1 << 16
 CROWD = 200_000
+#: rows a task is dealt where many are sorted or gathered
+DEALT = 250_000
+
+
+def dealt(df: DataFrame, rows: int, keys: Sequence[str], per_task: int = DEALT) -> DataFrame:
+    """``df`` of about ``rows`` rows, dealt by ``keys`` so that a task gets about ``per_task`` of them.
+
+    How many rows fit a number of shuffled bytes depends on how well they compress; tasks sized by
+    bytes alone may hold too many to sort in memory.  Small tables stay as they are.
+    """
+    tasks = ceil(rows / per_task)
+    if tasks < 4:
+        return df
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, least), *keys)
 
 
 def time_slice(at: str, seconds: int) -> Column:
@@ -123,7 +139,7 @@ def with_row_number_sliced(
 ) -> DataFrame:
     """Number rows 1, 2, … per key in the order (``slices``, ``order``).
 
-    Rows are shuffled once, by key.  Only keys that may hold more than ``crowd`` rows are cut: each
+    Rows are shuffled once, by key, to as many tasks as their number asks for.  Only keys that may hold more than ``crowd`` rows are cut: each
     of their (key, slice) is numbered on its own and shifted by the sizes of the slices before it, so
     a key holding a large share of the rows is spread over many tasks.  Rows without a key or with
     a null in ``slices`` are left out; the latter take numbers.
@@ -132,13 +148,15 @@ def with_row_number_sliced(
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
     # Keys are counted by hash bucket: a small table, of which fewer than a quarter can be crowded.
     sizes = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_size"))
-    mean = F.sum("_size").over(Window.partitionBy()) / BUCKETS
-    over = sizes.withColumn("_over", F.col("_size") > crowd + 4 * mean).filter("_over")
-    crowded = [row[0] for row in over.select("_bucket").collect()]
+    sizes = sizes.withColumn("_total", F.sum("_size").over(Window.partitionBy()))
+    over = F.when(F.col("_size") > crowd + 4 * (F.col("_total") / BUCKETS), F.col("_bucket"))
+    total, crowded = sizes.agg(F.max("_total"), F.collect_list(over)).first()
+    whole = df.filter(~bucket.isin(crowded)) if crowded else df
+    numbered = _numbered(dealt(whole, total or 0, keys), keys, slices, order, out)
     if not crowded:
-        return _numbered(df, keys, slices, order, out)
+        return numbered
     cut = _numbered_in_slices(df.filter(bucket.isin(crowded)), keys, slices, order, out)
-    return _numbered(df.filter(~bucket.isin(crowded)), keys, slices, order, out).unionByName(cut)
+    return numbered.unionByName(cut)
 
 
 def _numbered(
