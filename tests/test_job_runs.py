@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import job_runs as jobs
+from tidewatch.operators import sequences
 from tidewatch.plans.job_events import job_events, job_events_from_text
 from tidewatch.schema.source_types import RUN_PAGE, RUN_TASK
 from tidewatch.sources.run_pages import (
@@ -194,6 +195,20 @@ def test_dedup_keeps_the_first_poll_and_open_runs(spark):
     assert values(jobs.dedup_terminated(once), "n") == [1, 2, 3, 4, 6, 7]
 
 
+def test_counted_copies_are_dealt_unless_they_are_many(spark, monkeypatch):
+    monkeypatch.setattr(sequences.dealt, "__defaults__", (5,))
+    done = {"state": "TERMINATED"}
+    few = [{"job_run_id": i % 30, "tasks": {"run_id": 1}, "status": done} for i in range(40)]
+    few += [{"job_run_id": 1, "status": {"state": "RUNNING"}}] * 3 + [{}]
+    many = [{"job_run_id": i % 10, "status": done} for i in range(40)]
+    for runs, number, is_dealt in ((few, 34, True), (many, 10, False)):
+        rows = job_rows(spark, *runs).withColumn("poll", -F.col("n"))
+        once = jobs.dedup_terminated(rows, counted=True)
+        assert ("REPARTITION_BY_NUM" in once._jdf.queryExecution().executedPlan().toString()) == is_dealt
+        assert values(once, "n") == values(jobs.dedup_terminated(rows), "n")
+        assert once.count() == number and once.columns == rows.columns
+
+
 def test_lookback_and_chain(spark, tmp_path):
     pages = [
         {"page_token": "a", "next_page_token": "b", "runs": [{"start_time": NOW_MS - 18_000_000}]},

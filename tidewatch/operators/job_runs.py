@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.durations import cutoff_ms, positive_ms_to_timestamp
 from tidewatch.functions.nesting import field_or_null, leaf_paths, nest
+from tidewatch.operators.sequences import CROWD, dealt
 from tidewatch.schema.fixed_values import (
     CLOUD_HOSTS,
     ECS_VERSION,
@@ -349,6 +350,7 @@ def dedup_terminated(
     df: DataFrame,
     keys: Sequence[str] = ("job.job_run_id", "job.tasks.run_id"),
     poll: str = "poll",
+    counted: bool = False,
 ) -> DataFrame:
     """One row per terminated run and task, from the first poll that saw it.
 
@@ -356,18 +358,45 @@ def dedup_terminated(
     or have no id all pass: each has a number of its own in the key.  The input is read
     once, and the ``= 1`` filter lets Spark keep one row per key before the shuffle, so a
     run repeated by many polls does not pile up in one task.
+
+    That thinning sorts whole rows where they are read.  With ``counted`` the keys are counted first,
+    in a read of their own; where copies are few and no key is crowded, rows are shuffled as they are,
+    to as many tasks as their number asks for.
     """
     run, *rest = keys
     run = F.coalesce(F.col(run), F.col("job.run_id")) if run == "job.job_run_id" else F.col(run)
     ended = F.coalesce(F.col("job.status.state") == TERMINATED, F.lit(False)) & run.isNotNull()
     alone = F.when(~ended, F.monotonically_increasing_id())
-    first = Window.partitionBy("_run", *(F.col(k) for k in rest), "_alone").orderBy(poll)
+    by = {"_run": run, **{f"_key_{n}": F.col(k) for n, k in enumerate(rest)}, "_alone": alone}
+    rows = df.withColumns(by)
+    if counted:
+        key = F.when(ended, F.xxhash64(run, *(F.col(k) for k in rest)))
+        n_rows, few_copies = _copies(df.select(key.alias("_key")))
+        rows = dealt(rows, n_rows, list(by)) if few_copies else rows
+    first = Window.partitionBy(*by).orderBy(poll)
     return (
-        df.withColumns({"_run": run, "_alone": alone})
-        .withColumn("_nth", F.row_number().over(first))
-        .filter("_nth = 1")
-        .drop("_nth", "_run", "_alone")
+        rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth", *by)
+    )
+
+
+# Buckets in which keys are counted.
+_COUNTED = 4096
+
+
+def _copies(keys: DataFrame) -> tuple[int, bool]:
+    """Number of rows, and whether keys have fewer than two rows on average and none is crowded."""
+    sizes = keys.groupBy(F.pmod("_key", F.lit(_COUNTED)).alias("_bucket")).agg(
+        F.count("*").alias("_size"), F.approx_count_distinct("_key", 0.1).alias("_keys")
     )
+    keyed = F.col("_bucket").isNotNull()
+    found = sizes.agg(
+        F.sum("_size"),
+        F.sum(F.when(keyed, F.col("_size"))),
+        F.sum("_keys"),
+        F.max(F.when(keyed, F.col("_size"))),
+    ).first()
+    n_rows, n_keyed, n_keys, largest = (n or 0 for n in found)
+    return n_rows, n_keyed < 2 * n_keys and largest <= CROWD + 4 * n_keyed / _COUNTED
 
 
 # Columns the steps above add, under the path they have in the event table.
