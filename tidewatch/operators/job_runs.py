@@ -82,10 +82,12 @@ def decode_json(
 ) -> DataFrame:
     """Parse JSON text into ``target``, two levels deep.
 
-    The text is parsed once, to a variant, and its fields are taken from there; a number in quotes
-    is a number.  An object or array one level down may also come as JSON text, which is parsed
-    then.  A ``target`` that is already there wins.  ``decode_error`` tells why a text, or which
-    field of it, could not be read; fields that could be read are kept.
+    The text is parsed once to a variant, which tells whether it can be read.  Where all of it is as
+    declared (``_as_declared``), values are read from the text by ``from_json``; of other texts, fields
+    are taken from the variant, one by one: a number in quotes is a number, and an object or array one
+    level down may also come as JSON text, which is parsed then.  Both give the same where both apply.
+    A ``target`` that is already there wins.  ``decode_error`` tells why a text, or which field of it,
+    could not be read; fields that could be read are kept.
     """
     fields = T.StructType.fromDDL(schema).fields
     nested = [f for f in fields if isinstance(f.dataType, (T.StructType, T.ArrayType))]
@@ -93,13 +95,15 @@ def decode_json(
     top = T.StructType([*plain, *(T.StructField(f.name, T.VariantType()) for f in nested)])
     # Bound one after the other as columns, so that no text is parsed and no value taken again.
     read = df.withColumn("_parsed", F.try_parse_json(col))
-    read = read.withColumn("_fields", _taken("_parsed", top))
+    read = _as_declared(read, col, fields)
+    odd = F.col("_odd").isNotNull()
+    read = read.withColumn("_fields", _taken("_odd", top))
     read = read.withColumns(
         {f"_own_{f.name}": _taken(f"_fields.{f.name}", f.dataType) for f in nested}
     )
     read = read.withColumns({f"_text_{f.name}": _text_of(f.name) for f in nested})
     read = read.withColumns({f"_inner_{f.name}": F.try_parse_json(f"_text_{f.name}") for f in nested})
-    values, wrong = {}, _misfits(F.col("_fields"), plain, ["_parsed"])
+    values, wrong = {}, _misfits(F.col("_fields"), plain, ["_odd"])
     for f in nested:
         value = F.coalesce(f"_own_{f.name}", _taken(f"_inner_{f.name}", f.dataType))
         read = read.withColumn(f"_value_{f.name}", value)
@@ -110,18 +114,67 @@ def decode_json(
             unread |= F.size(_misfits(values[f.name], f.dataType.fields, sources)) > 0
         wrong = F.concat(wrong, F.array(F.when(unread, f.name)))
     decoded = F.struct(*(values.get(f.name, F.col(f"_fields.{f.name}")).alias(f.name) for f in fields))
-    there = F.col("_fields").isNotNull()
-    value = F.when(there, decoded)
+    taken = F.col("_fields").isNotNull()
+    declared = F.struct(*(F.col(f"_typed.{f.name}").alias(f.name) for f in fields))
+    value = F.when(F.col("_declared"), declared).when(taken, decoded)
     if target in df.columns:
         value = F.coalesce(F.col(target), value)
-    misfits = F.array_sort(F.array_compact(wrong))
-    told = F.concat(F.array_join(misfits, ", "), F.lit(f" of {col} cannot be read"))
-    error = F.when(F.col(col).isNotNull() & ~there, F.lit(f"{col} is not a JSON object"))
-    error = error.when(there & (F.size(misfits) > 0), told)
+    misfits = F.array_sort(F.array_compact(F.when(odd, wrong)))
+    read = read.withColumn("_misfits", misfits)
+    told = F.concat(F.array_join("_misfits", ", "), F.lit(f" of {col} cannot be read"))
+    lost = F.col(col).isNotNull() & ~F.col("_declared") & ~taken
+    error = F.when(lost, F.lit(f"{col} is not a JSON object"))
+    error = error.when(taken & (F.size("_misfits") > 0), told)
     kept = [c for c in df.columns if c not in (target, "decode_error")]
     return read.select(*kept, value.alias(target), error.alias("decode_error"))
 
 
+# Stands between strings, and what a string begins with, or is, that may have been no string.
+_BETWEEN = "\x01"
+_NO_STRING = f"{_BETWEEN}([{{\\[]|-?[0-9][-+.0-9eE]*{_BETWEEN})"
+
+
+def _as_declared(read: DataFrame, col: str, fields: Sequence[T.StructField]) -> DataFrame:
+    """Add ``_typed``, ``_declared`` and, of the other texts, the variant as ``_odd``.
+
+    ``_declared`` is a JSON object whose fields all have just the declared type, so that there is
+    only one way to read it: ``from_json`` found nothing amiss in ``_typed``, the text is one that
+    parses to a variant (no key occurs twice), and no string may have been given as a number, object
+    or array, whose text ``from_json`` copies.
+    """
+    leaves = _leaves(fields)
+    if not all(isinstance(t, (T.LongType, T.StringType, T.BooleanType)) for t in leaves.values()):
+        none = F.lit(None).cast(T.StructType(list(fields)))
+        return read.withColumns({"_typed": none, "_declared": F.lit(False), "_odd": F.col("_parsed")})
+    amiss = T.StructField(CORRUPT, T.StringType())
+    options = {"columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
+    typed = F.from_json(col, T.StructType([*fields, amiss]), options)
+    # An object as text is none that from_json takes; this is only to spare the trial.
+    tried = F.col("_parsed").isNotNull() & ~F.col(col).contains('"{\\"')
+    read = read.withColumn("_typed", F.when(tried, typed))
+    strings = [F.col(f"_typed.{path}") for path, t in leaves.items() if isinstance(t, T.StringType)]
+    doubtful = F.concat(F.lit(_BETWEEN), F.concat_ws(_BETWEEN, *strings), F.lit(_BETWEEN))
+    declared = (
+        F.col("_typed").isNotNull()
+        & F.col(f"_typed.{CORRUPT}").isNull()
+        & F.ltrim(F.col(col), F.lit(" \t\r\n")).startswith("{")
+        & ~doubtful.rlike(_NO_STRING)
+    )
+    read = read.withColumn("_declared", F.coalesce(declared, F.lit(False)))
+    return read.withColumn("_odd", F.when(~F.col("_declared"), F.col("_parsed")))
+
+
+def _leaves(fields: Sequence[T.StructField], above: str = "") -> dict[str, T.DataType]:
+    """Types of the fields, and of those of structs, by path."""
+    found = {}
+    for f in fields:
+        if isinstance(f.dataType, T.StructType):
+            found |= _leaves(f.dataType.fields, f"{above}`{f.name}`.")
+        else:
+            found[f"{above}`{f.name}`"] = f.dataType
+    return found
+
+
 def _taken(variant: str, as_: T.DataType) -> Column:
     """The variant as this type, null where it does not fit; a field that does not is null alone."""
     return F.try_variant_get(F.col(variant), "$", as_.simpleString())
