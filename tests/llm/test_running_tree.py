@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import collections
 import math
+import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +96,70 @@ def test_running_score_without_rows_or_training(spark):
     out = running_tree.score_texts(frame(spark), F.lit(False)).collect()
     assert {row["train_tokens"] for row in out} == {0}
     assert all(math.isfinite(row["score"]) and math.isfinite(row["base_score"]) for row in out)
+
+
+def _shuffled(plan) -> int:
+    """Rows written by all exchanges of an executed plan."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    children = plan.children()
+    return own + sum(_shuffled(children.apply(i)) for i in range(children.size()))
+
+
+def test_no_row_is_shuffled_per_spelling_and_text(spark, monkeypatch):
+    """Sums by text are sent, not occurrences: these took most of the disk."""
+    monkeypatch.setattr(running_tree, "FREQUENT", 1)
+    pick = random.Random(3)
+    text = lambda: " ".join("".join(pick.choices("abcdefghij", k=6)) for _ in range(700))
+    rows = [(i, text(), "en", "s", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    key = "spark.sql.autoBroadcastJoinThreshold"  # as if the tables were large
+    spark.conf.set(key, "-1")
+    try:
+        out = running_tree.score_texts(docs, F.col("doc_id") % 3 != 0)
+        assert len(out.collect()) == 30
+    finally:
+        spark.conf.unset(key)
+    assert 0 < _shuffled(out._jdf.queryExecution().executedPlan()) < 30 * 700 // 4
+
+
+@pytest.mark.parametrize("frequent", [1, 40])
+def test_words_that_are_not_shipped_count_alike(spark, frequent, monkeypatch):
+    rows = documents()
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 0
+    split = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 != 0
+    monkeypatch.setattr(running_tree, "FREQUENT_WORDS", frequent)
+    out = running_tree.score_texts(frame(spark, rows), train).collect()
+    words = lambda text: (text or "").encode().lower().split()
+    counts = collections.Counter(w for i, t, *_ in rows if split(i) for w in words(t))
+    texts = sum(split(i) for i, *_ in rows)
+    total, kinds = sum(counts.values()) + texts, len(counts) + 1
+    chance = lambda c: math.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
+    by_id = collections.defaultdict(list)
+    for row in out:
+        by_id[row["doc_id"]].append(row)
+    assert len(out) == len(rows) and len(by_id[3]) == 2 and by_id[3][0][1:4] == by_id[3][1][1:4]
+    for i, text, *_ in rows:
+        row = by_id[i][0]
+        assert (row["n_tokens"], row["train_tokens"]) == (len(words(text)) + 1, total)
+        assert row["n_known"] == 1 + sum(counts[w] > 0 for w in words(text))
+        base = chance(texts) + sum(chance(counts[w]) for w in words(text))
+        assert row["base_score"] == pytest.approx(base, rel=1e-12)
+
+
+def test_texts_in_another_order_are_told():
+    columns = [np.zeros(2, np.int64)] * 5 + [np.zeros(2)] * 2 + [np.ones(2, np.int64)]
+    row = (7, running_tree.TEXTS, 2, running_tree.pack(*columns))
+    table = pa.table([pa.array([x]) for x in row], ["chunk", "kind", "size", "packed"])
+    with pytest.raises(RuntimeError, match="another order"):
+        running_tree._total(table)
+
+
+def test_looked_up_blocks_equal_computed_ones():
+    zeros = np.array([0.0, 1, 5, 4095, 4096, 2000, 1e6])
+    ones = np.array([0.0, 7, 0, 1, 0, 2095, 3])
+    assert running_tree.block_log_kt(zeros, ones) == pytest.approx(log_kt(zeros, ones), rel=1e-15)
